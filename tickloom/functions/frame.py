@@ -128,7 +128,10 @@ class Frame:
         return self.agg(F.regr_slope(self.x(value), F.col("pos").cast("double")), value, lo, lo + n - 1)
 
     def time_corr(self, value, n: int) -> Column:
-        return F.coalesce(self.corr(value, F.col("pos").cast("double"), n), F.lit(0.0))
+        """Correlation with the row position; 0 for a flat frame."""
+        value = self.x(value)
+        full = F.count(value).over(self.rng(-(n - 1))) >= n
+        return F.when(full, F.coalesce(self.corr(value, F.col("pos").cast("double"), n), F.lit(0.0)))
 
     def rank_pct(self, value, n: int) -> Column:
         """Average-tie rank of the current value in the last n rows, over n."""
@@ -164,10 +167,6 @@ class Frame:
     def window_list(self, value, lo: int, hi: int) -> Column:
         return F.collect_list(self.x(value)).over(self.rng(lo, hi))
 
-    def fill(self, value) -> Column:
-        """Last known value within the frame (used on block-bounded gaps)."""
-        return F.last(self.x(value), ignorenulls=True).over(self.w.rowsBetween(W.unboundedPreceding, 0))
-
     # -- exponential means -----------------------------------------------
     def _decayed(self, value: Column, decay: float, keys, offset: Column):
         """Running sums of value / decay**offset and of the weights, inside keys."""

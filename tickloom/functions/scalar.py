@@ -101,3 +101,8 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Numeric columns of a table, without the excluded ones."""
     kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
     return [n for n, t in df.dtypes if (t in kinds or t.startswith("decimal")) and n not in exclude]
+
+
+def safe_z(x, mean, sd) -> Column:
+    """Absolute z-score; NULL where the deviation is 0."""
+    return F.abs(F.try_divide(c(x) - c(mean), F.when(c(sd) > 0, c(sd))))

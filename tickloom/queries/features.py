@@ -42,7 +42,7 @@ def simple(name, kind, registry, covers, columns, *steps, keys="symbol ts:t"):
 # -- price -------------------------------------------------------------------
 PRICE_ROW = {
     "daily_return": q.pct("close"),
-    "high_low_pct": q.div("high - low", "close") + " * 100" if False else "(high - low) / close * 100",
+    "high_low_pct": "(high - low) / close * 100",
     "open_close_pct": "(close - open) / open * 100",
     "true_range": f"CASE WHEN {q.lag('close')} IS NOT NULL THEN greatest(high - low, "
                   f"abs(high - {q.lag('close')}), abs(low - {q.lag('close')})) END",
@@ -141,8 +141,7 @@ simple("volume_basic", "weekly", CORE, "VLM1 VLM2 VLM3 VLM4 WIN7",
        {"volume_sma_20": q.mean("volume", 20), "med": q.quant("volume", 20, 0.5), "cv": "close * volume",
         "chg": f"(close - {q.lag('close')}) * volume"},
        {"volume_ratio": "volume / (volume_sma_20 + 1e-10)", "relative_volume": "volume / (med + 1e-10)",
-        "vwap_5": f"({q.total('cv', 5)}) / ({q.total('volume', 5)} + 1e-10)" if False else
-                  q.guard(q.total("cv", 5), q.total("volume", 5)),
+        "vwap_5": q.guard(q.total("cv", 5), q.total("volume", 5)),
         "vwap_20": q.guard(q.total("cv", 20), q.total("volume", 20)), "volume_price_trend": q.total("chg", 5)},
        {"vwap_deviation": "(close - vwap_20) / (vwap_20 + 1e-10)"})
 OBV_STEPS = (
