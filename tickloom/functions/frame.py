@@ -26,6 +26,7 @@ class Frame:
         self.back = 0
         self.ahead = 0
         self.deps: set[str] = set()
+        self._specs: dict = {}
 
     # -- bookkeeping -----------------------------------------------------
     def __getitem__(self, name: str) -> Column:
@@ -42,7 +43,9 @@ class Frame:
     def rng(self, lo: int, hi: int = 0):
         """Rows frame from lo to hi relative to the current row."""
         self.need(max(0, -lo), max(0, hi))
-        return self.w.rowsBetween(lo, hi)
+        if (lo, hi) not in self._specs:
+            self._specs[lo, hi] = self.w.rowsBetween(lo, hi)
+        return self._specs[lo, hi]
 
     # -- offsets ---------------------------------------------------------
     def lag(self, value, n: int = 1, default=None) -> Column:

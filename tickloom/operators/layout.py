@@ -16,8 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import materialize
-
 BLOCK_ROWS = 2048
 KEY = "symbol"
 
@@ -63,7 +61,7 @@ def attach(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int =
     """Join per-key values. The small side is broadcast only if its counted size
     is under the bound; above it the join is left to Spark, whose adaptive skew
     handling splits hot keys."""
-    small = materialize(small)
+    small = small.persist()
     if small.count() <= bound:
         small = F.broadcast(small)
     return df.join(small, on, how)

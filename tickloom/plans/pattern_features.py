@@ -190,7 +190,7 @@ NEEDS = {"sector_relative_strength": "sector_mean20", "market_beta_instability":
 def pattern_features(bars: DataFrame, market=None, sectors=None, vix=None, seed: str = "full",
                      columns=PATTERN_COLUMNS, keep=()) -> DataFrame:
     """The pattern features of all symbols in one plan (not cleaned)."""
-    ready = attach_inputs(bars, market, sectors, vix, seed)
+    ready = materialize(attach_inputs(bars, market, sectors, vix, seed))
     columns = list(columns)
     wanted = [c for c in columns if c != "close" and NEEDS.get(c, "close") in ready.columns]
     keep = list(dict.fromkeys([*keep, *(["close"] if "close" in columns else [])]))

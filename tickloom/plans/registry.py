@@ -135,42 +135,50 @@ class Registry:
                 alive = [c for c in plan.columns if c in final or last_use.get(c, -1) >= i]
                 fresh = {f.name: f.build(frame).alias(f.name) for f in plain}
                 plan = plan.select(*[c for c in alive if c not in fresh], *fresh.values())
+            scans: dict[int, dict] = {}
             for f in layer:
                 if f.scan:
-                    plan = running_total(plan, f.name, f.scan, block, back, need[f.scan[0]][0])
+                    scans.setdefault(need[f.name][0], {})[f.name] = f.scan
+            for input_back, group in scans.items():
+                plan = running_totals(plan, group, block, back, input_back)
         return plan.where("home").select("symbol", "ts", "pos", *[c for c in keep if c not in ("symbol", "ts", "pos")],
                                          *[c for c in wanted if c not in keep])
 
 
-def running_total(plan: DataFrame, name: str, scan, block: int, back: int, input_back: int) -> DataFrame:
-    """Running total of a whole series inside overlapping blocks.
+FOLD = {"sum": F.sum, "product": F.product, "max": F.max}
+MERGE = {
+    "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
+    "product": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * b),
+    "max": lambda a, b: F.greatest(a, b),
+}
 
-    Block k is trusted from row v(k) on, where its input is complete. The rows
+
+def running_totals(plan: DataFrame, scans: dict, block: int, back: int, input_back: int) -> DataFrame:
+    """Running totals of whole series inside overlapping blocks.
+
+    Block k is trusted from row v(k) on, where its inputs are complete. The rows
     v(k) .. v(k+1)-1 of all blocks cover the series once, so their totals per
     block (a small table) accumulate to the value each block starts from.
     """
-    source, op = scan
 
     def trusted(blk: Column) -> Column:
         first = blk * block - back
         return F.when(first <= 0, F.lit(0)).otherwise(first + input_back)
 
-    value = F.when(F.col("pos") >= trusted(F.col("blk")), F.col(source))
-    owned = F.when(F.col("pos") < trusted(F.col("blk") + 1), value)
-    fold = {"sum": F.sum, "product": F.product, "max": F.max}[op]
-    totals = plan.groupBy("symbol", "blk").agg(fold(owned).alias("_total"))
+    known = F.col("pos") >= trusted(F.col("blk"))
+    owned = known & (F.col("pos") < trusted(F.col("blk") + 1))
+    totals = plan.groupBy("symbol", "blk").agg(
+        *[FOLD[op](F.when(owned, F.col(x))).alias(f"_t_{n}") for n, (x, op) in scans.items()]
+    )
     before = W.partitionBy("symbol").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select("symbol", "blk", fold("_total").over(before).alias("_carry"))
+    carry = totals.select(
+        "symbol", "blk", *[FOLD[op](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (_, op) in scans.items()]
+    )
     run = W.partitionBy("symbol", "blk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    local = fold(value).over(run)
-    merged = {
-        "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
-        "product": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * b),
-        "max": lambda a, b: F.greatest(a, b),
-    }[op]
-    return (
-        plan.withColumn("_local", local)
-        .join(carry, ["symbol", "blk"], "left")
-        .withColumn(name, merged(F.col("_carry"), F.col("_local")))
-        .drop("_carry", "_local")
+    local = plan.select(
+        "*", *[FOLD[op](F.when(known, F.col(x))).over(run).alias(f"_l_{n}") for n, (x, op) in scans.items()]
+    )
+    return local.join(carry, ["symbol", "blk"], "left").select(
+        *plan.columns,
+        *[MERGE[op](F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (_, op) in scans.items()],
     )

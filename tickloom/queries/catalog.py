@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, patterns  # noqa: F401
+from . import features, patterns, signals  # noqa: F401
 from .base import REGISTERED
 
 QUERIES = REGISTERED
