@@ -263,7 +263,7 @@ for _m in ("robust", "standard", "minmax"):
     register(f"scaling_{_m}", "symbol ts:t | daily_return momentum_5d", "SPL13 PRJ20",
              q.stages("hourly", SEQ_BASE, SC, final=f"SELECT symbol, ts, {_norm('a', _m)} AS daily_return, {_norm('b', _m)} AS momentum_5d FROM {{prev}}"))(
         lambda s, d, m=_m: fit_scale(_seq(s, d), FEATS, m))
-register("scaling_round_trip", "symbol ts:t | daily_return:5 momentum_5d:5", "SPL13 SPL28",
+register("scaling_round_trip", "symbol ts:t | daily_return:8 momentum_5d:8", "SPL13 SPL28",
          q.stages("hourly", SEQ_BASE, SC, final="SELECT symbol, ts, a AS daily_return, b AS momentum_5d FROM {prev}"))(
     lambda s, d: _round_trip(s, d))
 
