@@ -14,7 +14,16 @@ from ..plans.core_features import CORE
 from ..plans.registry import Registry
 from .strategy import equity_curve
 
-T, P = F.col("y_true"), F.col("y_pred")
+
+def T():
+    """The truth column."""
+    return F.col("y_true")
+
+
+def P():
+    """The prediction column."""
+    return F.col("y_pred")
+
 
 
 def prediction_table(bars: DataFrame, keep=()) -> DataFrame:
@@ -26,7 +35,7 @@ def prediction_table(bars: DataFrame, keep=()) -> DataFrame:
 
 def traded():
     """Return of a position in the predicted direction."""
-    return F.when(P > 0, T).when(P < 0, -T).otherwise(0.0)
+    return F.when(P() > 0, T()).when(P() < 0, -T()).otherwise(0.0)
 
 
 def _ratio(num, den, flat):
@@ -34,7 +43,7 @@ def _ratio(num, den, flat):
 
 
 def hit_rate(threshold: float = 0.0):
-    return F.coalesce(match_rate(T, P, F.abs(T) > threshold) * 100, F.lit(0.0))
+    return F.coalesce(match_rate(T(), P(), F.abs(T()) > threshold) * 100, F.lit(0.0))
 
 
 def profit_factor():
@@ -45,7 +54,7 @@ def profit_factor():
 
 
 def information_ratio(actual=None, benchmark=None):
-    x = (T if actual is None else actual) - (F.lit(0.0) if benchmark is None else benchmark)
+    x = (T() if actual is None else actual) - (F.lit(0.0) if benchmark is None else benchmark)
     return _ratio(F.avg(x), F.stddev_pop(x), F.lit(0.0))
 
 
@@ -93,7 +102,7 @@ def trading_evaluation(predictions: DataFrame) -> DataFrame:
         hit_rate(0.01).alias("hit_rate_significant"), profit_factor().alias("profit_factor"),
         information_ratio().alias("information_ratio"),
         (F.stddev_pop(x) * math.sqrt(252.0) * 100).alias("volatility"),
-        F.count_if(F.abs(P) > 0.001).alias("num_trades"), F.avg(x).alias("_mean"),
+        F.count_if(F.abs(P()) > 0.001).alias("num_trades"), F.avg(x).alias("_mean"),
     )
     numbered = _renumber(table.select("symbol", "ts", "_x"))
     out = base.join(max_drawdown(numbered, "_x"), "symbol")
@@ -110,7 +119,7 @@ def _renumber(df: DataFrame) -> DataFrame:
 
 def confidence_bands(predictions: DataFrame, levels=(0.5, 0.7, 0.9)) -> DataFrame:
     """Threshold, share and count of the predictions above each magnitude quantile."""
-    table = predictions.withColumn("_a", F.abs(P))
+    table = predictions.withColumn("_a", F.abs(P()))
     cuts = exact_quantiles(table, ["symbol"], "_a", {f"q{int(v * 100)}": v for v in levels})
     bands = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"q{int(v * 100)}").alias("threshold")) for v in levels])
     rows = attach(table, cuts, ["symbol"]).select("symbol", "_a", F.explode(bands).alias("b")).select("symbol", "_a", "b.*")
@@ -122,15 +131,15 @@ def confidence_bands(predictions: DataFrame, levels=(0.5, 0.7, 0.9)) -> DataFram
 
 def regression_aggregates():
     """Correlation, errors, fit and moments."""
-    res = F.sum((T - P) * (T - P))
-    tot = F.var_pop(T) * F.count(T)
+    res = F.sum((T() - P()) * (T() - P()))
+    tot = F.var_pop(T()) * F.count(T())
     return [
         F.count(F.lit(1)).alias("n_samples"),
-        F.coalesce(F.when(F.var_pop(P) > 1e-10, corr(T, P)), F.lit(0.0)).alias("correlation"),
-        F.avg(F.abs(T - P)).alias("mae"), F.sqrt(F.avg((T - P) * (T - P))).alias("rmse"),
+        F.coalesce(F.when(F.var_pop(P()) > 1e-10, corr(T(), P())), F.lit(0.0)).alias("correlation"),
+        F.avg(F.abs(T() - P())).alias("mae"), F.sqrt(F.avg((T() - P()) * (T() - P()))).alias("rmse"),
         F.when(tot > 0, 1.0 - F.try_divide(res, tot)).otherwise(0.0).alias("r_squared"),
-        F.var_pop(P).alias("predictions_variance"), F.avg(P).alias("predictions_mean"),
-        F.stddev_pop(P).alias("predictions_std"),
+        F.var_pop(P()).alias("predictions_variance"), F.avg(P()).alias("predictions_mean"),
+        F.stddev_pop(P()).alias("predictions_std"),
     ]
 
 
@@ -140,13 +149,13 @@ def regression_metrics(predictions: DataFrame, by=("symbol",)) -> DataFrame:
 
 def pattern_aggregates():
     """Accuracy at 0.5, precision above 0.7, recall of true patterns, errors."""
-    t, p = T > 0.5, P > 0.5
+    t, p = T() > 0.5, P() > 0.5
     same = F.when(t == p, 1.0).otherwise(0.0)
     return [
-        F.avg(same).alias("pattern_detection_accuracy"), F.coalesce(corr(T, P), F.lit(0.0)).alias("correlation"),
-        F.coalesce(F.avg(F.when(P > 0.7, same)), F.lit(0.0)).alias("pattern_precision"),
+        F.avg(same).alias("pattern_detection_accuracy"), F.coalesce(corr(T(), P()), F.lit(0.0)).alias("correlation"),
+        F.coalesce(F.avg(F.when(P() > 0.7, same)), F.lit(0.0)).alias("pattern_precision"),
         F.coalesce(F.avg(F.when(t, same)), F.lit(0.0)).alias("pattern_recall"),
-        F.avg(F.abs(T - P)).alias("mae"), F.sqrt(F.avg((T - P) * (T - P))).alias("rmse"),
+        F.avg(F.abs(T() - P())).alias("mae"), F.sqrt(F.avg((T() - P()) * (T() - P()))).alias("rmse"),
     ]
 
 
@@ -181,32 +190,32 @@ def readiness_gate(summary: DataFrame, targets: dict = READY_TARGETS, by=("symbo
 
 def direction_evaluation(predictions: DataFrame, by=("symbol",)) -> DataFrame:
     """Direction accuracy with a binomial interval, and for the largest moves."""
-    cuts = exact_quantiles(predictions.withColumn("_a", F.abs(T)), list(by), "_a", {"_q75": 0.75})
+    cuts = exact_quantiles(predictions.withColumn("_a", F.abs(T())), list(by), "_a", {"_q75": 0.75})
     table = attach(predictions, cuts, list(by))
     n = F.count(F.lit(1))
-    hit = match_rate(T, P)
+    hit = match_rate(T(), P())
     margin = 1.96 * F.sqrt(hit * (1 - hit) / n)
     return table.groupBy(*by).agg(
-        n.alias("n_samples"), F.sum(F.when(F.signum(T) == F.signum(P), 1).otherwise(0)).alias("n_correct"),
+        n.alias("n_samples"), F.sum(F.when(F.signum(T()) == F.signum(P()), 1).otherwise(0)).alias("n_correct"),
         (hit * 100).alias("directional_accuracy"),
         F.greatest(F.lit(0.0), (hit - margin) * 100).alias("ci_lower"),
         F.least(F.lit(100.0), (hit + margin) * 100).alias("ci_upper"),
-        F.coalesce(match_rate(T, P, F.abs(T) > F.col("_q75")) * 100, F.lit(0.0)).alias("high_magnitude"),
-        F.avg(F.abs(T - P)).alias("mae"), F.avg((T - P) * (T - P)).alias("mse"),
+        F.coalesce(match_rate(T(), P(), F.abs(T()) > F.col("_q75")) * 100, F.lit(0.0)).alias("high_magnitude"),
+        F.avg(F.abs(T() - P())).alias("mae"), F.avg((T() - P()) * (T() - P())).alias("mse"),
     )
 
 
 def weighted_direction(predictions: DataFrame, by=("symbol",)) -> DataFrame:
     """Accuracy weighted by move size, mean of up and down accuracy, mean profit."""
-    hit = F.when(F.signum(T) == F.signum(P), 1.0).otherwise(0.0)
+    hit = F.when(F.signum(T()) == F.signum(P()), 1.0).otherwise(0.0)
 
     def side(cond):
         return F.coalesce(F.sum(F.when(cond, hit)), F.lit(0.0)) / (F.count_if(cond) + 1e-8)
 
     return predictions.groupBy(*by).agg(
-        F.try_divide(F.sum(hit * F.abs(T)), F.when(F.sum(F.abs(T)) > 0, F.sum(F.abs(T)))).alias("weighted_accuracy"),
-        ((side(T > 0) + side(T < 0)) / 2.0).alias("up_down_accuracy"),
-        F.avg(F.signum(P) * T).alias("profit_loss"),
+        F.try_divide(F.sum(hit * F.abs(T())), F.when(F.sum(F.abs(T())) > 0, F.sum(F.abs(T())))).alias("weighted_accuracy"),
+        ((side(T() > 0) + side(T() < 0)) / 2.0).alias("up_down_accuracy"),
+        F.avg(F.signum(P()) * T()).alias("profit_loss"),
     )
 
 
@@ -238,11 +247,11 @@ def fit_labels(parts: DataFrame) -> DataFrame:
 def prediction_statistics(predictions: DataFrame, by=("symbol",)) -> DataFrame:
     """Moments, median, distinct values to four digits, constant test and findings."""
     mid = exact_quantiles(predictions, list(by), "y_pred", {"median": 0.5})
-    rounded = F.floor(P * 10000 + 0.5)
+    rounded = F.floor(P() * 10000 + 0.5)
     out = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.avg(P).alias("mean"), F.stddev_pop(P).alias("std"), F.min(P).alias("lowest"),
-        F.max(P).alias("highest"), F.count_distinct(rounded).alias("unique_values"),
-        F.avg(T).alias("true_mean"), F.stddev_pop(T).alias("true_std"),
+        F.count(F.lit(1)).alias("n_samples"), F.avg(P()).alias("mean"), F.stddev_pop(P()).alias("std"), F.min(P()).alias("lowest"),
+        F.max(P()).alias("highest"), F.count_distinct(rounded).alias("unique_values"),
+        F.avg(T()).alias("true_mean"), F.stddev_pop(T()).alias("true_std"),
     ).join(mid, list(by))
     return out.withColumn("constant", F.col("std") < 1e-6).withColumn("findings", issues(
         (F.col("std") < 1e-6, "constant_predictions"), (F.col("unique_values") < 10, "few_unique_values"),
@@ -254,7 +263,7 @@ def prediction_statistics(predictions: DataFrame, by=("symbol",)) -> DataFrame:
 def correlation_history(epochs: DataFrame) -> DataFrame:
     """Correlation and prediction variance per epoch (epoch, y_true, y_pred), with alerts."""
     out = epochs.groupBy("symbol", "epoch").agg(
-        F.coalesce(corr(T, P), F.lit(0.0)).alias("correlation"), F.var_pop(P).alias("prediction_variance")
+        F.coalesce(corr(T(), P()), F.lit(0.0)).alias("correlation"), F.var_pop(P()).alias("prediction_variance")
     )
     return out.withColumn("alert", F.when(F.abs("correlation") > 0.15, "leakage")
                           .when(F.col("prediction_variance") < 1e-6, "collapse").otherwise("none"))
@@ -263,9 +272,9 @@ def correlation_history(epochs: DataFrame) -> DataFrame:
 def split_evaluation(parts: DataFrame) -> DataFrame:
     """Direction accuracy and counts of up and down moves per part."""
     return parts.groupBy("symbol", "part").agg(
-        F.count(F.lit(1)).alias("n_samples"), match_rate(T, P).alias("direction_accuracy"),
-        F.count_if(T > 0).alias("true_up"), F.count_if(T < 0).alias("true_down"),
-        F.count_if(P > 0).alias("pred_up"), F.count_if(P < 0).alias("pred_down"),
+        F.count(F.lit(1)).alias("n_samples"), match_rate(T(), P()).alias("direction_accuracy"),
+        F.count_if(T() > 0).alias("true_up"), F.count_if(T() < 0).alias("true_down"),
+        F.count_if(P() > 0).alias("pred_up"), F.count_if(P() < 0).alias("pred_down"),
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import materialize
 from .layout import attach
 
 BINS = 256
@@ -25,9 +26,13 @@ def ranked_values(df: DataFrame, keys, column: str) -> DataFrame:
         F.percentile_approx("_x", points, 20 * BINS).alias("_cuts"), F.count(F.lit(1)).alias("_n")
     )
     counts = live.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    binned = attach(counts, cuts, keys).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    ).drop("_cuts")
+    # Written once: bins and totals must see the same values, and sums of floats
+    # can differ in the last digit when a shuffle is repeated.
+    binned = materialize(
+        attach(counts, cuts, keys)
+        .withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
+        .drop("_cuts")
+    )
     totals = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_t"))
     earlier = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     shift = totals.select(*keys, "_bin", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
