@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, patterns, signals, learning, preparation, evaluation  # noqa: F401
+from . import features, patterns, signals, learning, preparation, evaluation, portfolio  # noqa: F401
 from .base import REGISTERED
 
 QUERIES = REGISTERED
