@@ -12,13 +12,19 @@ from .order_stats import exact_quantiles
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL in all floating columns: the engine has one kind of missing value."""
+    floats = [n for n, t in df.dtypes if t in ("double", "float")]
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
 def lower_names(df: DataFrame, required=OHLCV) -> DataFrame:
-    """Lower-case column names; raise if a required one is missing."""
+    """Lower-case column names and NULL for NaN; raise if a required column is missing."""
     out = df.toDF(*[c.lower() for c in df.columns])
     missing = [c for c in required if c not in out.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
-    return out
+    return nan_to_null(out)
 
 
 def broken_counts(bars: DataFrame, by=("symbol",)) -> DataFrame:
