@@ -54,7 +54,7 @@ def block_draws(table: DataFrame, draws: int = 1000, block: int = 5, seed: int =
     reg = Registry()
 
     def part(name):
-        return lambda f: F.collect_list(f[name]).over(f.rng(0, block - 1))
+        return lambda f: f.window_list(name, 0, block - 1)
 
     reg.add("b", _r=part("y_true"), _p=part("y_pred"))
     blocks = materialize(reg.compute(table, ["_r", "_p"]))

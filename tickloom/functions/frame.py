@@ -8,6 +8,7 @@ registry uses the record to order the features and to size the block overlap.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, Window as W, functions as F
 
@@ -15,6 +16,7 @@ from .scalar import c, fdiv
 
 EWM_TOLERANCE = 1e-15
 MAX_EXPONENT = 600.0
+POOLED = re.compile(r"\b_w\d+_\b")
 
 
 class Frame:
@@ -27,6 +29,8 @@ class Frame:
         self.ahead = 0
         self.deps: set[str] = set()
         self._specs: dict = {}
+        self.pool: dict[str, tuple[str, Column]] = {}
+        self.steps: dict[str, tuple[int, int, int]] = {}  # step, rows back, rows ahead
 
     # -- bookkeeping -----------------------------------------------------
     def __getitem__(self, name: str) -> Column:
@@ -47,14 +51,36 @@ class Frame:
             self._specs[lo, hi] = self.w.rowsBetween(lo, hi)
         return self._specs[lo, hi]
 
+    def once(self, window_column: Column, back: int = 0, ahead: int = 0) -> Column:
+        """Name a window expression: equal ones are computed once per layer, however often
+        a formula repeats them. A window over another one is computed a step later, and
+        its need of rows adds up."""
+        key = str(window_column)
+        if key not in self.pool:
+            inner = [self.steps[n] for n in set(POOLED.findall(key))]
+            step = tuple(max([s[i] for s in inner], default=0) + v for i, v in enumerate((1, back, ahead)))
+            name = f"_w{len(self.pool)}_"
+            self.pool[key], self.steps[name] = (name, window_column), step
+            self.need(step[1], step[2])
+        return F.col(self.pool[key][0])
+
+    def pooled(self) -> list[list[Column]]:
+        """The named window expressions, grouped by step."""
+        groups: dict[int, list[Column]] = {}
+        for name, column in self.pool.values():
+            groups.setdefault(self.steps[name][0], []).append(column.alias(name))
+        return [groups[k] for k in sorted(groups)]
+
+    def over(self, agg: Column, lo: int, hi: int = 0) -> Column:
+        """Aggregate over a rows frame, whatever the number of values in it."""
+        return self.once(agg.over(self.rng(lo, hi)), max(0, -lo), max(0, hi))
+
     # -- offsets ---------------------------------------------------------
     def lag(self, value, n: int = 1, default=None) -> Column:
-        self.need(back=n)
-        return F.lag(self.x(value), n, default).over(self.w)
+        return self.once(F.lag(self.x(value), n, default).over(self.w), back=n)
 
     def lead(self, value, n: int = 1) -> Column:
-        self.need(ahead=n)
-        return F.lead(self.x(value), n).over(self.w)
+        return self.once(F.lead(self.x(value), n).over(self.w), ahead=n)
 
     def diff(self, value, n: int = 1) -> Column:
         return self.x(value) - self.lag(value, n)
@@ -65,9 +91,8 @@ class Frame:
     # -- rolling aggregates ----------------------------------------------
     def agg(self, agg: Column, value, lo: int, hi: int = 0, min_rows: int | None = None) -> Column:
         """Aggregate over a rows frame; NULL until the frame holds min_rows values."""
-        frame = self.rng(lo, hi)
         need = (hi - lo + 1) if min_rows is None else min_rows
-        return F.when(F.count(self.x(value)).over(frame) >= need, agg.over(frame))
+        return F.when(self.over(F.count(self.x(value)), lo, hi) >= need, self.over(agg, lo, hi))
 
     def mean(self, value, n: int, min_rows: int | None = None) -> Column:
         return self.agg(F.avg(self.x(value)), value, -(n - 1), 0, min_rows)
@@ -100,7 +125,7 @@ class Frame:
         """Bias-corrected skewness; 0 for a flat frame."""
         value = self.x(value)
         factor = math.sqrt(n * (n - 1)) / (n - 2)
-        flat = F.max(value).over(self.rng(-(n - 1))) == F.min(value).over(self.rng(-(n - 1)))
+        flat = self.over(F.max(value), -(n - 1)) == self.over(F.min(value), -(n - 1))
         raw = self.agg(F.skewness(value), value, -(n - 1))
         return F.when(flat & self.mean(value, n).isNotNull(), F.lit(0.0)).otherwise(raw * factor)
 
@@ -112,14 +137,10 @@ class Frame:
     def corr(self, a, b, n: int) -> Column:
         """Pearson correlation of n complete pairs; NULL when one side is flat."""
         a, b = self._pair(a, b)
-        frame = self.rng(-(n - 1))
-        spread = F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)
-        live = (
-            (F.count(a).over(frame) >= n)
-            & (F.max(a).over(frame) > F.min(a).over(frame))
-            & (F.max(b).over(frame) > F.min(b).over(frame))
-        )
-        return F.when(live, F.try_divide(F.covar_pop(a, b).over(frame), spread))
+        get = lambda agg: self.over(agg, -(n - 1))
+        spread = get(F.stddev_pop(a)) * get(F.stddev_pop(b))
+        live = (get(F.count(a)) >= n) & (get(F.max(a)) > get(F.min(a))) & (get(F.max(b)) > get(F.min(b)))
+        return F.when(live, F.try_divide(get(F.covar_pop(a, b)), spread))
 
     def cov(self, a, b, n: int) -> Column:
         a, b = self._pair(a, b)
@@ -133,13 +154,13 @@ class Frame:
     def time_corr(self, value, n: int) -> Column:
         """Correlation with the row position; 0 for a flat frame."""
         value = self.x(value)
-        full = F.count(value).over(self.rng(-(n - 1))) >= n
+        full = self.over(F.count(value), -(n - 1)) >= n
         return F.when(full, F.coalesce(self.corr(value, F.col("pos").cast("double"), n), F.lit(0.0)))
 
     def rank_pct(self, value, n: int) -> Column:
         """Average-tie rank of the current value in the last n rows, over n."""
         value = self.x(value)
-        rows = F.collect_list(value).over(self.rng(-(n - 1)))
+        rows = self.over(F.collect_list(value), -(n - 1))
         last = F.element_at(rows, -1)
         below = F.size(F.filter(rows, lambda v: v < last))
         same = F.size(F.filter(rows, lambda v: v == last))
@@ -148,8 +169,8 @@ class Frame:
         )
 
     def mean_abs_dev(self, value, n: int) -> Column:
-        rows = F.collect_list(self.x(value)).over(self.rng(-(n - 1)))
-        mean = F.avg(self.x(value)).over(self.rng(-(n - 1)))
+        rows = self.over(F.collect_list(self.x(value)), -(n - 1))
+        mean = self.over(F.avg(self.x(value)), -(n - 1))
         total = F.aggregate(rows, F.lit(0.0), lambda acc, v: acc + F.abs(v - mean))
         return F.when(F.size(rows) == n, total / float(n))
 
@@ -159,8 +180,7 @@ class Frame:
         weight = n * (n + 1) / 2.0
         out = value * (n / weight)
         for k in range(1, n):
-            out = out + F.lag(value, k).over(self.w) * ((n - k) / weight)
-        self.need(back=n - 1)
+            out = out + self.lag(value, k) * ((n - k) / weight)
         return out
 
     def share(self, cond: Column, n: int) -> Column:
@@ -168,19 +188,19 @@ class Frame:
         return self.mean(F.when(cond, 1.0).otherwise(0.0), n)
 
     def window_list(self, value, lo: int, hi: int) -> Column:
-        return F.collect_list(self.x(value)).over(self.rng(lo, hi))
+        return self.over(F.collect_list(self.x(value)), lo, hi)
 
     # -- exponential means -----------------------------------------------
-    def _decayed(self, value: Column, decay: float, keys, offset: Column):
+    def _decayed(self, value: Column, decay: float, keys, offset: Column, memory: int):
         """Running sums of value / decay**offset and of the weights, inside keys."""
         run = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
         grow = F.pow(F.lit(1.0 / decay), offset)
         shrink = F.pow(F.lit(decay), offset)
-        total = F.sum(value * grow).over(run)
-        weight = F.sum(F.when(value.isNotNull(), grow)).over(run)
-        seed = F.first(value, ignorenulls=True).over(run)
-        seed_at = F.first(F.when(value.isNotNull(), offset), ignorenulls=True).over(run)
-        return total, weight, shrink, seed, offset - seed_at
+        total = self.once(F.sum(value * grow).over(run), memory)
+        weight = lambda: self.once(F.sum(F.when(value.isNotNull(), grow)).over(run), memory)
+        seed = lambda: self.once(F.first(value, ignorenulls=True).over(run), memory)
+        seed_at = lambda: self.once(F.first(F.when(value.isNotNull(), offset), ignorenulls=True).over(run), memory)
+        return total, weight, shrink, seed, lambda: offset - seed_at()
 
     def _decay_plan(self, value, decay: float, combine) -> Column:
         """Evaluate combine() on running decayed sums.
@@ -194,29 +214,28 @@ class Frame:
         value = self.x(value)
         rate = -math.log(decay)
         memory = math.ceil(-math.log(EWM_TOLERANCE) / rate)
-        self.need(back=memory)
         offset = F.col("pos") - self.start
         epoch = int(MAX_EXPONENT / rate)
         if self.rows <= epoch:
-            return combine(*self._decayed(value, decay, self.keys, offset))
+            return combine(*self._decayed(value, decay, self.keys, offset, memory))
         half = epoch // 2
-        even = self._decayed(value, decay, self.keys + [F.floor(offset / epoch)], offset % epoch)
+        even = self._decayed(value, decay, self.keys + [F.floor(offset / epoch)], offset % epoch, memory)
         odd_off = offset + half
-        odd = self._decayed(value, decay, self.keys + [F.floor(odd_off / epoch)], odd_off % epoch)
+        odd = self._decayed(value, decay, self.keys + [F.floor(odd_off / epoch)], odd_off % epoch, memory)
         use_even = (offset < half) | (offset % epoch >= half)
         return F.when(use_even, combine(*even)).otherwise(combine(*odd))
 
     def ewm(self, value, span: float | None = None, alpha: float | None = None) -> Column:
         """Exponential mean with normalised weights."""
         alpha = alpha if alpha is not None else 2.0 / (span + 1.0)
-        return self._decay_plan(value, 1.0 - alpha, lambda s, w, k, seed, age: F.try_divide(s, w))
+        return self._decay_plan(value, 1.0 - alpha, lambda s, w, k, seed, age: F.try_divide(s, w()))
 
     def ewm_recursive(self, value, alpha: float) -> Column:
         """y = (1-a) y + a x, seeded by the first value."""
         decay = 1.0 - alpha
 
         def combine(total, weight, shrink, seed, age):
-            return total * shrink * alpha + seed * F.pow(F.lit(decay), age + 1)
+            return total * shrink * alpha + seed() * F.pow(F.lit(decay), age() + 1)
 
         return self._decay_plan(value, decay, combine)
 

@@ -31,8 +31,8 @@ def fdiv(num, den) -> Column:
 
 
 def guarded(num, den, eps: float = GUARD) -> Column:
-    """num / (den + eps): the guarded ratio that most features use."""
-    return fdiv(num, c(den).cast("double") + F.lit(eps))
+    """num / (den + eps): the guarded ratio that most features use; NULL should den be -eps."""
+    return F.try_divide(c(num).cast("double"), c(den).cast("double") + F.lit(eps))
 
 
 def ratio_or(num, den, default) -> Column:

@@ -26,7 +26,7 @@ def windows(df: DataFrame, features, length: int = 20, horizon: int = 1, stride:
 
     def rows(f):
         cells = [F.coalesce(f[c].cast("double"), F.lit(0.0)) if fill == "zero" else f[c].cast("double") for c in features]
-        return F.collect_list(F.array(*cells)).over(f.rng(0, length - 1))
+        return f.window_list(F.array(*cells), 0, length - 1)
 
     ahead = length - 1 + (horizon if targets else 0)
     reg.add("window", window=rows, _last=lambda f: f.lead("pos", ahead + (1 if exclude_last else 0)))

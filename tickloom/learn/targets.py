@@ -277,10 +277,10 @@ def fixed_registry(horizon: int = 5, gap: int = 5, lookback: int = 20) -> Regist
         return (f["pos"] >= lookback) & f.lead("pos", gap + horizon).isNotNull()
 
     def enough(f, x):
-        return F.count(x).over(f.rng(-lookback, -1)) >= 10
+        return f.over(F.count(x), -lookback, -1) >= 10
 
     def recent(f, agg):
-        return agg.over(f.rng(-5, -1))
+        return f.over(agg, -5, -1)
 
     def momentum(f):
         x = f["momentum_persistence_7d"]
@@ -296,7 +296,7 @@ def fixed_registry(horizon: int = 5, gap: int = 5, lookback: int = 20) -> Regist
         x = f["volatility_regime_change"]
         shift = recent(f, F.avg(x))
         seen = F.when(x.isNotNull(), f["returns_1d"])
-        was = F.stddev_pop(seen).over(f.rng(-lookback, -1))
+        was = f.over(F.stddev_pop(seen), -lookback, -1)
         then = future(f, F.stddev_pop(f["returns_1d"]), f["returns_1d"])
         change = F.try_divide(then - was, F.when(was != 0, was))
         hit = (F.abs(shift) >= 0.2) & (F.signum(shift) == F.signum(change)) & (F.abs(change) > 0.1)
@@ -304,7 +304,7 @@ def fixed_registry(horizon: int = 5, gap: int = 5, lookback: int = 20) -> Regist
 
     def trend(f):
         x = f["trend_exhaustion"]
-        was = F.avg(F.when(x.isNotNull(), f["returns_3d"])).over(f.rng(-lookback, -1))
+        was = f.over(F.avg(F.when(x.isNotNull(), f["returns_3d"])), -lookback, -1)
         then = future(f, F.avg(f["returns_3d"]), f["returns_3d"])
         hit = (
             (recent(f, F.avg(F.abs(x))) >= 0.3) & (F.abs(was) >= 0.01)

@@ -47,8 +47,8 @@ def _likelihood(r: Column, omega, alpha, beta) -> Column:
 
 def garch_volatility(bars: DataFrame, grid=GRID) -> DataFrame:
     reg = Registry(parent=CORE)
-    reg.add("g", _r=lambda f: F.collect_list(f["_log_return"]).over(f.rng(-(WINDOW - 1))),
-            _var=lambda f: F.var_pop(f["_log_return"]).over(f.rng(-(WINDOW - 1))))
+    reg.add("g", _r=lambda f: f.window_list("_log_return", -(WINDOW - 1), 0),
+            _var=lambda f: f.over(F.var_pop(f["_log_return"]), -(WINDOW - 1)))
     table = reg.compute(bars, ["_r", "_var"])
     # index of the return: the first bar has none
     table = materialize(table.withColumn("_i", F.col("pos") - 1))

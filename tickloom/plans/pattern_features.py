@@ -78,13 +78,9 @@ PATTERN.add(
 def _beta(f, stock, market, n, least):
     """Sample covariance over population variance of complete pairs."""
     a, b = f._pair(stock, market)
-    frame = f.rng(-(n - 1))
-    live = (
-        (F.count(f[stock]).over(frame) >= n)
-        & (F.count(b).over(frame) >= least)
-        & (F.max(b).over(frame) > F.min(b).over(frame))
-    )
-    return F.when(live, F.try_divide(F.covar_samp(a, b).over(frame), F.var_pop(b).over(frame)))
+    get = lambda agg: f.over(agg, -(n - 1))
+    live = (get(F.count(f[stock])) >= n) & (get(F.count(b)) >= least) & (get(F.max(b)) > get(F.min(b)))
+    return F.when(live, F.try_divide(get(F.covar_samp(a, b)), get(F.var_pop(b))))
 
 
 PATTERN.add(
@@ -226,7 +222,7 @@ PATTERN_SET.running("volatility", "_log_sum", "_log0")
 PATTERN_SET.running("volatility", "_log_sq_sum", "_log0_sq")
 PATTERN_SET.add(
     "volatility",
-    _signal_in=lambda f: F.when(f["pos"] == GARCH_WARMUP - 1, F.var_pop(f["_log0"]).over(f.rng(-GARCH_WARMUP + 1))).when(
+    _signal_in=lambda f: F.when(f["pos"] == GARCH_WARMUP - 1, f.over(F.var_pop(f["_log0"]), -GARCH_WARMUP + 1)).when(
         f["pos"] >= GARCH_WARMUP,
         GARCH["alpha"] * f.lag("_log0_sq")
         + (1 - GARCH["alpha"] - GARCH["beta"])

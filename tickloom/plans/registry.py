@@ -134,6 +134,8 @@ class Registry:
                 frame = Frame(start=start, rows=block + back + ahead)
                 alive = [c for c in plan.columns if c in final or last_use.get(c, -1) >= i]
                 fresh = {f.name: f.build(frame).alias(f.name) for f in plain}
+                for step in frame.pooled():
+                    plan = plan.select("*", *step)
                 plan = plan.select(*[c for c in alive if c not in fresh], *fresh.values())
             scans: dict[int, dict] = {}
             for f in layer:

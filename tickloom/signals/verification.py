@@ -59,7 +59,7 @@ def window_scores(features: DataFrame, weights: dict[str, float], bias: float =
     def score(f):
         z = F.lit(bias)
         for n, w in weights.items():
-            z = z + w * F.avg(f[n]).over(f.rng(-lookback, -1))
+            z = z + w * f.over(F.avg(f[n]), -lookback, -1)
         return F.when(f["pos"] >= lookback, 1.0 / (1.0 + F.exp(-z))).otherwise(0.0)
 
     reg.add("score", confidence=score)
