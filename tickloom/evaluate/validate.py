@@ -8,7 +8,7 @@ from ..functions.aggregates import corr, issues, kurt, match_rate, share, skew
 from ..functions.scalar import INF, is_inf
 from ..operators.align import date_overlap, missing_symbols
 from ..operators.clean import column_scores
-from ..operators.layout import attach
+from ..operators.layout import attach, attach_scalar
 from ..operators.order_stats import exact_quantiles
 from ..plans.core_features import CORE
 from ..plans.registry import Registry
@@ -254,7 +254,7 @@ def return_distributions(bars: DataFrame) -> DataFrame:
         F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), skew(r).alias("skew"), kurt(r).alias("kurtosis"), F.count(r).alias("n")
     )
     cut = exact_quantiles(stats.select(F.lit(1).alias("g"), F.abs("skew").alias("a")), ["g"], "a", {"_cut": 0.9}).select("_cut")
-    return stats.crossJoin(F.broadcast(cut)).withColumn("divergent", F.coalesce(F.abs("skew") > F.col("_cut") * 2, F.lit(False))).drop("_cut")
+    return stats.transform(attach_scalar, cut).withColumn("divergent", F.coalesce(F.abs("skew") > F.col("_cut") * 2, F.lit(False))).drop("_cut")
 
 
 def range_advice(bars: DataFrame) -> DataFrame:
@@ -268,18 +268,17 @@ def range_advice(bars: DataFrame) -> DataFrame:
 def cross_consistency(bars: DataFrame, min_overlap: float = 0.8) -> DataFrame:
     low = date_overlap(bars).agg(F.coalesce(F.min("overlap"), F.lit(1.0)).alias("min_overlap"))
     div = return_distributions(bars).agg(F.count_if("divergent").alias("divergent_symbols"))
-    return low.crossJoin(F.broadcast(div)).withColumn("consistent", F.col("min_overlap") >= min_overlap)
+    return low.transform(attach_scalar, div).withColumn("consistent", F.col("min_overlap") >= min_overlap)
 
 
 def portfolio_check(bars: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """Verdict over all symbols: quality, pattern readiness, required symbols, overlap."""
     per = quality_report(bars).select("symbol", "quality_score").join(pattern_readiness(bars).select("symbol", "pattern_ready"), "symbol")
     ok = (F.col("quality_score") > 0.5) & F.col("pattern_ready")
-    out = per.agg(F.count(F.lit(1)).alias("total_tickers"), F.count_if(~ok).alias("failed_tickers")).crossJoin(
-        F.broadcast(cross_consistency(bars).select("consistent")))
+    out = per.agg(F.count(F.lit(1)).alias("total_tickers"), F.count_if(~ok).alias("failed_tickers")).transform(attach_scalar, cross_consistency(bars).select("consistent"))
     gone = (missing_symbols(bars, required) if required is not None else bars.select("symbol").limit(0)).agg(
         F.count(F.lit(1)).alias("missing_tickers"))
-    return out.crossJoin(F.broadcast(gone)).withColumn(
+    return out.transform(attach_scalar, gone).withColumn(
         "overall_valid", (F.col("failed_tickers") == 0) & F.col("consistent") & (F.col("missing_tickers") == 0))
 
 
@@ -336,7 +335,7 @@ def target_construction(df: DataFrame) -> DataFrame:
     spread = out.agg((F.max("mean") - F.min("mean")).alias("_spread"))
     found = issues((F.abs("mean") > 0.01, "high mean"), (c("std") > 0.1, "high volatility"), (c("nan_count") > 0, "nulls"),
                    (c("match_corr") < 0.99, "mismatch"), (c("_spread") > 0.005, "means differ"))
-    return out.crossJoin(F.broadcast(spread)).withColumn("issues", found).drop("_spread")
+    return out.transform(attach_scalar, spread).withColumn("issues", found).drop("_spread")
 
 
 def scaling_checks(df: DataFrame, features, by=("symbol",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import SECTORS
 from .fill import fill_both
-from .layout import attach, with_positions
+from .layout import attach, attach_scalar, with_positions
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -19,7 +19,7 @@ def common_dates(df: DataFrame) -> DataFrame:
     """
     symbols = df.select("symbol").distinct().agg(F.count(F.lit(1)).alias("_all"))
     per_time = df.groupBy("ts").agg(F.count(F.lit(1)).alias("_k"))
-    return per_time.crossJoin(F.broadcast(symbols)).where(F.col("_k") == F.col("_all")).select("ts")
+    return per_time.transform(attach_scalar, symbols).where(F.col("_k") == F.col("_all")).select("ts")
 
 
 def require_common_dates(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def alignment_report(df: DataFrame) -> DataFrame:
     """Missing times per symbol against the union of times; aligned when none is missing."""
     times = df.select("ts").distinct().agg(F.count(F.lit(1)).alias("_all"))
     per_symbol = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
-    return per_symbol.crossJoin(F.broadcast(times)).select(
+    return per_symbol.transform(attach_scalar, times).select(
         "symbol", "n_rows", (F.col("_all") - F.col("n_rows")).alias("missing"),
         (F.col("_all") == F.col("n_rows")).alias("aligned"),
     )

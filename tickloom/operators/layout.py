@@ -65,3 +65,9 @@ def attach(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int =
     if small.count() <= bound:
         small = F.broadcast(small)
     return df.join(small, on, how)
+
+
+def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (a global aggregate) to every row."""
+    key = F.lit(1).alias("_one")
+    return df.select("*", key).join(F.broadcast(one_row.select("*", key)), "_one").drop("_one")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.layout import attach_scalar
+
 from ..learn import sequences as sq, splits as sp
 from ..learn.scaling import (
     clip_bounds, fit_clip_scale, fit_scale, fit_scaler, load_scaler, save_scaler, scale, scale_by_group, unscale,
@@ -353,7 +355,7 @@ register("split_shared_dates", "part_rows:i shared:i", "JN15",
 
 def _shared(parts):
     shared = sp.shared_dates(parts).agg(F.count(F.lit(1)).alias("shared"))
-    return parts.where(F.col("part").isin("train", "test")).agg(F.count(F.lit(1)).alias("part_rows")).crossJoin(F.broadcast(shared))
+    return parts.where(F.col("part").isin("train", "test")).agg(F.count(F.lit(1)).alias("part_rows")).transform(attach_scalar, shared)
 
 
 register("split_ratio", "symbol ts:t part", "SPL11",

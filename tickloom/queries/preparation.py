@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.layout import attach_scalar
+
 from ..evaluate.strategy import strategy_performance
 from ..evaluate.validate import raw_checks
 from ..functions.scalar import ratio_or
@@ -115,7 +117,7 @@ def _load_job(s, d):
     st.load_prices(hourly(s, d).drop("pos"), path, "second")
     size = lambda t: s.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias(t))
     runs = s.read.parquet(f"{path}/runs").where("status = 'success'").agg(F.count(F.lit(1)).alias("runs"))
-    return size("prices").crossJoin(size("returns")).crossJoin(size("tickers")).crossJoin(runs)
+    return size("prices").transform(attach_scalar, size("returns")).transform(attach_scalar, size("tickers")).transform(attach_scalar, runs)
 
 
 register("load_job", "prices:i returns:i tickers:i runs:i", "SRC3 SRC4 SRC6 SRC15",

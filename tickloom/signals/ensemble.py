@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import add_all, clip, is_inf
 from ..operators.clean import infinities_to_null, valid_bars, with_fallbacks
-from ..operators.layout import attach, with_positions
+from ..operators.layout import attach, attach_scalar, with_positions
 from ..plans.core_features import CORE
 from .strategies import MacdRules, RsiRules, run_strategies
 
@@ -91,7 +91,7 @@ def combine_long(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """
     live = weights.where(F.col("weight") > 0)
     total = live.agg(F.sum("weight").alias("_total"))
-    joined = signals.join(F.broadcast(live), "strategy").crossJoin(F.broadcast(total))
+    joined = attach(signals, live, ["strategy"], "inner").transform(attach_scalar, total)
     return joined.groupBy("symbol", "ts").agg(
         (F.sum(F.col("position") * F.col("weight")) / F.max("_total")).alias("position"),
         (F.sum(F.col("strength") * F.col("weight")) / F.max("_total")).alias("confidence"),
@@ -158,7 +158,7 @@ def rebalanced_weights(performance: DataFrame) -> DataFrame:
     gain = performance.withColumn("_g", F.greatest(F.col("sharpe"), F.lit(0.0)))
     total = gain.agg(F.sum("_g").alias("_total"))
     share = F.when(F.col("_total") > 0, F.try_divide(F.col("_g"), F.col("_total"))).otherwise(F.col("weight"))
-    return gain.crossJoin(F.broadcast(total)).select("strategy", share.alias("weight"))
+    return gain.transform(attach_scalar, total).select("strategy", share.alias("weight"))
 
 
 def attribution(ensemble: DataFrame, names) -> DataFrame:
