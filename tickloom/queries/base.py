@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalar import INF
 
 
+# A little over one half: values that end exactly on a half round up on both sides,
+# whatever their last bits.
+HALF = 0.5000037
+
+
 @dataclass
 class Query:
     name: str
@@ -54,7 +59,7 @@ def _spark_field(name, kind, digits):
         return x
     x = x.cast("double")
     scale = F.lit(10.0**digits)
-    return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) > 1e11, x).otherwise(F.floor(x * scale + 0.5) / scale)
+    return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) > 1e11, x).otherwise(F.floor(x * scale + HALF) / scale)
 
 
 def _sql_field(name, kind, digits):
@@ -66,7 +71,7 @@ def _sql_field(name, kind, digits):
         return name
     x = f"CAST({name} AS DOUBLE)"
     scale = f"CAST({10**digits} AS DOUBLE)"
-    return f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) > 1e11 THEN {x} ELSE floor({x} * {scale} + 0.5) / {scale} END"
+    return f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) > 1e11 THEN {x} ELSE floor({x} * {scale} + {HALF}::DOUBLE) / {scale} END"
 
 
 REGISTERED: dict[str, Query] = {}

@@ -139,7 +139,7 @@ def ewm(x, alpha):
     b = f"(1.0 - {alpha})"
     items = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {RUN}"
     num = f"list_reduce({items}, lambda a, v: {b} * a + v)"
-    ones = f"(1 - pow({b}, count({x}) OVER {RUN})) / {alpha}"
+    ones = f"list_reduce(list_transform({items}, lambda v: 1.0::DOUBLE), lambda a, v: {b} * a + v)"
     return f"({num}) / ({ones})"
 
 
