@@ -96,3 +96,17 @@ def test_missing_columns_raise(spark):
     with pytest.raises(ValueError, match="Missing required"):
         cl.lower_names(frame(spark, ohlcv(5)).drop("volume"))
     assert cl.lower_names(frame(spark, ohlcv(5)).withColumnRenamed("close", "Close")).columns[6] == "close"
+
+
+def test_symbol_without_peers_gets_the_neutral_sector_relations(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.plans.cross_section import cross_sectional
+
+    df = frame(spark, ohlcv(80, "A"), ohlcv(80, "B", 2), ohlcv(80, "C", 3))
+    df = df.withColumn("sector", F.when(F.col("symbol") == "C", "lone").otherwise("pair"))
+    out = cross_sectional(df).toPandas()
+    lone, pair = out[out["symbol"] == "C"], out[out["symbol"] == "A"]
+    assert (lone["beta_to_sector"] == 1).all() and (lone["relative_volume_sector"] == 0).all()
+    assert (lone["relative_strength_sector"] == 0).all() and (lone["peer_correlation_mean"] == 0).all()
+    assert pair["beta_to_sector"].tail(10).ne(1).all()

@@ -26,6 +26,9 @@ NEUTRAL = {
     "flow_divergence": 0.0, "sentiment_divergence": 0.0,
 }
 
+# Sector relations of a symbol that is alone in its sector.
+NO_PEERS = {"beta_to_sector": 1.0, "relative_volume_sector": 0.0, "relative_volatility_sector": 0.0}
+
 
 def _or(x, value):
     return F.coalesce(x, F.lit(float(value)))
@@ -153,8 +156,12 @@ def cross_sectional(bars: DataFrame) -> DataFrame:
     sector = sector_aggregates(returns).drop("pos")
     common = attach(returns, common_dates(returns), ["ts"], "left_semi")
     common = materialize(with_positions(common.drop("pos"), "year"))
-    inputs = attach(common, market, ["ts"]).join(sector, ["symbol", "ts"], "left")
-    rel = CROSS.compute(inputs, COMMON_FEATURES, keep=SECTOR_MOMENTUM)
+    members = returns.select("sector", "symbol").distinct().groupBy("sector").agg(F.count(F.lit(1)).alias("members"))
+    inputs = attach(attach(common, market, ["ts"]), members, ["sector"]).join(sector, ["symbol", "ts"], "left")
+    rel = CROSS.compute(inputs, COMMON_FEATURES, keep=SECTOR_MOMENTUM + ["members"])
+    alone = F.coalesce(F.col("members") < 2, F.lit(True))
+    for name, value in NO_PEERS.items():
+        rel = rel.withColumn(name, F.when(alone, F.lit(value)).otherwise(F.col(name)))
     rel = rel.join(peer_correlations(common), ["symbol", "ts"], "left")
     filled = rel.select(
         "symbol", "ts", *COMMON_FEATURES,
