@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_scores(docs, fit(docs, train_labels(table(spark, folder, "labels"))))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
