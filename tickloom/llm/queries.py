@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .ngram_join import near_copies
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"), words=3, percent=90)
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_scores(docs, fit(docs, train_labels(table(spark, folder, "labels"))))
@@ -21,6 +26,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
 }
