@@ -95,6 +95,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def seeded(k: int) -> np.uint64:
+    """A constant that differs for each small number."""
+    return np.uint64((k * int(GOLDEN)) & 0xFFFFFFFFFFFFFFFF)
+
+
 _weights = np.zeros(0, np.uint64)
 
 

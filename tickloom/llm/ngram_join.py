@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLDEN, Texts, in_arrow, mix, slices, span_hashes, stored, texts_of, window_hashes, words_of
+from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, window_hashes, words_of
 from .components import components
 
 COUNTER_BITS, BLOCK_BITS, MAP_BITS, RANGES = 20, 10, 26, 16
@@ -44,7 +44,7 @@ def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
         for t in np.flatnonzero(counts == size):
             a = found.first[t]
             whole, _ = window_hashes(hashes[a : a + size], np.array([0, size]), size)
-            out[t] = mix(whole + np.uint64(size) * GOLDEN)
+            out[t] = mix(whole + seeded(int(size)))
     return out
 
 
@@ -102,7 +102,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int, id_c
                 ranges = np.bincount(text * RANGES + (all_ >> np.uint64(60)).astype(np.int64), minlength=RANGES * len(sets))
                 marks = []
                 for seed in (1, 2):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(all_ + np.uint64(seed) * GOLDEN))])
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(all_ + seeded(seed)))])
                     marks.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes), *marks, _lists([np.asarray(r) for r in ranges.reshape(-1, RANGES)], pa.int32()),

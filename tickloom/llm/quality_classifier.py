@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLDEN, Texts, in_arrow, mix, pass_batches, slices, span_hashes, texts_of, words_of
+from .common import GOLDEN, Texts, in_arrow, mix, pass_batches, seeded, slices, span_hashes, texts_of, words_of
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def grams(texts: Texts, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     shift = np.uint64(64 - bits)
     out = []
     for k, stream in enumerate((hashes, forms)):
-        single = mix(stream + np.uint64(2 * k + 1) * GOLDEN)
+        single = mix(stream + seeded(2 * k + 1))
         both = mix(single[:-1] * np.uint64(3) + single[1:] * GOLDEN)[pair[:-1]]
         out += [((single >> shift).astype(np.int64), first), ((both >> shift).astype(np.int64), seconds)]
     return out

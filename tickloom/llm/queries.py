@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ngram_join import near_copies
+from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(personal_data(table(spark, folder, "documents")))
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"), words=3, percent=90)
 
@@ -26,6 +31,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
