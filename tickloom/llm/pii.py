@@ -79,6 +79,7 @@ KINDS = (
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 THRESHOLD, NEAR_CHARS = 0.6, 40
+BLOCK = 256  # matches per inner fold: appending to a growing list is then cheap for any number of matches
 SPAN = "struct<start:int,place:int,end:int,kind:string,score:double>"
 
 
@@ -106,8 +107,14 @@ def _found(text: Column, place: int, kind: Kind, threshold: float) -> Column:
 
     pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(kind.hint(text), walked).otherwise(none)
+
+    def block(states: Column, first: Column) -> Column:
+        start = F.struct(F.element_at(states, -1)["at"].alias("at"), none.alias("spans"))
+        return F.concat(states, F.array(F.aggregate(F.slice(pairs, first, BLOCK), start, step)))
+
+    blocks = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    walked = F.aggregate(blocks, F.array(F.struct(F.lit(0).alias("at"), none.alias("spans"))), block)
+    return F.when(kind.hint(text), F.flatten(F.transform(walked, lambda s: s["spans"]))).otherwise(none)
 
 
 def spans_of(text: Column, threshold: float = THRESHOLD) -> Column:
@@ -128,7 +135,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.expr(f"bigint(size(filter(spans, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in BASE]
     return found.select(id_col, *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
