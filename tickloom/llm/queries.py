@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ngram_join import near_copies
+from .packing import packed
 from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), WORD_BPE)
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return digest(personal_data(table(spark, folder, "documents")))
 
@@ -31,6 +40,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
