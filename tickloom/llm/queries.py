@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import edited_fingerprints
 from .ngram_join import near_copies
 from .packing import packed
 from .pii import digest, personal_data
@@ -22,6 +23,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), WORD_BPE)
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return digest(personal_data(table(spark, folder, "documents")))
 
@@ -41,6 +46,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
     "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
