@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import edited_fingerprints
+from .licences import licence_scan, oracle as licence_oracle
 from .ngram_join import near_copies
 from .packing import packed
 from .pii import digest, personal_data
@@ -44,6 +45,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
 
 
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op10_licences": op10_licences,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_licences": licence_oracle()}
