@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .fingerprints import edited_fingerprints
 from .licences import licence_scan, oracle as licence_oracle
 from .ngram_join import near_copies
 from .packing import packed
+from .pieces import decoded, encoded, with_digest
 from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
 
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +47,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and CRC-32 of each text's piece ids, and the SHA-256 of what they decode to."""
+    rows = with_digest(decoded(encoded(table(spark, folder, "documents"), PIECES), PIECES))
+    return rows.select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licence_scan(table(spark, folder, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_licences": op10_licences,
 }
+# Each maps a query to DuckDB's SQL for the same rows.
 ORACLES: dict[str, str] = {"op10_licences": licence_oracle()}
