@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .fingerprints import edited_fingerprints
 from .licences import licence_scan, oracle as licence_oracle
+from .lm_scoring import fit_language, lm_scores
 from .ngram_join import near_copies
 from .packing import packed
 from .pieces import decoded, encoded, with_digest
@@ -43,6 +44,11 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(docs, fit(docs, train_labels(table(spark, folder, "labels"))))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm_scores(docs, fit_language(docs))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_licences": op10_licences,
