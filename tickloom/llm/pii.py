@@ -79,10 +79,28 @@ KINDS = (
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 THRESHOLD, NEAR_CHARS = 0.6, 40
-BLOCK = 256  # matches per inner fold: appending to a growing list is then cheap for any number of matches
+BLOCK = 256  # matches per inner fold
 SPAN = "struct<start:int,place:int,end:int,kind:string,score:double>"
 
 
+def folded(matches: Column, gaps: Column, kind: str, step: Callable[[Column, Column], Column], name: str) -> Column:
+    """Fold step over the pairs (gap, match) of a text from left to right; its state is (at, an array of `kind` called `name`).
+
+    Blocks of pairs are folded each into an array of their own, so that appending stays cheap for any number of matches.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
+    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
+
+    def block(states: Column, first: Column) -> Column:
+        start = F.struct(F.element_at(states, -1)["at"].alias("at"), none.alias(name))
+        return F.concat(states, F.array(F.aggregate(F.slice(pairs, first, BLOCK), start, step)))
+
+    blocks = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    walked = F.aggregate(blocks, F.array(F.struct(F.lit(0).alias("at"), none.alias(name))), block)
+    return F.flatten(F.transform(walked, lambda s: s[name]))
+
+
 def _found(text: Column, place: int, kind: Kind, threshold: float) -> Column:
     pattern = F.lit(kind.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -105,16 +123,7 @@ def _found(text: Column, place: int, kind: Kind, threshold: float) -> Column:
             (start + F.length(match)).alias("at"), F.when(wanted, F.concat(state["spans"], F.array(span.cast(SPAN)))).otherwise(state["spans"]).alias("spans")
         )
 
-    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-
-    def block(states: Column, first: Column) -> Column:
-        start = F.struct(F.element_at(states, -1)["at"].alias("at"), none.alias("spans"))
-        return F.concat(states, F.array(F.aggregate(F.slice(pairs, first, BLOCK), start, step)))
-
-    blocks = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(blocks, F.array(F.struct(F.lit(0).alias("at"), none.alias("spans"))), block)
-    return F.when(kind.hint(text), F.flatten(F.transform(walked, lambda s: s["spans"]))).otherwise(none)
+    return F.when(kind.hint(text), folded(matches, gaps, SPAN, step, "spans")).otherwise(none)
 
 
 def spans_of(text: Column, threshold: float = THRESHOLD) -> Column:

@@ -17,7 +17,7 @@ from .pieces import decoded, encoded, with_digest
 from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import quality_report
-
+from .token_counts import masking_edits, recounted, token_trees
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,6 +31,14 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each text before and after its masking edits, and how many characters were encoded for the second count."""
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", masking_edits(docs["text"], docs["source"]).alias("edits"))
+    found = recounted(token_trees(docs, WORD_BPE, more=["edits"]), WORD_BPE)
+    return found.select("doc_id", "n_tokens", "edited_tokens", "encoded_chars", F.length("text").cast("long").alias("edited_chars"))
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return digest(personal_data(table(spark, folder, "documents")))
 
@@ -66,6 +74,7 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
+    "op3_token_counts": op3_token_counts,
     "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
