@@ -5,7 +5,7 @@ characters a word holds and whether it equals the word before. Each n-gram is ha
 sparse dot product of its n-gram frequencies (each bag sums to its scale) with the weights, plus a bias.
 
 Training reads at most about `train_rows` labelled documents (a documented bound: the weights, not the corpus, limit
-the fit), dealt by hash over `shards` tasks. Each task runs the updates over its share and returns one weight vector of
+the fit), dealt by hash in `shards` groups. A task runs the updates over a group and returns one weight vector of
 fixed size; their mean is the model. Scoring covers every document.
 
 A NULL or empty text has no n-grams and scores by the bias alone. Rows with a NULL label or id don't train; equal ids
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLDEN, Texts, in_arrow, mix, pass_batches, seeded, slices, span_hashes, texts_of, words_of
+from .common import GOLDEN, Texts, in_arrow, mix, pass_batches, seeded, ship, slices, span_hashes, texts_of, words_of
 
 
 @dataclass(frozen=True)
@@ -135,21 +135,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     part = min(1.0, settings.train_rows / count)
     sample = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(part * (1 << 31)))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = rows.join(F.broadcast(sample), "id").select("id", "text", "label").repartition(settings.shards, F.xxhash64("id", F.lit(1)))
-
-    def run(batches):
-        seen = []
-        for batch in batches:
-            labels_ = batch.column(2).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).cast(pa.string()).to_pylist()
-            for a, _, part_ in slices(texts_of(batch.column(1))):
-                seen += [(i, at, x, y) for (at, x), i, y in zip(examples(part_, settings.bits), ids[a:], labels_[a:])]
-        if seen:
-            seen.sort(key=lambda r: r[0])
-            w, b = follow_leader([r[1:] for r in seen], settings)
-            yield pa.RecordBatch.from_arrays([pa.array([len(seen)]), pa.array([b]), pa.array([w.tobytes()])], ["n", "bias", "weights"])
-
-    got = in_arrow(rows, run, "n long, bias double, weights binary").collect()
+    shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(settings.shards)).alias("shard")
+    rows = rows.join(F.broadcast(sample), "id").select(shard, F.col("id").cast("string").alias("id"), "text", "label")
+
+    def train(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+        labels_ = table.column("label").to_numpy()
+        seen = [(at, x, y) for a, b, part_ in slices(texts_of(table.column("text"))) for (at, x), y in zip(examples(part_, settings.bits), labels_[a:b])]
+        w, bias = follow_leader(seen, settings)
+        return pa.table({"n": [len(seen)], "bias": [bias], "weights": pa.array([w.tobytes()], pa.binary())})
+
+    ship(docs.sparkSession)
+    got = rows.groupBy("shard").applyInArrow(train, "n long, bias double, weights binary").collect()
     if not got:
         return None
     share = np.array([r.n for r in got], float)
