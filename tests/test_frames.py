@@ -151,3 +151,17 @@ def test_one_shuffle_serves_all_layers(spark, series):
     df = frame(spark, *series)
     plan = CORE.compute(df, ["macd_histogram", "stoch_k", "bb_squeeze"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("block", BLOCKS)
+def test_recursive_means_cross_gaps(spark, series, block):
+    """Single and short NULL runs: the old mean decays for the rows of the gap, and NULL rows keep it."""
+    a = series[0].copy()
+    holes = [0, 1, 30, 31, 32, 90, 200, 202]
+    a.loc[holes, "close"] = np.nan
+    reg = Registry()
+    reg.add("e", slow=lambda f: f.ewm_recursive("close", 0.2), fast=lambda f: f.ewm_recursive("close", 0.7), norm=lambda f: f.ewm("close", alpha=0.2))
+    got = pull(reg.compute(frame(spark, a), ["slow", "fast", "norm"], block=block), ["slow", "fast", "norm"], "A")
+    close_to(got["slow"], a["close"].ewm(alpha=0.2, adjust=False).mean())
+    close_to(got["fast"], a["close"].ewm(alpha=0.7, adjust=False).mean())
+    close_to(got["norm"], a["close"].ewm(alpha=0.2).mean())

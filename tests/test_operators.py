@@ -110,3 +110,29 @@ def test_symbol_without_peers_gets_the_neutral_sector_relations(spark):
     assert (lone["beta_to_sector"] == 1).all() and (lone["relative_volume_sector"] == 0).all()
     assert (lone["relative_strength_sector"] == 0).all() and (lone["peer_correlation_mean"] == 0).all()
     assert pair["beta_to_sector"].tail(10).ne(1).all()
+
+
+def test_chunks_are_replaced_one_by_one_and_pruned(spark, tmp_path):
+    from tickloom.sources.store import read_weeks, write_weekly
+
+    bars = frame(spark, ohlcv(60, start="2024-01-01")).drop("pos")
+    path = str(tmp_path / "chunks")
+    write_weekly(bars, path)
+    write_weekly(bars.where("ts >= timestamp_ntz'2024-01-08' AND ts < timestamp_ntz'2024-01-15'").withColumn("volume", bars["volume"] * 0), path)
+    assert spark.read.parquet(path).count() == 60
+    got = read_weeks(spark, path, "2024-01-10", "2024-01-17")
+    assert sorted(r.ts.day for r in got.collect()) == list(range(10, 18))
+    assert got.where("volume = 0").count() == 5
+    text = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(week" in text and "PushedFilters: [IsNotNull(ts)" in text
+
+
+def test_attach_leaves_nothing_persisted(spark):
+    from tickloom.operators.layout import attach
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    left = spark.range(100).selectExpr("id % 7 AS k", "id")
+    small = spark.range(7).selectExpr("id AS k", "id * 2 AS v")
+    assert attach(left, small, ["k"]).where("v = 2 * k").count() == 100
+    assert attach(left, small, ["k"], bound=0).where("v = 2 * k").count() == 100
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -36,18 +36,17 @@ def leakage_summary(results: DataFrame, by=("symbol",)) -> DataFrame:
         F.bool_or("suspicious").alias("leakage_detected"))
 
 
-def window_overlap(windows: DataFrame, target: str, length: int, stride: int, pairs: int = 10) -> DataFrame:
+def window_overlap(windows: DataFrame, target: str, length: int, stride: int) -> DataFrame:
     """Overlap, correlation of windows ``stride`` apart, target autocorrelation and risk.
 
-    windows: symbol, start, window, target. The first pairs of each symbol are
-    compared cell by cell, joined on their number.
+    windows: symbol, start, window, target. Each window is compared cell by cell
+    with the one ``stride`` numbers later, joined on that number.
     """
     overlap = (length - stride) / length * 100.0
     numbered = windows.withColumn("_k", (F.col("start") / stride).cast("long"))
     flat = numbered.select("symbol", "_k", F.flatten("window").alias("_cells"))
-    a = flat.where(F.col("_k") < pairs)
-    b = flat.where(F.col("_k") < pairs + stride).select("symbol", (F.col("_k") - stride).alias("_k"), F.col("_cells").alias("_other"))
-    cells = a.join(b, ["symbol", "_k"]).select("symbol", "_k", F.explode(F.arrays_zip("_cells", "_other")).alias("z"))
+    later = flat.select("symbol", (F.col("_k") - stride).alias("_k"), F.col("_cells").alias("_other"))
+    cells = flat.join(later, ["symbol", "_k"]).select("symbol", "_k", F.explode(F.arrays_zip("_cells", "_other")).alias("z"))
     likeness = cells.groupBy("symbol", "_k").agg(F.abs(corr("z._cells", "z._other")).alias("_c"))
     likeness = likeness.groupBy("symbol").agg(F.coalesce(F.avg("_c"), F.lit(0.0)).alias("mean_sequence_correlation"))
     reg = Registry()

@@ -77,6 +77,7 @@ def block_draws(table: DataFrame, draws: int = 1000, block: int = 5, seed: int =
 
 
 def _null_summary(draws: DataFrame, actual: DataFrame) -> DataFrame:
+    draws = materialize(draws)  # one value per draw, read for the quantiles and for the summary
     cut = exact_quantiles(draws, ["symbol"], "value", {"ci_lower": 0.025, "ci_upper": 0.975})
     joined = attach(draws, actual, ["symbol"])
     out = joined.groupBy("symbol").agg(

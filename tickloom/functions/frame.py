@@ -198,9 +198,7 @@ class Frame:
         shrink = F.pow(F.lit(decay), offset)
         total = self.once(F.sum(value * grow).over(run), memory)
         weight = lambda: self.once(F.sum(F.when(value.isNotNull(), grow)).over(run), memory)
-        seed = lambda: self.once(F.first(value, ignorenulls=True).over(run), memory)
-        seed_at = lambda: self.once(F.first(F.when(value.isNotNull(), offset), ignorenulls=True).over(run), memory)
-        return total, weight, shrink, seed, lambda: offset - seed_at()
+        return total, weight, shrink
 
     def _decay_plan(self, value, decay: float, combine) -> Column:
         """Evaluate combine() on running decayed sums.
@@ -228,17 +226,36 @@ class Frame:
     def ewm(self, value, span: float | None = None, alpha: float | None = None) -> Column:
         """Exponential mean with normalised weights."""
         alpha = alpha if alpha is not None else 2.0 / (span + 1.0)
-        return self._decay_plan(value, 1.0 - alpha, lambda s, w, k, seed, age: F.try_divide(s, w()))
+        return self._decay_plan(value, 1.0 - alpha, lambda s, w, k: F.try_divide(s, w()))
 
     def ewm_recursive(self, value, alpha: float) -> Column:
-        """y = (1-a) y + a x, seeded by the first value."""
-        decay = 1.0 - alpha
+        """y = (w y + a x) / (w + a) with w = (1-a)^g, g rows after the value before; the first value is the seed.
 
-        def combine(total, weight, shrink, seed, age):
-            return total * shrink * alpha + seed() * F.pow(F.lit(decay), age() + 1)
+        Without gaps this is (1-a) y + a x. Across NULLs the old mean has decayed for g rows and the weights are made to sum to
+        1; NULL rows keep the last mean. Each value multiplies what came before by w / (w + a), counted as powers of 1 - a.
+        """
+        decay, value = 1.0 - alpha, self.x(value)
+        rate = -math.log(decay)
+        memory = math.ceil(-math.log(EWM_TOLERANCE) / rate)
+        known, pos = value.isNotNull(), F.col("pos")
+
+        def mean(keys):
+            w = W.partitionBy(*keys).orderBy("pos")
+            before = self.once(F.last(F.when(known, pos), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+            old = F.pow(F.lit(decay), pos - before)
+            run = w.rowsBetween(W.unboundedPreceding, 0)
+            power = F.when(known & before.isNotNull(), F.when(pos - before == 1, 1.0).otherwise(-F.ln(old / (old + alpha)) / rate)).otherwise(0.0)
+            spent = self.once(F.sum(power).over(run))
+            share = F.when(before.isNull(), 1.0).when(pos - before == 1, alpha).otherwise(alpha / (old + alpha))
+            return self.once(F.sum(share * value * F.pow(F.lit(1.0 / decay), spent)).over(run), memory) * F.pow(F.lit(decay), spent)
 
-        return self._decay_plan(value, decay, combine)
+        epoch = int(MAX_EXPONENT / rate)
+        if self.rows <= epoch:
+            return mean(self.keys)
+        offset, half = pos - self.start, epoch // 2
+        use_even = (offset < half) | (offset % epoch >= half)
+        return F.when(use_even, mean(self.keys + [F.floor(offset / epoch)])).otherwise(mean(self.keys + [F.floor((offset + half) / epoch)]))
 
     def recurrence(self, value, decay: float) -> Column:
         """v = decay * v + u, starting from 0 before the first value."""
-        return self._decay_plan(value, decay, lambda s, w, k, seed, age: s * k)
+        return self._decay_plan(value, decay, lambda s, w, k: s * k)

@@ -92,9 +92,10 @@ def fold_error(df: DataFrame, features, target: str, estimator, folds: int = 5)
 def elimination_scores(df, features, target, folds: int = 3, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
     """Drop the weakest feature again and again; keep the set with the lowest fold error.
 
-    The score is the number of features left when a feature still took part.
+    All features are scored: each by the round in which it went (later is better), plus the number of features where it belongs
+    to the kept set, so kept features stand before all others and the last survivor first.
     """
-    left, best, kept = list(features), None, list(features)
+    left, best, kept, gone = list(features), None, list(features), {}
     forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
     while left:
         error = fold_error(df, left, target, forest, folds)
@@ -103,8 +104,12 @@ def elimination_scores(df, features, target, folds: int = 3, trees: int = 50, de
         if len(left) == 1:
             break
         importances = forest.fit(prepared(df, left, target)).featureImportances.toArray()
-        left.remove(min(zip(left, importances), key=lambda p: (p[1], p[0]))[0])
-    return _scores(df, kept, [len(kept) - i for i in range(len(kept))])
+        weakest = min(zip(left, importances), key=lambda p: (p[1], p[0]))[0]
+        gone[weakest] = len(gone) + 1
+        left.remove(weakest)
+    gone.update((name, len(gone) + 1) for name in left)
+    features = list(features)
+    return _scores(df, features, [gone[f] + (len(features) if f in kept else 0) for f in features])
 
 
 def single_scores(df, features, target, folds: int = 5, estimator=None) -> DataFrame:
@@ -126,10 +131,8 @@ METHODS = {"statistical": f_scores, "rf": forest_scores, "lasso": lasso_scores,
 
 
 def select(df: DataFrame, features, target: str, k: int = 50, method: str = "ensemble", **options) -> DataFrame:
-    """Selection by method name; short tables fall back to the F values."""
+    """Selection by method name, the one asked for whatever the number of rows."""
     features = [f for f in features if f in df.columns and f != target]
-    if df.limit(100).count() < 100:
-        method = "statistical"
     if method == "ensemble":
         parts = {m: top(METHODS[m](df, features, target, **options.get(m, {})), k * 2) for m in ("rf", "lasso", "rfe", "statistical")}
         return vote(parts, k)

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import materialize
+
 BLOCK_ROWS = 2048
 KEY = "symbol"
 
@@ -57,12 +59,19 @@ def framed(df: DataFrame, back: int, ahead: int, block: int) -> DataFrame:
     return df.withColumn("blk", F.explode(F.sequence(first, last))).withColumn("home", F.col("blk") == own)
 
 
-def attach(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 200_000) -> DataFrame:
-    """Join per-key values. The small side is broadcast only if its counted size
-    is under the bound; above it the join is left to Spark, whose adaptive skew
+def _bytes(df: DataFrame) -> int:
+    """Rows times the width of their fixed fields, plus the elements of arrays."""
+    lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(F.size(c)).alias(c) for c in lists]).first()
+    return row[0] * 24 * len(df.columns) + 8 * sum(max(row[c] or 0, 0) for c in lists)
+
+
+def attach(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 64 << 20) -> DataFrame:
+    """Join per-key values. They are written once; the small side is broadcast only if its estimated
+    bytes are under the bound; above it the join is left to Spark, whose adaptive skew
     handling splits hot keys."""
-    small = small.persist()
-    if small.count() <= bound:
+    small = materialize(small)
+    if _bytes(small) <= bound:
         small = F.broadcast(small)
     return df.join(small, on, how)
 

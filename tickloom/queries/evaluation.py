@@ -183,7 +183,7 @@ def h(seed, *parts):
     return out
 
 
-DRAWS = 40
+DRAWS = 1000
 BOOT = (
     f"SELECT s.symbol, s.n, g.draw, k.k, {h(42, 'g.draw', 'k.k')} % (s.n - 4) AS a, {h(43, 'g.draw', 'k.k')} % (s.n - 4) AS b FROM (SELECT symbol, count(*) AS n FROM {{prev}} GROUP BY symbol) s, "
     f"range({DRAWS}) g(draw), range(2000) k(k) WHERE k.k < ceil(s.n / 5.0)",
@@ -472,9 +472,11 @@ def overlap_windows(s, d):
 
 
 OV = ({**RET, "momentum_5d": q.pct("close", 5)}, {"a": "coalesce(daily_return, 0)", "b": "coalesce(momentum_5d, 0)", "y": q.lead("close", 20), "ok": q.lead("pos", 20)})
-OVS = ("SELECT w.symbol, count(*) AS total_sequences, (SELECT coalesce(avg(c), 0) FROM (SELECT k, abs(corr(u, v)) AS c FROM (SELECT g.k, x.a AS u, z.a AS v FROM range(10) g(k), range(20) o(o), s1 x, s1 z WHERE x.symbol = w.symbol AND z.symbol = w.symbol AND x.pos = g.k + o.o AND z.pos = g.k + o.o + 1 "
-       "UNION ALL SELECT g.k, x.b, z.b FROM range(10) g(k), range(20) o(o), s1 x, s1 z WHERE x.symbol = w.symbol AND z.symbol = w.symbol AND x.pos = g.k + o.o AND z.pos = g.k + o.o + 1) GROUP BY k)) AS mean_sequence_correlation, "
-       "coalesce(abs(corr(y, y1)), 0) AS autocorr_1, coalesce(abs(corr(y, y2)), 0) AS autocorr_2 FROM (SELECT *, lead(y, 1) OVER (PARTITION BY symbol ORDER BY ts) AS y1, lead(y, 2) OVER (PARTITION BY symbol ORDER BY ts) AS y2 FROM {prev} WHERE ok IS NOT NULL) w GROUP BY w.symbol",
+OVC = ("SELECT x.symbol, x.pos - o.o AS k, x.{0} AS u, z.{0} AS v FROM s1 x JOIN s1 z ON z.symbol = x.symbol AND z.pos = x.pos + 1 JOIN (SELECT symbol, count(*) AS n FROM s1 GROUP BY symbol) t ON t.symbol = x.symbol, "
+       "range(20) o(o) WHERE x.pos - o.o BETWEEN 0 AND t.n - 22")
+OVS = ("SELECT w.symbol, count(*) AS total_sequences, coalesce(any_value(p.c), 0) AS mean_sequence_correlation, "
+       "coalesce(abs(corr(y, y1)), 0) AS autocorr_1, coalesce(abs(corr(y, y2)), 0) AS autocorr_2 FROM (SELECT *, lead(y, 1) OVER (PARTITION BY symbol ORDER BY ts) AS y1, lead(y, 2) OVER (PARTITION BY symbol ORDER BY ts) AS y2 FROM {prev} WHERE ok IS NOT NULL) w "
+       f"LEFT JOIN (SELECT symbol, avg(c) AS c FROM (SELECT symbol, k, abs(corr(u, v)) AS c FROM ({OVC.format('a')} UNION ALL {OVC.format('b')}) GROUP BY symbol, k) GROUP BY symbol) p ON p.symbol = w.symbol GROUP BY w.symbol",
        {"overlap_percentage": "95", "data_reuse_factor": "20", "leakage_risk": "CASE WHEN mean_sequence_correlation > 0.8 OR greatest(autocorr_1, autocorr_2) > 0.3 THEN 'HIGH' ELSE 'MEDIUM' END"})
 register("leakage_window_overlap", "symbol total_sequences:i leakage_risk | mean_sequence_correlation:5 autocorr_1 autocorr_2 overlap_percentage data_reuse_factor", "LK2", q.stages("hourly", *OV, *OVS))(
     lambda s, d: lk.window_overlap(overlap_windows(s, d), "y_close", 20, 1))

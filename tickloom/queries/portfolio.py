@@ -135,14 +135,14 @@ def table(s, d):
 
 register("selection_f_test", "feature | score:4", "SPL18 SPL26", q.stages("weekly", SELB, *FSQL, final="SELECT * FROM {prev} ORDER BY score DESC LIMIT 3"))(
     lambda s, d: sel.select(table(s, d), COLS, "daily_return", 3, "statistical"))
-register("selection_forest", "feature | score", "SPL19 SPL26", None)(lambda s, d: sel.top(sel.forest_scores(table(s, d), COLS, "daily_return", 10, 4), 3))
-register("selection_lasso", "feature | score", "SPL20 SPL26", None)(lambda s, d: sel.top(sel.lasso_scores(table(s, d), COLS, "daily_return", (0.001, 0.05), 3), 3))
-register("selection_elimination", "feature | score", "SPL21", None)(lambda s, d: sel.elimination_scores(table(s, d), COLS[:3], "daily_return", 2, 5, 3))
-register("selection_single_feature", "feature | score", "SPL22", None)(lambda s, d: sel.top(sel.single_scores(table(s, d), COLS[:3], "daily_return", 3), 2))
+register("selection_forest", "feature | score", "SPL19 SPL26", None)(lambda s, d: sel.top(sel.forest_scores(table(s, d), COLS, "daily_return"), 3))
+register("selection_lasso", "feature | score", "SPL20 SPL26", None)(lambda s, d: sel.top(sel.lasso_scores(table(s, d), COLS, "daily_return"), 3))
+register("selection_elimination", "feature | score", "SPL21", None)(lambda s, d: sel.elimination_scores(table(s, d), COLS, "daily_return"))
+register("selection_single_feature", "feature | score", "SPL22", None)(lambda s, d: sel.top(sel.single_scores(table(s, d), COLS, "daily_return"), 3))
 register("selection_vote", "feature votes:i", "SPL23", None)(
-    lambda s, d: sel.vote({"a": sel.top(sel.f_scores(table(s, d), COLS, "daily_return"), 3), "b": sel.top(sel.forest_scores(table(s, d), COLS, "daily_return", 5, 3), 3)}, 4))
+    lambda s, d: sel.select(table(s, d), COLS, "daily_return", 2))
 register("selection_method_comparison", "method n_features:i | error", "SPL24", None)(
-    lambda s, d: sel.compare_methods(table(s, d), {"first": COLS[:2], "all": COLS}, "daily_return", folds=3))
+    lambda s, d: sel.compare_methods(table(s, d), {"first": COLS[:2], "all": COLS}, "daily_return"))
 CAT = "CASE feature WHEN 'high_low_pct' THEN 'price' WHEN 'volume_ratio' THEN 'volume' ELSE 'momentum' END"
 register("selection_by_category", "feature category rank:i | score:4", "SPL25 FN13",
          q.stages("weekly", SELB, *FSQL, {"category": CAT}, {"rank": "row_number() OVER (PARTITION BY category ORDER BY score DESC, feature)"}, final="SELECT * FROM {prev} WHERE rank <= 2"))(

@@ -101,13 +101,32 @@ register("model_registry_latest", "model_name version | close", "SRC13",
 
 
 def _weeks(s, d):
+    """Rows of two dates inside weeks, from a table of which one chunk was written again."""
     path = scratch(s)
-    st.write_weekly(hourly(s, d), path)
-    return st.read_weeks(s, path, "2024-01-08", "2024-01-15")
+    bars = hourly(s, d).drop("pos")
+    st.write_weekly(bars, path)
+    first = F.lit("2024-01-08").cast("timestamp_ntz")
+    week = bars.where((F.col("ts") >= first) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
+    st.write_weekly(week.withColumn("close", F.col("close") * 2), path)
+    return st.read_weeks(s, path, "2024-01-10", "2024-01-17")
 
 
 register("weekly_chunks", "symbol ts:t | close", "SRC14",
-         q.stages("hourly", final="SELECT * FROM {prev} WHERE date_trunc('week', ts) BETWEEN DATE '2024-01-08' AND DATE '2024-01-15'"))(_weeks)
+         q.stages("hourly", final="SELECT symbol, ts, CASE WHEN ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' THEN close * 2 ELSE close END AS close "
+                                  "FROM {prev} WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-18'"))(_weeks)
+
+
+def _rewritten(s, d):
+    """A stored table of which one chunk was written again: all other chunks are as before."""
+    path = scratch(s)
+    bars = hourly(s, d).drop("pos")
+    st.write_weekly(bars, path)
+    st.write_weekly(bars.where(F.date_trunc("week", "ts") == F.lit("2024-01-15").cast("timestamp_ntz")).withColumn("volume", F.lit(0.0)), path)
+    return s.read.parquet(path)
+
+
+register("weekly_rewrite", "symbol ts:t week:t | close volume", "SRC14",
+         q.stages("hourly", final="SELECT symbol, ts, date_trunc('week', ts)::TIMESTAMP AS week, close, CASE WHEN date_trunc('week', ts) = DATE '2024-01-15' THEN 0 ELSE volume END AS volume FROM {prev}"))(_rewritten)
 
 
 def _load_job(s, d):

@@ -121,14 +121,14 @@ register("ensemble_long_form", "symbol ts:t n_active:i | position confidence", "
 register("signal_alignment", "symbol ts:t | position", "JN12",
          q.stages("weekly", *ALL, final="SELECT symbol, ts, r_pos AS position FROM {prev}"))(
     lambda s, d: align_signals(weekly(s, d), run_strategy(weekly(s, d), "rsi_mean_reversion").where("position != 0"), ["position"]))
-PAIR_SQL = q.stages("weekly", *ALL, {"n": "count(*) OVER (PARTITION BY symbol)"},
+PAIR_SQL = q.stages("weekly", *ALL,
                     final="SELECT symbol, 'rsi_mean_reversion' AS a, 'macd_momentum' AS b, CASE WHEN max(r_pos) > min(r_pos) AND "
-                          "max(m_pos) > min(m_pos) THEN corr(r_pos, m_pos) END AS corr FROM {prev} WHERE pos >= n - 300 GROUP BY symbol")
+                          "max(m_pos) > min(m_pos) THEN corr(r_pos, m_pos) END AS corr FROM {prev} GROUP BY symbol")
 register("ensemble_signal_correlation", "symbol a b | corr", "ENS7 WIN29", PAIR_SQL)(
-    lambda s, d: signal_pairs(run_strategies(weekly(s, d)), NAMES, 300))
+    lambda s, d: signal_pairs(run_strategies(weekly(s, d)), NAMES))
 register("ensemble_correlated_pairs", "symbol a b | corr", "ENS8",
          f"SELECT symbol, a, b, abs(corr) AS corr FROM ({PAIR_SQL}) WHERE abs(corr) > 0.1")(
-    lambda s, d: correlated_pairs(signal_pairs(run_strategies(weekly(s, d)), NAMES, 300), 0.1))
+    lambda s, d: correlated_pairs(signal_pairs(run_strategies(weekly(s, d)), NAMES), 0.1))
 
 
 def _sharpes(s, d):

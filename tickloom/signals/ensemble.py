@@ -125,11 +125,12 @@ def ensemble_signals(bars: DataFrame, rule_sets=(RsiRules(), MacdRules()), rules
     return apply_filters(combine(run_strategies(bars, rule_sets, keep), names, rules), rules)
 
 
-def signal_pairs(wide: DataFrame, names, last: int = 1000) -> DataFrame:
-    """Correlation of each pair of strategies over the last signals of each symbol."""
-    names = list(names)
-    sizes = wide.groupBy("symbol").agg((F.max("pos") + 1).alias("_n"))
-    recent = attach(wide, sizes, ["symbol"]).where(F.col("pos") >= F.col("_n") - last)
+def signal_pairs(wide: DataFrame, names, last: int | None = None) -> DataFrame:
+    """Correlation of each pair of strategies over all signals of each symbol, or over the last ones where a number is given."""
+    names, recent = list(names), wide
+    if last is not None:
+        sizes = wide.groupBy("symbol").agg((F.max("pos") + 1).alias("_n"))
+        recent = attach(wide, sizes, ["symbol"]).where(F.col("pos") >= F.col("_n") - last)
     aggs = [
         _corr(F.col(f"{a}__position"), F.col(f"{b}__position")).alias(f"{a}|{b}")
         for i, a in enumerate(names) for b in names[i + 1:]

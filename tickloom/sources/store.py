@@ -124,14 +124,23 @@ def wide_features(long: DataFrame, columns) -> DataFrame:
 
 
 def write_weekly(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Chunks per week, sorted by symbol and time inside files so that statistics can skip."""
+    """Chunks per week, sorted by symbol and time inside files so that statistics can skip.
+
+    Only the weeks in the rows are replaced, other chunks stay. Rows are dealt by ranges of week, symbol and time, so a week
+    is many tasks and files.
+    """
     out = df.withColumn("week", F.to_date(week_of(F.col(ts))))
-    out.repartition("week").sortWithinPartitions("week", "symbol", ts).write.mode("overwrite").partitionBy("week").parquet(path)
+    out = out.repartitionByRange("week", "symbol", ts).sortWithinPartitions("week", "symbol", ts)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
 
 
-def read_weeks(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """Only the chunks between two dates are listed and read."""
-    return spark.read.parquet(path).where(F.col("week").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def read_weeks(spark: SparkSession, path: str, first: str, last: str, ts: str = "ts") -> DataFrame:
+    """The rows of two dates and all between: only their weeks' chunks are listed and read, and rows outside the dates skipped."""
+    days = [F.lit(d).cast("date") for d in (first, last)]
+    weeks = [F.to_date(F.date_trunc("week", d)) for d in days]
+    end = F.date_add(days[1], 1).cast("timestamp_ntz")
+    rows = spark.read.parquet(path).where(F.col("week").between(*weeks))
+    return rows.where((F.col(ts) >= days[0].cast("timestamp_ntz")) & (F.col(ts) < end))
 
 
 def prediction_rows(df: DataFrame, model: str, kind: str, horizon: int, value: str, confidence: str) -> DataFrame:
