@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.layout import with_positions
-from ..session import materialize
+from ..session import materialize, stored
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -94,8 +94,8 @@ def stored_bars(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     if key not in _STORED:
         if kind == "hourly":
             bars = materialize(hourly_bars(spark, folder))
-            _STORED[key] = materialize(with_positions(bars, "month"))
+            _STORED[key] = stored(with_positions(bars, "month"), "symbol", "ts")
         else:
             bars = materialize(weekly_bars(spark, folder))
-            _STORED[key] = materialize(with_positions(bars, "year"))
+            _STORED[key] = stored(with_positions(bars, "year"), "symbol", "ts")
     return _STORED[key]
