@@ -13,7 +13,7 @@ from ..plans.garch import garch_volatility
 from ..plans.registry import Registry
 from ..signals import risk as rk
 from ..sources.bars import hourly_ticks
-from ..streaming.bars import append_bars, stream_bars
+from ..streaming.bars import append_bars, completed_bars, stream_bars
 from . import sql as q
 from .base import register
 from .evaluation import FX, FXS, feats
@@ -181,15 +181,13 @@ register("garch_volatility", "symbol ts:t | garch_volatility", "VOL3 VOL4", None
 
 
 def _streamed(s, d):
-    """Drive the event table through the stream once; late bars stay open and are left out."""
+    """Drive the event table through the stream once, and complete the bars that are still open when it ends."""
     folder = scratch(s)
-    source = f"{folder}/in"
-    s.read.parquet(f"{d}/events.parquet").write.parquet(source)
-    schema = s.read.parquet(source).schema
-    ticks = hourly_ticks(s.readStream.schema(schema).parquet(source))
+    events = s.read.parquet(f"{d}/events.parquet")
+    ticks = hourly_ticks(s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))
     append_bars(stream_bars(ticks), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return s.read.parquet(f"{folder}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return completed_bars(s.read.parquet(f"{folder}/out"), hourly_ticks(events)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 register("bars_streamed", "symbol ts:t | open high low close volume", "SRC2",
-         f"WITH {q.HOURLY} SELECT * FROM hourly WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE value > 0)")(_streamed)
+         f"WITH {q.HOURLY} SELECT * FROM hourly")(_streamed)
