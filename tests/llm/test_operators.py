@@ -1,0 +1,395 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tickloom.llm import queries as Q
+from tickloom.llm.fingerprints import edited_fingerprints, fingerprints, likeness, sketches
+from tickloom.llm.licences import TEXTS, licence_scan
+from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores
+from tickloom.llm.ngram_join import near_copies, without_near_copies
+from tickloom.llm.packing import packed, plan, sequences, token_pieces, placed
+from tickloom.llm.pieces import PieceCoder, decoded, encoded
+from tickloom.llm.pii import digest, personal_data, redacted
+from tickloom.llm.quality_classifier import fit, held_out, quality_accepted, quality_scores, train_labels
+from tickloom.llm.quality_rules import Limits, quality_kept, quality_report
+from tickloom.llm.token_counts import Tree, edited, recounted, segments, token_trees, touched
+from tickloom.llm.tokens import WordTokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(["th", "er", "an", "Ou", "é", "ing"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def rows():
+    """(doc_id, text): near and exact copies, repeats, odd characters, an empty and a NULL text, a NULL id, a repeated id."""
+    out = [(i, prose(i, 5 + 7 * i)) for i in range(30)]
+    base = prose(99, 120)
+    words = base.split(" ")
+    for k in range(12):
+        own = list(words)
+        own[10 * k % 120] = f"edit{k}"
+        out.append((100 + k, " ".join(own)))
+    out += [(150, base), (151, base), (152, base.upper()), (160, ""), (161, None), (162, " \n\t "), (163, "one"), (164, "One"), (165, "one two")]
+    out += [(170, "line a\nline b\nline a\n\nline a"), (171, "x y z w v " * 40), (172, prose(7, 30000)), (173, "😀 é\x1c\x85 ü" * 20), (None, base), (175, prose(175, 80)), (175, prose(176, 80))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Columns named like results clash with none of them."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.5) for i, t in rows()], "doc_id long, text string, lang string, source string, n_chars long, score double")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+def shingle_components(pairs, n, percent):
+    sets = {}
+    for i, t in pairs:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 50)])
+def test_near_copies_equal_brute_force(docs, n, percent):
+    pairs = [(i, t) for i, t in rows() if i not in (None, 175)]
+    got = near_copies(docs.where("doc_id IS NULL OR doc_id <> 175"), n, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == shingle_components(pairs, n, percent)
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_near_copies_of_chains_and_stars(spark):
+    """Links only through others, and a hub that is not the smallest id: no component may split."""
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(40):  # each differs from the next by a few words, far ones do not link
+        texts.append((1000 - k, " ".join(f"e{i}" if i < 3 * k else w for i, w in enumerate(words))))
+    for k in range(30):  # copies around a centre, mutually too far
+        own = [f"c{i}" for i in range(100)]
+        own[3 * k] = own[3 * k + 1] = f"k{k}"
+        texts.append((k, " ".join(own)))
+    texts.append((500, " ".join(f"c{i}" for i in range(100))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_copies(df, 3, 90).collect()}
+    assert got == shingle_components(texts, 3, 90)
+
+
+def test_one_of_each_group_stays(docs):
+    kept = without_near_copies(docs, 5, 80)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    want = shingle_components([(i, t) for i, t in rows() if i not in (None, 175)], 5, 80)
+    assert sorted(i for i in ids if i not in (None, 175)) == sorted({c for _, c in want.values()})
+    assert ids.count(175) == 1 and ids.count(None) == 1
+
+
+def test_quality_rules_equal_brute_force(docs):
+    got = by_id(quality_report(docs))
+    for i, t in rows():
+        if i in (None, 175):
+            continue
+        w, t = WORD.findall(t or ""), t or ""
+        windows = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        repeated = {p for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[i]
+        longest = 0
+        if len(w) < 300:
+            longest = max((n for n in range(5, len(w)) for a in range(len(w) - n) if any(w[a : a + n] == w[b : b + n] for b in range(a + 1, len(w) - n + 1))), default=0)
+            assert r.longest_repeat == longest
+        covered = sum(len(w[p]) for p in repeated) / max(1, sum(map(len, w)))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
+        assert r.covered_fraction == pytest.approx(covered)
+        assert r.base_failed == (len(w) < 10 or 100 * len(repeated) > 20 * len(w))
+        assert r.kept == (not r.base_failed and covered <= Limits().covered_fraction and r.longest_repeat <= Limits().longest_words)
+
+
+def test_quality_kept_passes_all_columns(docs):
+    kept = quality_kept(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == quality_report(docs).where("kept").count()
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def base_spans(text):
+    def holds(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(digits[::-1]))
+            return 12 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    found = [(m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PATTERNS) for m in re.finditer(p, text) if holds(kind, m[0])]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def test_personal_data_equals_brute_force(spark):
+    r = random.Random(4)
+    parts = ["1", "2", "9", "25", ".", "-", " ", "+1", "+", "(", "@", "a", "b.c", "_", "é", "😀", "\n", "4111111111111111", "a@b.co", "1.2.3.4"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(800)] + [None, "", "1" * 50000, "1 " * 20000, "1.2.3.4 " * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(digest(personal_data(df)))
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k, _ in PATTERNS] == [sum(w.startswith(k + ":") for w in want) for k, _ in PATTERNS]
+        assert [s for s in got[i].spans.split(",") if s and s.split(":")[0] in dict(PATTERNS)] == want
+
+
+def test_checked_and_context_spans(spark):
+    texts = [
+        ("IBAN DE89 3704 0044 0532 0130 00 ok", "iban:5:32"), ("DE89 3704 0044 0532 0130 01", ""), ("call (555) 123-4567", "phone_local:5:19"),
+        ("score (555) 123-4567", ""), ("ssn 123-45-6789", "ssn:4:15"), ("part 123-45-6789", ""), ('token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"', "secret:9:49"),
+    ]
+    df = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = by_id(digest(personal_data(df)))
+    assert [got[i].spans for i in range(len(texts))] == [s for _, s in texts]
+    clean = by_id(redacted(df))
+    assert clean[4].text == "ssn [SSN]" and clean[4].n_chars == 9 and clean[5].text == "part 123-45-6789"
+
+
+def test_tokens_equal_the_tokenizer():
+    coder = WordTokenizer(Q.WORD_BPE, room=50)
+    r = random.Random(1)
+    parts = ["a", "B", "'s", "'S", "'", "é", " ", "\x1c", "\x85", "İ", "Σ", "9", "²", "<|endoftext|>", "😀", "ﬁ", "\n", "!!", "K", "́", "\x00"]
+    texts = [""] + ["".join(r.choice(parts) for _ in range(12)) for _ in range(1500)]
+    for a in range(0, len(texts), 100):
+        want = [np.array(e.ids, np.uint32).tobytes() for e in coder.whole.encode_batch(texts[a : a + 100], add_special_tokens=False)]
+        assert coder.ids(texts[a : a + 100]) == want
+
+
+def test_packing_places_every_token_once(docs):
+    pieces = packed(docs, Q.WORD_BPE, room=256, with_ids=True).persist()
+    got = pieces.collect()
+    coder = WordTokenizer(Q.WORD_BPE)
+    want = collections.Counter()
+    for i, t in rows():
+        ids = np.array(coder.whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        for p in range(0, len(ids), 256):
+            own = ids[p : p + 256]
+            want[i, p // 256, p, len(own), zlib.crc32(own.tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(filled) <= -(-sum(r.length for r in got) // 256) + 2
+    whole = {r.sequence_id: r.ids for r in sequences(pieces).collect()}
+    assert all(whole[r.sequence_id][r.offset : r.offset + r.length] == r.ids for r in got)
+    pieces.unpersist()
+
+
+@pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 100000}, {3000: 10, 1096: 7, 1: 5}, {n: 1 + n % 50 for n in range(1, 4097)}])
+def test_plan_is_near_the_bound(histogram):
+    found = plan(histogram, 4096)
+    slots = found.slots()
+    total = sum(n * c for n, c in histogram.items())
+    sequences_ = sum(m for v in found.open.values() for _, m in v)
+    placed_ = collections.Counter()
+    for v in found.open.values():
+        for sequence, many in v:
+            assert sum(n * c for n, c in sequence) <= 4096
+            for n, c in sequence:
+                placed_[n] += c * many
+    assert placed_ == collections.Counter({n: c for n, c in histogram.items() if c})
+    assert sequences_ <= 1.005 * total / 4096 + 3 or histogram == {3000: 10, 1096: 7, 1: 5} and sequences_ == 10
+    assert len(slots["key"]) == len(set(slots["key"].tolist()))
+
+
+def test_fingerprints_keep_equal_parts(docs):
+    found = by_id(fingerprints(docs))
+    assert found[150].fingerprint == found[151].fingerprint and found[160].fingerprint == found[161].fingerprint == ""
+    text = prose(5, 900)
+    whole, moved, other = sketches([text, "zz " + text, prose(6, 900)])
+    assert likeness(whole, moved) > 0.8 and likeness(whole, other) < 0.1 and likeness(whole, whole) == 1
+    alone = [sketches([t or ""])[0].tolist() for _, t in rows()]
+    assert [s.tolist() for s in sketches([t or "" for _, t in rows()])] == alone
+
+
+@pytest.mark.parametrize("keep", ["true", "doc_id = 5", "doc_id < 20"])
+def test_edited_texts(docs, keep):
+    got = edited_fingerprints(docs.where(keep)).collect()
+    want = sorted(((i, t or "") for i, t in rows() if keep == "true" or i is not None and eval(keep.replace("doc_id", "i").replace(" = ", " == "))),
+                  key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    edits = collections.Counter()
+    for k, (i, t) in enumerate(want):
+        n = len(t) // 4
+        edits[i, len(t), hashlib.sha256((t[: len(t) - n] + want[(k + 1) % len(want)][1][:n]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == edits
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_recounts_equal_counts():
+    coder = WordTokenizer(Q.WORD_BPE)
+    r = random.Random(5)
+    parts = ["a", "the", "'s", "'", " ", "\n", "don't", "123", "é", "!!", "token.", "\t", "\x1c", "\xa0"]
+
+    def count(t):
+        return len(coder.whole.encode(t, add_special_tokens=False).ids)
+
+    for _ in range(300):
+        text = "".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.choice([0, 1, 5, 300])))
+        cut = segments(text)
+        tree = Tree.of([len(s) for s in cut], [count(s) for s in cut])
+        at = sorted(r.randint(0, len(text)) for _ in range(2 * r.randint(0, 4)))
+        edits = [(at[k], at[k + 1], "".join(r.choice(parts) for _ in range(r.randint(0, 3)))) for k in range(0, len(at), 2)]
+        for first, last, new in touched(tree, text, edits):
+            tree.put(first, len(new), count(new))
+            for leaf in range(first + 1, last + 1):
+                tree.put(leaf, 0, 0)
+        assert (tree.chars[1], tree.tokens[1]) == (len(edited(text, edits)), count(edited(text, edits)))
+
+
+def test_recount_encodes_little(docs):
+    some = docs.withColumn("edits", F.when(F.length("text") > 100, F.expr("array(named_struct('start', 50, 'end', 52, 'replacement', 'xyz'))")))
+    got = recounted(token_trees(some, Q.WORD_BPE, more=["edits"]), Q.WORD_BPE).collect()
+    coder = WordTokenizer(Q.WORD_BPE)
+    assert len(got) == len(rows())
+    for r in got:
+        assert r.edited_tokens == len(coder.whole.encode(r.text, add_special_tokens=False).ids)
+        assert r.encoded_chars < 900
+    assert all(r.n_tokens == r.edited_tokens and r.encoded_chars == 0 for r in got if len(r.text) <= 100)
+
+
+def test_pieces_equal_the_library_and_come_back(docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=Q.PIECES)
+    got = by_id(decoded(encoded(docs, Q.PIECES), Q.PIECES))
+    for i, t in rows():
+        if i not in (None, 175):
+            assert got[i].ids == library.encode(t or "") and got[i].decoded == (t or "")
+
+
+def test_viterbi_finds_the_best_sum():
+    coder = PieceCoder(Q.PIECES)
+    coder.unigram = True
+    r = random.Random(3)
+    words = ["▁" + "".join(r.choice("thean") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    coder.learn(list(words))
+    names = {i: p for p, i in coder.ids.items()}
+
+    def best(word):
+        table = [0.0] + [float("-inf")] * len(word)
+        for end in range(1, len(word) + 1):
+            table[end] = max(table[a] + coder.scores.get(word[a:end], coder.unknown if end - a == 1 else float("-inf")) for a in range(end))
+        return table[-1]
+
+    for word in words:
+        pieces = [names[i] for i in np.frombuffer(coder.young[word], np.int32).tolist()]
+        assert "".join(pieces) == word and sum(coder.scores[p] for p in pieces) == best(word)
+
+
+def test_licences(spark):
+    texts = [
+        ("Copyright (c) 2020 Somebody\n\n" + TEXTS["MIT"].lower(), "MIT", ""), ("// (C) 2020 X\n" + TEXTS["BSD-3-Clause"].replace(",", " ,"), "BSD-3-Clause", ""),
+        (None, None, ""), ("", None, ""), ("Licenced under the APACHE licence version 2.0\nx", None, "Apache-2.0"), (TEXTS["ISC"] + " and more", None, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, (t, _, _) in enumerate(texts)], "doc_id long, text string, licence string")
+    got = by_id(licence_scan(df))
+    assert [(got[i].licence, got[i].notices) for i in range(len(texts))] == [(a, b) for _, a, b in texts]
+
+
+def labelled(spark):
+    good = [(i, prose(i, 60), 1) for i in range(300)]
+    bad = [(300 + i, " ".join(w + "!!" for w in prose(i, 60).upper().split()), 0) for i in range(100)]
+    return spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+
+
+def test_classifier_separates_held_out_rows(spark, docs):
+    df = labelled(spark)
+    labels = df.select("doc_id", "quality").union(spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int"))
+    model = fit(df, train_labels(labels))
+    got = quality_scores(df.drop("quality"), model).join(df.select("doc_id", "quality"), "doc_id").collect()
+    out = [r for r in got if r.held_out]
+    assert len(out) > 50 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in out]) > 0.97
+    assert all(r.predicted == int(r.score >= 0.7) for r in got)
+    scored = quality_scores(docs, model)
+    assert scored.count() == len(rows()) and scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert quality_accepted(docs, model).columns == docs.columns
+    assert fit(df, labels.limit(0)) is None and {r.score for r in quality_scores(docs, None).collect()} == {1.0}
+
+
+def test_language_model_learns_and_sums(spark, docs):
+    r = random.Random(2)
+    chain = {w: [f"n{k}{j}" for j in range(2)] for k, w in enumerate("abcdefgh")}
+    texts = [(i, " ".join(x for _ in range(60) for w in [r.choice("abcdefgh")] for x in (w, r.choice(chain[w])))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    shape = dict(words=64, buckets=8, classes=8, width=16, every=2, batch=256)
+    flat = lm_scores(df, fit_language(df, Shape(**shape, rounds=0))).agg(F.sum("log_probability")).first()[0]
+    language = fit_language(df, Shape(**shape, rounds=3))
+    assert lm_scores(df, language).agg(F.sum("log_probability")).first()[0] > 0.95 * flat
+    net, s = language.network, language.shape
+    words = ["a", "n00", "b"]
+    one = lm_scores(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), language).first()
+    from tickloom.llm.common import span_hashes
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes = span_hashes(data, np.array([0, 2, 6]), np.array([1, 5, 7]), lower=True)
+    token = [int(language.numbers[np.searchsorted(language.hashes, h)]) for h in hashes]
+    total = 0.0
+    for i, t in enumerate(token):
+        near = [token[i + k] if 0 <= i + k < 3 else s.tokens for k in (-2, -1, 1, 2)]
+        h = np.tanh(sum(net.near[k][n] for k, n in enumerate(near)) + net.hidden)
+        a = h @ net.class_out.T + net.class_bias
+        c, m = t % s.classes, t // s.classes
+        b = net.word_out[c] @ h + net.word_bias[c]
+        total += a[c] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())
+    assert one.n_words == 3 and one.log_probability == pytest.approx(total, abs=1e-3)
+    scored = {r.doc_id: r for r in lm_scores(docs, language).collect()}
+    assert scored[161].log_probability == 0 and scored[160].mean_log_probability is None
+
+
+def test_empty_tables(spark, empty):
+    model = fit(empty, empty.select("doc_id", F.lit(1).alias("quality")))
+    for df in (
+        near_copies(empty), without_near_copies(empty), quality_report(empty), quality_kept(empty), digest(personal_data(empty)), redacted(empty),
+        packed(empty, Q.WORD_BPE), fingerprints(empty), edited_fingerprints(empty), encoded(empty, Q.PIECES), licence_scan(empty),
+        quality_scores(empty, model), lm_scores(empty, fit_language(empty)), recounted(token_trees(empty.withColumn("edits", F.expr("CAST(NULL AS array<struct<start:int,end:int,replacement:string>>)")), Q.WORD_BPE, more=["edits"]), Q.WORD_BPE),
+    ):
+        assert df.count() == 0

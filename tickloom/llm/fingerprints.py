@@ -162,7 +162,7 @@ def edited_fingerprints(docs: DataFrame, share: int = 4, id_col: str = "doc_id",
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     order = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
     cuts = rows.select(order.alias("order")).where("id IS NOT NULL").approxQuantile("order", [i / parts for i in range(1, parts)], 0.1 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="order", outputCol="range").transform(rows.withColumn("order", order))
     ranged = ranged.select("id", "text", F.col("range").cast("int").alias("part"))
     # at most one row a range comes to the driver: its first id
