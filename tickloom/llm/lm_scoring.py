@@ -295,7 +295,15 @@ def train_round(docs: DataFrame, language: Language, turn: int, text_col: str =
 def fit_language(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> Language:
     """Vocabulary from the counts over all documents, then rounds of training over all documents."""
     counts = word_counts(docs, shape, text_col).persist()
-    top = [(r.word, r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(shape.words).collect()]
+    # the power of two that enough words reach: only words that reach it are sorted, few whatever the number of tasks
+    size = F.floor(F.log2(F.col("count").cast("double"))).cast("int")
+    found, least = 0, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+        found, least = found + r.words, r["size"]
+        if found >= shape.words:
+            break
+    often = counts.where(size >= least)
+    top = [(r.word, r["count"]) for r in often.orderBy(F.desc("count"), "word").limit(shape.words).collect()]
     buckets = np.zeros(shape.buckets)
     for r in counts.groupBy("bucket").agg(F.sum("count").alias("count")).collect():
         buckets[r.bucket] = r["count"]
