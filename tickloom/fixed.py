@@ -1,7 +1,7 @@
 """Fixed values that results depend on: the ticker universe and its sectors."""
 
-# Named ticker sets.
-MAG7 = ["AAPL", "MSFT", "GOOG", "AMZN", "NVDA", "META", "TSLA"]
+# Named ticker sets, in their usual order.
+MAG7 = ["AAPL", "MSFT", "GOOG", "NVDA", "TSLA", "AMZN", "META"]
 
 # Sector of each mapped ticker; all others are "unknown".
 SECTORS = {

@@ -240,6 +240,11 @@ RANK = {"rt": "rank() OVER (PARTITION BY symbol ORDER BY y_true) + (count(*) OVE
 register("rank_correlation", "symbol n_samples:i | pearson spearman", "ST5",
          pq(RANK, final=f"SELECT symbol, count(*) AS n_samples, {PC} AS pearson, corr(rt, rp) AS spearman FROM {{prev}} GROUP BY symbol"))(
     lambda s, d: sg.rank_correlation(pred(s, d)))
+register("correlation_significance", "symbol n_samples:i | pearson spearman p_value", "ST5",
+         "SELECT a.symbol, a.n_samples, a.pearson, a.spearman, b.p_value FROM ("
+         + q.stages("hourly", *PRED, RANK, final=f"SELECT symbol, count(*) AS n_samples, {PC} AS pearson, corr(rt, rp) AS spearman FROM {{prev}} GROUP BY symbol") + ") a JOIN ("
+         + q.stages("hourly", *PRED, *perm([], f"abs({PC})"), final=null_sql(f"abs({PC})")) + ") b USING (symbol)")(
+    lambda s, d: sg.correlation_tests(pred(s, d, hourly), DRAWS))
 
 # -- series statistics ---------------------------------------------------------------------
 def acf_sql(x, lags, kind="weekly", pre=(RET,)):

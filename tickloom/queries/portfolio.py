@@ -48,6 +48,8 @@ SIZE_COLS = "symbol ts:t n_shares:i | f dollar_amount:2 sigma_used p_act_used p_
 register("sizing_positions", SIZE_COLS, "RSK1 RSK2 JN14", q.stages("weekly", *MODEL, *sized_sql()))(lambda s, d: sized(s, d))
 register("sizing_conservative", SIZE_COLS, "RSK5", q.stages("weekly", *MODEL, *sized_sql(0.5, 0.5, 2.0, 0.01, 0.15, 0.05, 0.90)))(
     lambda s, d: sized(s, d, rk.SIZING_PRESETS["conservative"]))
+register("sizing_aggressive", SIZE_COLS, "RSK5", q.stages("weekly", *MODEL, *sized_sql(1.5, 0.2, 1.0, 0.005, 0.25, 0.01, 0.95)))(
+    lambda s, d: sized(s, d, rk.SIZING_PRESETS["aggressive"]))
 register("sizing_input_checks", "symbol ts:t p_act_valid z_h_finite p_tail_valid sigma_positive price_positive equity_positive", "RSK3",
          q.stages("weekly", *MODEL, final="SELECT symbol, ts, p_act BETWEEN 0 AND 1 AS p_act_valid, true AS z_h_finite, p_tail BETWEEN 0 AND 1 AS p_tail_valid, sigma > 0 AS sigma_positive, price > 0 AS price_positive, true AS equity_positive FROM {prev}"))(
     lambda s, d: rk.input_checks(model_table(s, d), EQUITY))
@@ -106,6 +108,19 @@ METRIC = ("SELECT m.*, v.portfolio_vol * sqrt(252.0) AS annual_vol FROM (SELECT
           {"vol_ratio": "annual_vol / 0.12::DOUBLE"}, {"vol_ok": "abs(vol_ratio - 1) <= 0.02::DOUBLE / 0.12::DOUBLE", "single_ok": "max_position <= 0.15::DOUBLE", "total_ok": "total_exposure <= 1", "net_ok": "abs(net_exposure) <= 0.8::DOUBLE"})
 register("risk_constraint_metrics", "ts:t position_count:i vol_ok single_ok total_ok net_ok | total_exposure net_exposure long_exposure short_exposure max_position annual_vol vol_ratio", "RSK9",
          with_corrs(q.stages("weekly", *MODEL, *sized_sql(), *METRIC)))(lambda s, d: rk.constraint_metrics(sized(s, d), vol_of(s, d, sized(s, d))))
+
+
+def metric(target, slack, single, total, net):
+    """The constraint metrics under other limits."""
+    checks = {"vol_ok": f"abs(vol_ratio - 1) <= {slack}::DOUBLE / {target}::DOUBLE", "single_ok": f"max_position <= {single}::DOUBLE",
+              "total_ok": f"total_exposure <= {total}::DOUBLE", "net_ok": f"abs(net_exposure) <= {net}::DOUBLE"}
+    return METRIC[0], {"vol_ratio": f"annual_vol / {target}::DOUBLE"}, checks
+
+
+for preset, numbers in {"conservative": (0.10, 0.015, 0.12, 0.8, 0.6), "aggressive": (0.15, 0.03, 0.20, 1.2, 1.0)}.items():
+    register(f"risk_limits_{preset}", "ts:t vol_ok single_ok total_ok net_ok | total_exposure max_position vol_ratio", "RSK5 RSK9",
+             with_corrs(q.stages("weekly", *MODEL, *sized_sql(), *metric(*numbers))))(
+        lambda s, d, preset=preset: rk.constraint_metrics(sized(s, d), vol_of(s, d, sized(s, d)), rk.RISK_PRESETS[preset]))
 register("risk_controls", "symbol ts:t n_shares:i | f dollar_amount:1", "RSK10",
          with_corrs(q.stages("weekly", *MODEL, *sized_sql(), *SCALED, *lim("f2", "n2", "d2", 1.0), final="SELECT symbol, ts, f3 AS f, n3 AS n_shares, d3 AS dollar_amount FROM {prev}")))(
     lambda s, d: rk.risk_controls(sized(s, d), rk.correlation_table(weekly(s, d)), rk.asset_volatilities(weekly(s, d))))
