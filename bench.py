@@ -6,6 +6,8 @@ import json
 import os
 import time
 
+from pyspark.sql import Observation, functions as F
+
 from tickloom.queries.catalog import QUERIES
 from tickloom.session import local_session
 
@@ -22,12 +24,16 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("tickloom-bench", int(os.environ.get("BENCH_CPUS", "8")))
     times: dict[str, float] = {}
+    rows: dict[str, int] = {}
     for name in HEADLINE:
         start = time.time()
-        QUERIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+        seen = Observation(name)
+        QUERIES[name].run(spark, folder).observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        rows[name] = seen.get["rows"]
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "rows": rows, "rows_per_sec": round(sum(rows.values()) / sum(times.values()), 1),
         "sf": os.path.basename(folder.rstrip("/")),
     }))
     spark.stop()

@@ -13,6 +13,7 @@ QUICK = [
     "macro_regime", "pattern_set_earlier", "rsi_signals", "macd_signals", "ensemble_weighted", "signal_verification", "targets_fixed",
     "windows_training", "scaling_robust", "folds_gapped", "load_job", "fill_interpolated", "aligned_bars", "trading_evaluation",
     "permutation_conditional", "quality_report", "leakage_feature_target", "risk_controls",
+    "weekly_chunks", "weekly_rewrite", "bars_streamed", "leakage_window_overlap", "ensemble_signal_correlation", "sizing_aggressive",
 ]
 
 

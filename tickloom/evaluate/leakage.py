@@ -13,8 +13,11 @@ def severity(x, warn: float = 0.10, critical: float = 0.15):
     return F.when(F.abs(x) > critical, "CRITICAL").when(F.abs(x) > warn, "WARNING").otherwise("NORMAL")
 
 
-def feature_target(df: DataFrame, features, target: str, warn: float = 0.10, critical: float = 0.15, by=("symbol",)) -> DataFrame:
-    """Correlation of every feature with the target: all in one aggregate, then one row each."""
+def feature_target(df: DataFrame, features, target: str, warn: float = 0.10, critical: float = 0.15, by=("symbol",), least: int = 10) -> DataFrame:
+    """Correlation of every feature with the target: all in one aggregate, then one row each.
+
+    Features with fewer than ``least`` known pairs have no row, as the definition has it.
+    """
     features = list(features)
     wide = df.groupBy(*by).agg(
         *[F.coalesce(corr(c, target, 1e-5), F.lit(0.0)).alias(f"_c_{c}") for c in features],
@@ -22,7 +25,7 @@ def feature_target(df: DataFrame, features, target: str, warn: float = 0.10, cri
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"_c_{c}").alias("correlation"), F.col(f"_n_{c}").alias("valid_samples")) for c in features
     ]))
-    out = wide.select(*by, rows.alias("r")).select(*by, "r.*").where(F.col("valid_samples") >= 10)
+    out = wide.select(*by, rows.alias("r")).select(*by, "r.*").where(F.col("valid_samples") >= least)
     return out.withColumn("severity", severity(F.col("correlation"), warn, critical)).withColumn(
         "suspicious", F.abs("correlation") > warn)
 

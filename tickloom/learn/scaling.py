@@ -20,9 +20,9 @@ def _long(df: DataFrame, columns, keys):
     return cells.unpivot(list(keys), list(columns), "feature", "value")
 
 
-def fit_scaler(df: DataFrame, columns, method: str = "robust", keys=("symbol",)) -> DataFrame:
+def fit_scaler(df: DataFrame, columns, method: str = "robust", keys=("symbol",), least: int = 10) -> DataFrame:
     """One row per group and feature: centre, scale and statistics. Nulls count as 0 in the
-    fit; features with at most 10 known values are left alone."""
+    fit; features with at most ``least`` known values are left alone."""
     group = [*keys, "feature"]
     long = _long(df, columns, keys)
     zero = long.withColumn("value", F.coalesce("value", F.lit(0.0)))
@@ -43,7 +43,7 @@ def fit_scaler(df: DataFrame, columns, method: str = "robust", keys=("symbol",))
         raise ValueError(f"Unknown scaling method: {method}")
     return (
         stats.join(fit, group)
-        .where(F.col("_known") > 10)
+        .where(F.col("_known") > least)
         .withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
         .withColumn("method", F.lit(method))
         .drop("_known")

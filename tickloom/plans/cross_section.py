@@ -128,22 +128,23 @@ def sector_aggregates(returns: DataFrame) -> DataFrame:
                        keep=["sector_return", "sector_volume", "sector_volatility"])
 
 
-def peer_correlations(common: DataFrame) -> DataFrame:
+def peer_correlations(common: DataFrame, least_rows: int = 20) -> DataFrame:
     """Mean, highest and lowest 20-row correlation with the sector peers.
 
     Joined on (sector, ts): one row per symbol and time on each side, so the
-    size is the number of pairs of symbols, never of rows. Pairs with at most
-    20 shared rows stay out.
+    size is the number of pairs of symbols, never of rows. Each pair is windowed
+    once and counts for both symbols. Pairs with at most ``least_rows`` shared
+    rows stay out, as the definition has it.
     """
     a = common.select("symbol", "sector", "ts", "pos", "daily_return")
     b = common.select(F.col("symbol").alias("_peer"), "sector", "ts", F.col("daily_return").alias("_peer_return"))
-    pairs = a.join(b, ["sector", "ts"]).where(F.col("symbol") != F.col("_peer"))
-    keyed = pairs.withColumn("_own", F.col("symbol")).withColumn("symbol", F.concat_ws("|", "symbol", "_peer"))
+    pairs = a.join(b, ["sector", "ts"]).where(F.col("symbol") < F.col("_peer"))
+    keyed = pairs.withColumn("_own", F.col("symbol")).withColumn("symbol", F.to_json(F.struct("_own", "_peer")))
     reg = Registry()
     reg.add("p", _c=lambda f: _or(f.corr("daily_return", "_peer_return", 20), 0))
-    corr = reg.compute(keyed, ["_c"], keep=["_own"])
-    enough = keyed.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 20).select("symbol")
-    return attach(corr, enough, ["symbol"], "left_semi").groupBy(F.col("_own").alias("symbol"), "ts").agg(
+    corr = reg.compute(keyed, ["_c"], keep=["_own", "_peer"])
+    enough = keyed.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least_rows).select("symbol")
+    return attach(corr, enough, ["symbol"], "left_semi").select(F.explode(F.array("_own", "_peer")).alias("symbol"), "ts", "_c").groupBy("symbol", "ts").agg(
         F.avg("_c").alias("peer_correlation_mean"), F.max("_c").alias("peer_correlation_max"),
         F.min("_c").alias("peer_correlation_min"),
     )
