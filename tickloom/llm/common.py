@@ -1,6 +1,6 @@
 """Shared pieces: stored intermediate tables, Arrow text batches as byte arrays, and hashed words.
 
-Texts are handled as one UTF-8 byte array with document offsets, as Arrow keeps them, and cut into slices of about a
+Texts are handled as one UTF-8 byte array with document offsets, as Arrow keeps them, and cut into slices of about half a
 megabyte of whole documents, so that the numpy temporaries stay small whatever the batch size is.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -203,7 +203,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand on every executor."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand on every executor, in batches of 16 MB where the session has the usual 64 MB."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "16m")
     return df.mapInArrow(run, schema)
