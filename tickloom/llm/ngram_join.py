@@ -201,13 +201,10 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     # the hub of a list stands in the index prefix of its own size: only there a pair can first meet
     hub = f"pos <= n - {_needed('n', 'n', percent)}"
     place = F.when(F.expr(hub), F.shiftleft(F.col("pos").cast("long"), 44) + F.pmod(F.xxhash64("id"), F.lit(1 << 44)))
-    lists = (
-        postings.groupBy("token").agg(F.count("*").alias("rows"), F.min_by("id", place).alias("hub_id"), F.min(place).alias("place"),
-                                      F.min_by("n", place).alias("hub_n"))
-        .where("rows > 1 AND place IS NOT NULL")
-        .select("token", "hub_id", "hub_n", F.shiftright("place", 44).cast("int").alias("hub_pos"))
-    )
-    shared = stored(postings.join(lists, "token"), "lists")
+    lists = postings.groupBy("token").agg(F.count("*").alias("rows"), F.min(place).alias("place")).where("rows > 1 AND place IS NOT NULL")
+    shared = stored(postings.join(lists.select("token", "place"), "token"), "lists")
+    hubs = shared.where(place == F.col("place")).select("token", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos")])
+    shared = shared.select("token", "id", "n", "pos").join(hubs, "token")
     first = shared.where("id <> hub_id").where(_positional(percent, "", "hub_")).select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct()
     same = nodes.select("id", "n", "ranges")
     label = components(verified(first, same, docs, words, percent, id_col, text_col))
@@ -264,3 +261,18 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_c
     single = checked.where("rows = 1").select(*docs.columns)
     repeated = checked.where("rows > 1").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return only(False).select(*docs.columns).union(single).union(repeated)
+
+
+def oracle(words: int, percent: int) -> str:
+    """The same in DuckDB's SQL, by comparing all pairs that share a shingle: for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i : i + {words - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id"""
