@@ -16,7 +16,7 @@ from tickloom.llm.licences import TEXTS, licence_scan
 from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores
 from tickloom.llm.ngram_join import near_copies, without_near_copies
 from tickloom.llm.packing import packed, plan, sequences, token_pieces, placed
-from tickloom.llm.pieces import PieceCoder, decoded, encoded
+from tickloom.llm.pieces import PieceCoder, decoded, encoded, round_trip
 from tickloom.llm.pii import digest, personal_data, redacted
 from tickloom.llm.quality_classifier import fit, held_out, quality_accepted, quality_scores, train_labels
 from tickloom.llm.quality_rules import Limits, quality_kept, quality_report
@@ -304,6 +304,10 @@ def test_pieces_equal_the_library_and_come_back(docs):
     for i, t in rows():
         if i not in (None, 175):
             assert got[i].ids == library.encode(t or "") and got[i].decoded == (t or "")
+    for r in round_trip(docs, Q.PIECES).where("doc_id IS NOT NULL AND doc_id <> 175").collect():
+        ids = np.array(got[r.doc_id].ids, "<u4")
+        assert (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+        assert r.decoded_sha256 == hashlib.sha256(got[r.doc_id].decoded.encode()).hexdigest()
 
 
 def test_viterbi_finds_the_best_sum():
@@ -389,7 +393,7 @@ def test_empty_tables(spark, empty):
     model = fit(empty, empty.select("doc_id", F.lit(1).alias("quality")))
     for df in (
         near_copies(empty), without_near_copies(empty), quality_report(empty), quality_kept(empty), digest(personal_data(empty)), redacted(empty),
-        packed(empty, Q.WORD_BPE), fingerprints(empty), edited_fingerprints(empty), encoded(empty, Q.PIECES), licence_scan(empty),
+        packed(empty, Q.WORD_BPE), fingerprints(empty), edited_fingerprints(empty), encoded(empty, Q.PIECES), round_trip(empty, Q.PIECES), licence_scan(empty),
         quality_scores(empty, model), lm_scores(empty, fit_language(empty)), recounted(token_trees(empty.withColumn("edits", F.expr("CAST(NULL AS array<struct<start:int,end:int,replacement:string>>)")), Q.WORD_BPE, more=["edits"]), Q.WORD_BPE),
     ):
         assert df.count() == 0

@@ -14,11 +14,14 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from sentencepiece import sentencepiece_model_pb2
@@ -59,17 +62,47 @@ class PieceCoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        # 1 for the best score; equal scores share a rank
+        order = {score: k for k, score in enumerate(sorted({x for x in self.scores.values()}, reverse=True), 1)}
+        self.ranks = {p: order[x] for p, x in self.scores.items() if len(p) > 1}
+        self.halves: dict[str, tuple[str, str]] = {}
 
     def _stands(self, left: str, right: str) -> bool:
-        """Whether merging the characters of a pair of pieces, best score first and leftmost, ends with that pair."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > PAIR_ROOM:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
-
-    def merged(self, word: str) -> list[str]:
+        """Whether merging the characters of a pair of pieces, best score first and leftmost, ends with that pair.
+
+        The merges of both pieces are taken back from the latest on. The pair falls if, at some point, the two symbols that meet
+        could have merged before the merge that was taken back last.
+        """
+        if len(self.pairs) > PAIR_ROOM:
+            self.pairs.clear()
+        ranks, halves = self.ranks, self.halves
+        a, b, limit, stands = left, right, 1 << 60, True
+        while True:
+            both = ranks.get(a + b)
+            if both is not None and both < limit:
+                stands = False
+                break
+            rank_a, rank_b = len(a) > 1 and ranks[a], len(b) > 1 and ranks[b]
+            if rank_a > rank_b:
+                limit, a = rank_a, (halves.get(a) or self._halve(a))[1]
+            elif rank_b:
+                limit, b = rank_b + 1, (halves.get(b) or self._halve(b))[0]
+            else:
+                break
+            if not a or not b:  # no merges make the piece
+                stands = False
+                break
+        self.pairs[left, right] = stands
+        return stands
+
+    def _halve(self, piece: str) -> tuple[str, str]:
+        """The two pieces whose merge makes a piece, or empty strings where merging its characters doesn't end with it."""
+        parts = self.merged(piece, len(piece))
+        self.halves[piece] = found = (parts[0], parts[1]) if len(parts) == 2 else ("", "")
+        return found
+
+    def merged(self, word: str, whole: int = 0) -> list[str]:
+        """The symbols left when nothing merges any more, or when the next merge would make a symbol of `whole` characters."""
         parts, scores = list(word), self.scores
         while len(parts) > 1:
             best, at = None, 0
@@ -77,47 +110,48 @@ class PieceCoder:
                 score = scores.get(parts[i] + parts[i + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
-            if best is None:
+            if best is None or len(parts) == 2 and len(word) == whole:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _next(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        """The forward state of word[:end], given those of all shorter prefixes."""
-        ids, tails = self.ids, self.tails
-        low = end - 1
-        while low > 0 and word[low - 1 : end] in tails:
-            low -= 1
-        if self.unigram:
-            scores = self.scores
-            piece, score = word[end - 1 : end], best[end - 1] + self.unknown
-            for start in range(low, end):
-                own = scores.get(word[start:end])
-                if own is not None and best[start] + own > score:
-                    piece, score = word[start:end], best[start] + own
-            last.append(piece)
-            best.append(score)
-            return
+    def _best(self, word: str, low: int, end: int, last: list[str], best: list[float]) -> None:
+        """The best sum of scores of word[:end], given those of all shorter prefixes; no piece that ends here starts before low."""
+        piece, score = word[end - 1 : end], best[end - 1] + self.unknown
         for start in range(low, end):
-            piece = word[start:end]
-            if piece in ids and (start == 0 or last[start] not in ids or self._stands(last[start], piece)):
-                last.append(piece)
-                return
-        last.append(word[end - 1 : end])
+            own = self.scores.get(word[start:end])
+            if own is not None and best[start] + own > score:
+                piece, score = word[start:end], best[start] + own
+        last.append(piece)
+        best.append(score)
 
     def learn(self, words: list[str]) -> None:
         """Encodes words in sorted order, going back to the prefix shared with the word before."""
         words.sort()
         before, last, best = "", [""], [0.0]
         ids, own_bytes, young = self.ids, self.bytes, self.young
+        tails, pairs, stands = self.tails, self.pairs, self._stands
         for word in words:
-            shared, most = 0, min(len(word), len(before))
+            size = len(word)
+            shared, most = 0, min(size, len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                self._next(word, end, last, best)
-            out, end = [], len(word)
+            for end in range(shared + 1, size + 1):
+                low = end - 1
+                while low > 0 and word[low - 1 : end] in tails:
+                    low -= 1
+                if self.unigram:
+                    self._best(word, low, end, last, best)
+                    continue
+                for start in range(low, end):
+                    piece = word[start:end]
+                    if piece in ids:
+                        left = last[start]
+                        if start == 0 or left not in ids or pairs.get((left, piece)) or (left, piece) not in pairs and stands(left, piece):
+                            break
+                last.append(piece)
+            out, end = [], size
             while end:
                 piece = last[end]
                 found = ids.get(piece)
@@ -126,7 +160,7 @@ class PieceCoder:
                 else:
                     out.append(found)
                 end -= len(piece)
-            young[word] = np.array(out[::-1], np.int32).tobytes()
+            young[word] = array("i", out[::-1]).tobytes()
             before = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -200,20 +234,24 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "
     return in_arrow(rows, run, StructType(rows.schema.fields + StructType.fromDDL(f"`{text_col}` string").fields))
 
 
-def with_digest(rows: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """The rows with the number of ids and the CRC-32 of their little-endian 32-bit numbers in place of the ids."""
-    at = rows.columns.index(ids_col)
-    kept = [c for c in rows.columns if c != ids_col]
-    names = [*kept, "n_pieces", "ids_crc32"]
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, the number and the CRC-32 of its piece ids (little-endian, 32 bits), and the SHA-256 of
+    what the ids decode to. Both ways in one pass, so ids stay in the task. No shuffle."""
+    names = [id_col, "n_pieces", "ids_crc32", "decoded_sha256"]
 
     def run(batches):
+        own = coder(model)
         for batch in batches:
-            lists = batch.column(at)
-            ends = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names)
-
-    fields = [rows.schema[c] for c in kept] + StructType.fromDDL("n_pieces long, ids_crc32 long").fields
-    return in_arrow(rows, run, StructType(fields))
+            sizes = pc.utf8_length(batch.column(1)).fill_null(0).to_pylist()
+            for a, b in _runs(sizes, BATCH_CHARS):
+                raw = own.encode(batch.column(1).slice(a, b - a).fill_null("").to_pylist())
+                back = (own.decode(np.frombuffer(r, np.int32).tolist()).encode("utf-8", "surrogatepass") for r in raw)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                     pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string())],
+                    names,
+                )
+
+    narrow = docs.select(docs[id_col], docs[text_col].alias("text"))
+    fields = StructType.fromDDL("n_pieces long, ids_crc32 long, decoded_sha256 string").fields
+    return in_arrow(narrow, run, StructType(narrow.schema.fields[:1] + fields))

@@ -205,3 +205,24 @@ def quality_kept(docs: DataFrame, limits: Limits = Limits(), text_col: str = "te
                 yield batch.filter(pa.array(_measured(batch.column(at), limits)["kept"]))
 
     return in_arrow(docs, run, docs.schema)
+
+
+def oracle(limits: Limits = Limits()) -> str:
+    """The report in DuckDB's SQL: repeats are runs of equal windows at one distance. For small tables; one window size only."""
+    if limits.window != limits.min_repeat:
+        raise ValueError("the text states one window size")
+    n = limits.window
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT r, i, w[i : i + {n - 1}] AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n})),
+h AS (SELECT r, i, g FROM v JOIN (SELECT r, g FROM v GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+c AS (SELECT r, count(*) AS words, sum(length(d.w[p])) AS chars FROM (SELECT DISTINCT r, i + o.o AS p FROM h, range({n}) o(o)) JOIN d USING (r) GROUP BY r),
+q AS (SELECT a.r, b.i - a.i AS far, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run FROM h a JOIN h b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+m AS (SELECT r, max(size) + {n - 1} AS longest FROM (SELECT r, count(*) AS size FROM q GROUP BY r, far, run) GROUP BY r),
+k AS (SELECT r, count(*) - count(DISTINCT line) AS lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+a AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(k.lines, 0) AS n_dup_lines, coalesce(c.words, 0) AS n_repeat_words, coalesce(c.chars, 0) AS chars, coalesce(m.longest, 0) AS longest_repeat
+  FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r) LEFT JOIN k USING (r)),
+f AS (SELECT *, n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed, chars::DOUBLE / greatest(word_chars, 1) AS covered_fraction FROM a)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND covered_fraction <= {limits.covered_fraction}::DOUBLE AND longest_repeat <= {limits.longest_words} AS kept, covered_fraction, longest_repeat FROM f"""

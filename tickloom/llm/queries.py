@@ -11,12 +11,12 @@ from .common import table
 from .fingerprints import edited_fingerprints
 from .licences import licence_scan, oracle as licence_oracle
 from .lm_scoring import fit_language, lm_scores
-from .ngram_join import near_copies
+from .ngram_join import near_copies, oracle as near_copies_oracle
 from .packing import packed
-from .pieces import decoded, encoded, with_digest
+from .pieces import round_trip
 from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
-from .quality_rules import quality_report
+from .quality_rules import oracle as quality_oracle, quality_report
 from .token_counts import masking_edits, recounted, token_trees
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,8 +63,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Number and CRC-32 of each text's piece ids, and the SHA-256 of what they decode to."""
-    rows = with_digest(decoded(encoded(table(spark, folder, "documents"), PIECES), PIECES))
-    return rows.select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(table(spark, folder, "documents"), PIECES)
 
 
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licences": op10_licences,
 }
 # Each maps a query to DuckDB's SQL for the same rows.
-ORACLES: dict[str, str] = {"op10_licences": licence_oracle()}
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": near_copies_oracle(3, 90), "op8_quality_rules": quality_oracle(), "op10_licences": licence_oracle(),
+}
