@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import queries as Q
 from tickloom.llm.fingerprints import edited_fingerprints, fingerprints, likeness, sketches
 from tickloom.llm.licences import TEXTS, licence_scan
-from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores
+from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores, word_counts
 from tickloom.llm.ngram_join import near_copies, without_near_copies
 from tickloom.llm.packing import packed, plan, sequences, token_pieces, placed
 from tickloom.llm.pieces import PieceCoder, decoded, encoded, round_trip
@@ -389,6 +389,13 @@ def test_language_model_learns_and_sums(spark, docs):
     assert scored[161].log_probability == 0 and scored[160].mean_log_probability is None
 
 
+def test_word_counts_hold_a_word_once(spark):
+    df = spark.createDataFrame([(f"The cat {w}",) for w in ("the", "THE", "tHe", "The")], "text string").repartition(4)
+    df = df.union(spark.createDataFrame([("the CAT",)], "text string"))
+    found = word_counts(df, Shape()).collect()
+    assert len(found) == len({r.word for r in found}) == 2 and sorted(r["count"] for r in found) == [5, 9]
+
+
 def test_empty_tables(spark, empty):
     model = fit(empty, empty.select("doc_id", F.lit(1).alias("quality")))
     for df in (

@@ -48,6 +48,9 @@ class Shape:
 
 AROUND = (-2, -1, 1, 2)
 BLOCKS = 64
+# a capital letter is of the kind of its small one: words count in lower case, and so does their bucket
+_FORM = _KIND.copy()
+_FORM[65:91] = _KIND[97:123]
 
 
 @dataclass
@@ -101,7 +104,7 @@ def word_counts(docs: DataFrame, shape: Shape, text_col: str = "text") -> DataFr
                     [pa.array(h.view(np.int64)), pa.array(np.concatenate(forms)[at].astype(np.int32)), pa.array(n)], ["word", "bucket", "count"])
 
     rows = in_arrow(docs.select(docs[text_col]), run, "word long, bucket int, count long")
-    return rows.groupBy("word", "bucket").agg(F.sum("count").alias("count"))
+    return rows.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("count").alias("count"))
 
 
 def _hashed(texts: Texts, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +112,7 @@ def _hashed(texts: Texts, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not len(words.starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), words.first
     hashes = span_hashes(texts.data, words.starts, words.ends, lower=True)
-    kind = np.bitwise_or.reduceat(_KIND[texts.data], words.starts).astype(np.uint64)
+    kind = np.bitwise_or.reduceat(_FORM[texts.data], words.starts).astype(np.uint64)
     size = np.minimum(words.ends - words.starts, 15).astype(np.uint64)
     bucket = mix((kind << np.uint64(4) | size) + seeded(5)) % np.uint64(shape.buckets)
     return hashes, bucket.astype(np.int64), words.first
