@@ -396,6 +396,21 @@ def test_word_counts_hold_a_word_once(spark):
     assert len(found) == len({r.word for r in found}) == 2 and sorted(r["count"] for r in found) == [5, 9]
 
 
+def test_words_outside_the_vocabulary_are_predicted(spark):
+    rare = ["abcde"] * 6 + ["fghij"] * 2 + ["klmno"]
+    df = spark.createDataFrame([(i, f"often {w} often") for i, w in enumerate(rare)] + [(None, "often abcde ABCDE"), (7, "often zzzzz often"), (7, "often")], "doc_id long, text string")
+    language = fit_language(df.where("text NOT LIKE '%zzzzz%'"), Shape(words=1, grow=0.0, buckets=1, classes=2, width=4, rounds=0))
+    got = {r.text: r.log_probability for r in lm_scores(df, language, id_col="text").collect()}
+    assert len(got) == len(set(rare)) + 3
+    one = got["often abcde often"]
+    assert one - got["often klmno often"] == pytest.approx(np.log(8), abs=1e-5) and one - got["often fghij often"] == pytest.approx(np.log(4), abs=1e-5)
+    assert got["often klmno often"] - got["often zzzzz often"] == pytest.approx(np.log(2), abs=1e-5)
+    assert sorted(r.n_words for r in lm_scores(df, language).where("doc_id = 7 OR doc_id IS NULL").collect()) == [1, 3, 3, 3]
+    flat = np.exp(language.network.word_bias[language.network.word_bias > -1e8]).sum()
+    assert flat == pytest.approx(2, abs=1e-4)
+    assert Shape().grown(400_000).words == 2529 and Shape().grown(10) == Shape()
+
+
 def test_empty_tables(spark, empty):
     model = fit(empty, empty.select("doc_id", F.lit(1).alias("quality")))
     for df in (

@@ -1,34 +1,39 @@
 """Language-model scores as masked pseudo-likelihood: a network predicts each word of a text from the words on both sides.
 
-Words of all documents are counted; the most frequent are the vocabulary, all others fall into buckets by their kinds of
-characters and length. The network adds one vector for each of the two words before and the two after, takes the
-hyperbolic tangent, and predicts the class of the masked word, then the word within its class. Output biases start at
-the logarithms of the counts.
+Words of all documents are counted; the most frequent are the vocabulary, which grows with the square root of the number of
+distinct words. All others fall into buckets by their kinds of characters and length. The network adds one vector for each
+of the two words before and the two after, takes the hyperbolic tangent, and predicts the class of the masked word, then
+the word within its class. Output biases start at the logarithms of the counts. A word outside the vocabulary is predicted
+as its bucket, then as itself by its share of the bucket's counts; a word that was never counted has the share of half an
+occurrence.
 
 Training reads every document: a hash masks one word position in `every` of each text. Each task trains on its own
 documents from the shared weights and sends its weights, in blocks that are added as they stream in; their mean, weighted by
 masked words, is the next round's start. What is gathered so grows with the corpus, what the driver gets does not.
 
-A text's score is the sum of the log-probabilities of all its words, each masked in turn. A NULL or empty text has no words and
-scores 0. Rows are scored each for itself; an empty table gives an empty table.
+A text's score is the sum of the log-probabilities of all its words, each masked in turn. Counts of words outside the vocabulary
+stay in a table, which is joined to the distinct words of each text: no process holds them all. A NULL or empty text has no
+words and scores 0. Rows are scored each for itself; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Texts, in_arrow, mix, pass_batches, seeded, slices, span_hashes, texts_of, words_of
+from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, words_of
 from .quality_classifier import _KIND
 
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 2048
+    words: int = 2048  # at least; `grow` times the root of the number of distinct words if that is more
+    grow: float = 4.0
     buckets: int = 64
     classes: int = 48
     width: int = 32
@@ -45,6 +50,10 @@ class Shape:
     def members(self) -> int:
         return -(-self.tokens // self.classes)
 
+    def grown(self, distinct: int) -> "Shape":
+        words = max(self.words, math.isqrt(int(self.grow * self.grow * distinct)))
+        return self if words == self.words else replace(self, words=words, classes=max(self.classes, math.isqrt(words + self.buckets)))
+
 
 AROUND = (-2, -1, 1, 2)
 BLOCKS = 64
@@ -80,12 +89,15 @@ class Network:
 
 @dataclass
 class Language:
-    """The vocabulary as sorted word hashes with their token numbers, and the network."""
+    """The vocabulary as sorted word hashes with their token numbers, the network, the counts of each bucket's words outside
+    the vocabulary, and the table (word, bucket, count) of those words."""
 
     hashes: np.ndarray
     numbers: np.ndarray
     network: Network
     shape: Shape
+    totals: np.ndarray
+    rest: DataFrame | None = None
 
 
 def word_counts(docs: DataFrame, shape: Shape, text_col: str = "text") -> DataFrame:
@@ -118,8 +130,8 @@ def _hashed(texts: Texts, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes, bucket.astype(np.int64), words.first
 
 
-def tokens_of(texts: Texts, hashes: np.ndarray, numbers: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token number of each word, the first word of each text, and the words around (tokens where there is none)."""
+def tokens_of(texts: Texts, hashes: np.ndarray, numbers: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token number of each word, the first word of each text, the words around (tokens where there is none), and the hashes."""
     words, bucket, first = _hashed(texts, shape)
     token = shape.words + bucket
     if len(hashes) and len(words):
@@ -133,7 +145,7 @@ def tokens_of(texts: Texts, hashes: np.ndarray, numbers: np.ndarray, shape: Shap
             a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
             same = text[a] == text[b]
             row[a][same] = token[b][same]
-    return token.astype(np.int32), first, around
+    return token.astype(np.int32), first, around, words
 
 
 def start(counts: list[tuple[int, int]], bucket_counts: np.ndarray, shape: Shape) -> Language:
@@ -154,7 +166,7 @@ def start(counts: list[tuple[int, int]], bucket_counts: np.ndarray, shape: Shape
         np.zeros((shape.classes, shape.width), np.float32), np.log(grid.sum(1) / grid.sum()).astype(np.float32),
         np.zeros((shape.classes, shape.members, shape.width), np.float32), word_bias.astype(np.float32),
     )
-    return Language(words[order], numbers, network, shape)
+    return Language(words[order], numbers, network, shape, np.asarray(bucket_counts, np.float64))
 
 
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
@@ -248,7 +260,7 @@ def masked(token: np.ndarray, first: np.ndarray, every: int, turn: int) -> np.nd
 
 
 def train_round(docs: DataFrame, language: Language, turn: int, text_col: str = "text") -> Network:
-    shared = docs.sparkSession.sparkContext.broadcast(language)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(language, rest=None))
 
     def train(batches):
         lang = shared.value
@@ -261,7 +273,7 @@ def train_round(docs: DataFrame, language: Language, turn: int, text_col: str =
 
         for batch in batches:
             for _, _, part in slices(texts_of(batch.column(0))):
-                token, first, around = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
+                token, first, around, _ = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
                 at = masked(token, first, lang.shape.every, turn)
                 held.append((token[at], around[:, at]))
                 count += len(at)
@@ -297,44 +309,84 @@ def train_round(docs: DataFrame, language: Language, turn: int, text_col: str =
 
 def fit_language(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> Language:
     """Vocabulary from the counts over all documents, then rounds of training over all documents."""
-    counts = word_counts(docs, shape, text_col).persist()
+    counts = stored(word_counts(docs, shape, text_col), "words")
     # the power of two that enough words reach: only words that reach it are sorted, few whatever the number of tasks
     size = F.floor(F.log2(F.col("count").cast("double"))).cast("int")
+    sizes = sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"])
+    shape = shape.grown(sum(r.words for r in sizes))
     found, least = 0, 0
-    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+    for r in sizes:
         found, least = found + r.words, r["size"]
         if found >= shape.words:
             break
     often = counts.where(size >= least)
     top = [(r.word, r["count"]) for r in often.orderBy(F.desc("count"), "word").limit(shape.words).collect()]
+    # the last word taken and its count tell words inside the vocabulary from those outside
+    if top:
+        rest = counts.where((F.col("count") < top[-1][1]) | ((F.col("count") == top[-1][1]) & (F.col("word") > top[-1][0])))
+    else:
+        rest = counts
     buckets = np.zeros(shape.buckets)
-    for r in counts.groupBy("bucket").agg(F.sum("count").alias("count")).collect():
+    for r in rest.groupBy("bucket").agg(F.sum("count").alias("count")).collect():
         buckets[r.bucket] = r["count"]
-    counts.unpersist()
-    # a bucket's share of the words outside the vocabulary is not kept per word; the whole bucket's is near enough to start from
-    rest = max(buckets.sum() - sum(c for _, c in top), 0.0)
-    language = start(top, buckets * (rest / max(buckets.sum(), 1.0)), shape)
+    language = start(top, buckets, shape)
     for turn in range(shape.rounds):
         language.network = train_round(docs, language, turn, text_col)
+    language.rest = rest
     return language
 
 
+# Logarithms of shares are added as whole multiples of 1 / UNIT, so that a sum does not depend on the order of its parts.
+UNIT = float(1 << 32)
+
+
+def _log_shares(language: Language) -> DataFrame:
+    """(word, share) of the words outside the vocabulary: the logarithm of each one's part of its bucket, in units."""
+    totals = F.array(*[F.lit(float(x)) for x in language.totals])
+    share = F.log(F.col("count") / (F.get(totals, F.col("bucket")) + 0.5))
+    return language.rest.select("word", F.round(share * UNIT).cast("long").alias("share"))
+
+
 def lm_scores(docs: DataFrame, language: Language, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its number of words, their summed conditional log-probability and its mean (NULL without
-    words). No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(language)
+    words). Texts are not shuffled, only the hashes of their distinct words outside the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(language, rest=None))
 
     def run(batches):
         lang = shared.value
+        never = np.round(np.log(0.5 / (lang.totals + 0.5)) * UNIT).astype(np.int64)
         for batch in batches:
-            sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, part in slices(texts_of(batch.column(1))):
-                token, first, around = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
+            for a, b, part in slices(texts_of(batch.column(2))):
+                row, n = batch.column(0).slice(a, b - a), b - a
+                token, first, around, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
                 total = np.concatenate([[0.0], np.cumsum(log_probabilities(lang.network, lang.shape, token, around))])
-                sizes.append(np.diff(first))
-                sums.append(total[first[1:]] - total[first[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums))], [id_col, "n_words", "log_probability"])
-
-    narrow = pass_batches(docs, [id_col, text_col])
-    out = in_arrow(narrow, run, StructType(narrow.schema.fields[:1] + StructType.fromDDL("n_words long, log_probability double").fields))
+                at = np.flatnonzero(token >= lang.shape.words)
+                text, word, bucket = np.repeat(np.arange(n), np.diff(first))[at], words[at], token[at] - lang.shape.words
+                turn = np.lexsort((word, text))
+                text, word, bucket = text[turn], word[turn], bucket[turn]
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
+                new = np.flatnonzero(fresh)
+                times = np.diff(np.append(new, len(at)))
+                # one row for each text, dealt by its number, and one for each of its distinct words outside the vocabulary
+                rows = row.to_numpy()
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([row, pa.array(rows[text[new]])]),
+                    pa.concat_arrays([batch.column(1).slice(a, n), pa.nulls(len(new), batch.column(1).type)]),
+                    pa.concat_arrays([pa.array(np.diff(first)), pa.nulls(len(new), pa.int64())]),
+                    pa.concat_arrays([pa.array(total[first[1:]] - total[first[:-1]]), pa.nulls(len(new), pa.float64())]),
+                    pa.array(np.concatenate([mix(rows.astype(np.uint64) + seeded(3)), word[new]]).view(np.int64)),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), never[bucket[new]]])),
+                ], ["row", id_col, "n_words", "network", "word", "times", "never"])
+
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col], docs[text_col])
+    fields = StructType.fromDDL("row long").fields + narrow.schema.fields[1:2] + StructType.fromDDL("n_words long, network double, word long, times long, never long").fields
+    parts = in_arrow(narrow, run, StructType(fields))
+    if language.rest is not None:
+        parts = parts.join(_log_shares(language), "word", "left").withColumn("never", F.coalesce("share", "never"))
+    scored = parts.groupBy("row").agg(
+        F.first(id_col, ignorenulls=True).alias(id_col), F.max("n_words").alias("n_words"), F.max("network").alias("network"),
+        F.sum(F.col("times") * F.col("never")).alias("units"))
+    out = scored.select(id_col, "n_words", (F.col("network") + F.col("units") / UNIT).alias("log_probability"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
