@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import queries as Q
 from tickloom.llm.fingerprints import edited_fingerprints, fingerprints, likeness, sketches
 from tickloom.llm.licences import TEXTS, licence_scan
-from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores, word_counts
+from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores, masked, word_counts
 from tickloom.llm.ngram_join import near_copies, without_near_copies
 from tickloom.llm.packing import packed, plan, sequences, token_pieces, placed
 from tickloom.llm.pieces import PieceCoder, decoded, encoded, round_trip
@@ -396,6 +396,15 @@ def test_word_counts_hold_a_word_once(spark):
     assert len(found) == len({r.word for r in found}) == 2 and sorted(r["count"] for r in found) == [5, 9]
 
 
+@pytest.mark.parametrize("every, rounds", [(8, 2), (2, 3), (8, 8), (3, 1)])
+def test_every_place_is_trained_on(every, rounds):
+    random_words = np.random.default_rng(1).integers(0, 1 << 63, 40).astype(np.uint64)
+    first = np.array([0, 1, 1, 13, 13 + 1, 40])
+    turns = [masked(random_words, first, Shape(every=every, rounds=rounds), turn) for turn in range(rounds)]
+    assert set(np.concatenate(turns)) == set(range(40))
+    assert rounds > every or sum(map(len, turns)) == 40
+
+
 def test_words_outside_the_vocabulary_are_predicted(spark):
     rare = ["abcde"] * 6 + ["fghij"] * 2 + ["klmno"]
     df = spark.createDataFrame([(i, f"often {w} often") for i, w in enumerate(rare)] + [(None, "often abcde ABCDE"), (7, "often zzzzz often"), (7, "often")], "doc_id long, text string")

@@ -7,7 +7,8 @@ the word within its class. Output biases start at the logarithms of the counts.
 as its bucket, then as itself by its share of the bucket's counts; a word that was never counted has the share of half an
 occurrence.
 
-Training reads every document: a hash masks one word position in `every` of each text. Each task trains on its own
+Training reads every document, and every word position is masked: the positions of a text are dealt over the rounds (over
+`every` of them at most, then again). Each task trains on its own
 documents from the shared weights and sends its weights, in blocks that are added as they stream in; their mean, weighted by
 masked words, is the next round's start. What is gathered so grows with the corpus, what the driver gets does not.
 
@@ -37,7 +38,7 @@ class Shape:
     buckets: int = 64
     classes: int = 48
     width: int = 32
-    every: int = 8
+    every: int = 8  # most rounds that the places of a text are dealt over
     rounds: int = 2
     batch: int = 4096
     rate: float = 0.1
@@ -253,10 +254,15 @@ class Trainer:
         self.words += n
 
 
-def masked(token: np.ndarray, first: np.ndarray, every: int, turn: int) -> np.ndarray:
-    """Places to train on: of each text about one word in `every`, by a hash of the place and the word."""
-    place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
-    return np.flatnonzero(mix(place.astype(np.uint64) * np.uint64(31) + token.astype(np.uint64) + seeded(turn + 1)) % np.uint64(every) == 0)
+def masked(words: np.ndarray, first: np.ndarray, shape: Shape, turn: int) -> np.ndarray:
+    """Places to train on in a round: each place of a text has its turn, which a hash of the text shifts."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words, out=total[1:])
+    shift = mix(total[first[1:]] - total[first[:-1]] + seeded(1))
+    sizes, parts = np.diff(first), min(shape.every, shape.rounds)
+    place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
+    own = (place.astype(np.uint64) + np.repeat(shift >> np.uint64(1), sizes)) % np.uint64(parts)
+    return np.flatnonzero(own == turn % parts)
 
 
 def train_round(docs: DataFrame, language: Language, turn: int, text_col: str = "text") -> Network:
@@ -273,8 +279,8 @@ def train_round(docs: DataFrame, language: Language, turn: int, text_col: str =
 
         for batch in batches:
             for _, _, part in slices(texts_of(batch.column(0))):
-                token, first, around, _ = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
-                at = masked(token, first, lang.shape.every, turn)
+                token, first, around, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
+                at = masked(words, first, lang.shape, turn)
                 held.append((token[at], around[:, at]))
                 count += len(at)
                 if count >= 4 * lang.shape.batch:
