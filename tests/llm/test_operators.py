@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -339,6 +340,19 @@ def test_licences(spark):
     assert [(got[i].licence, got[i].notices) for i in range(len(texts))] == [(a, b) for _, a, b in texts]
 
 
+def test_licence_lines_and_files(spark):
+    texts = [
+        ("x\nReleased under the MIT License.\ny", None, "MIT"), ("Licensed under CC BY-NC 4.0.", None, "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0.", None, "Apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", None, "GPL-3.0"), ("released under the GNU LGPL v2.1 or later\nthis license is here", None, "LGPL-2.1"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", None, "CC-BY-SA-4.0"), ("MIT License", None, ""),
+        ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + TEXTS["MIT"], "MIT", ""), ("BSD 3-Clause License\n\n" + TEXTS["BSD-3-Clause"], "BSD-3-Clause", ""),
+    ]
+    common = Path("/usr/share/common-licenses")
+    texts += [((common / f).read_text(), n, "") for n, f in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")) if (common / f).exists()]
+    got = by_id(licence_scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")))
+    assert [(got[i].licence, got[i].notices) for i in range(len(texts))] == [(a, b) for _, a, b in texts]
+
+
 def labelled(spark):
     good = [(i, prose(i, 60), 1) for i in range(300)]
     bad = [(300 + i, " ".join(w + "!!" for w in prose(i, 60).upper().split()), 0) for i in range(100)]
