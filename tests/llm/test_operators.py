@@ -189,6 +189,15 @@ def test_checked_and_context_spans(spark):
     assert clean[4].text == "ssn [SSN]" and clean[4].n_chars == 9 and clean[5].text == "part 123-45-6789"
 
 
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "AT611904300234573201", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    after = ["", " Please pay", " Bank", " BIC COBADEFF", " COBADEFFXXX", " 2024", " 5 items", " BANK 12", ", ok", "\nX", " X"]
+    texts = [f"to {i}{x}" for i in ibans for x in after] + ["to DE89370400440532013001 Bank", "DE89370400440532013000X", "A1" * 5000, "DE89 " * 3000]
+    got = by_id(personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = [[t[s.start : s.end] for s in got[k].spans if s.kind == "iban"] for k, t in enumerate(texts)]
+    assert found == [[i] for i in ibans for _ in after] + [[], [], [], []]
+
+
 def test_tokens_equal_the_tokenizer():
     coder = WordTokenizer(Q.WORD_BPE, room=50)
     r = random.Random(1)

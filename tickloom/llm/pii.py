@@ -21,6 +21,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 LOCAL = "A-Za-z0-9._%+-"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+# Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# The country's length ends a match, whatever follows a space; then a run without spaces, groups of four with a shorter last one, and any
+# spacing, for countries that are not listed.
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(
+    [rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}(?![A-Za-z0-9])" for size, names in IBAN_LENGTHS.items()]
+    + [rf"[A-Z]{{2}}[0-9]{{2}}{rest}(?![A-Za-z0-9])" for rest in
+       ("[A-Z0-9]{11,30}+", r"(?:\x20[A-Z0-9]{4}){2,7}+\x20[A-Z0-9]{1,3}", r"(?:\x20[0-9]{4}){3,7}+", r"(?:\x20?[A-Z0-9]){11,30}+")]
+) + ")"
 
 
 def _digits(match: Column) -> Column:
@@ -68,7 +81,7 @@ KINDS = (
          lambda m: _between(m, 12, 19) & F.call_function("luhn_check", _digits(m)), True, 0.2, 0.6, r"\b(?:card|visa|credit|debit|payment|iban)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda m: _between(m, 9, 15), True, 0.3, 0.4,
          r"\b(?:phone|tel|call|mobile|fax|contact)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]"),
+    Kind("iban", IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]"),
          _mod97, False, 0.2, 0.6, r"\b(?:iban|account|bank|konto)\b"),
     Kind("phone_local", r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
          lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), None, False, 0.4, 0.0, r"\b(?:phone|tel|call|mobile|fax|contact)\b"),
