@@ -198,6 +198,13 @@ def test_ibans_end_where_their_country_says(spark):
     assert found == [[i] for i in ibans for _ in after] + [[], [], [], []]
 
 
+def test_secrets_of_any_length(spark):
+    keys = ["aB3/" * k for k in (7, 8, 32, 33, 500, 50_000)]
+    df = spark.createDataFrame([(i, f"secret key: {k}. end") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = by_id(redacted(df))
+    assert [got[i].text for i in range(len(keys))] == [f"secret key: {keys[0]}. end"] + ["secret key: [SECRET]. end"] * 5
+
+
 def test_tokens_equal_the_tokenizer():
     coder = WordTokenizer(Q.WORD_BPE, room=50)
     r = random.Random(1)

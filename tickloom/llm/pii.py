@@ -87,7 +87,7 @@ KINDS = (
          lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), None, False, 0.4, 0.0, r"\b(?:phone|tel|call|mobile|fax|contact)\b"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
          lambda m: ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$"), False, 0.2, 0.2, r"\b(?:ssn|social\s+security)\b"),
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}+(?![A-Za-z0-9+/_-])", lambda t: t.rlike("[A-Za-z0-9+/_-]{32}"),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])", lambda t: t.rlike("[A-Za-z0-9+/_-]{32}"),
          lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), False, 0.2, 0.2, r"\b(?:token|secret|password|passwd|api.?key|key|credential)\b"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
