@@ -27,7 +27,7 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_all_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(Q.ORACLES) <= set(entry.oracle_sql())
 
 

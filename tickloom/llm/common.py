@@ -117,8 +117,8 @@ def weights(n: int) -> np.ndarray:
 _BYTES = mix(np.arange(1000, 1256, dtype=np.uint64) * GOLDEN)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(SPACES)] = False
 
 
 class Words(NamedTuple):
@@ -133,12 +133,12 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
-def words_of(texts: Texts) -> Words:
-    """Maximal runs of bytes other than space and 0x09 to 0x0D."""
+def words_of(texts: Texts, in_word: np.ndarray = _IN_WORD) -> Words:
+    """Maximal runs of marked bytes; of bytes other than space and 0x09 to 0x0D unless said otherwise."""
     data, n = texts.data, len(texts.data)
     if n == 0:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
-    inside = ~_IS_SPACE[data]
+    inside = in_word[data]
     edge = np.zeros(n + 1, bool)
     edge[texts.offsets] = True
     before = np.ones(n, bool)

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .filter_audit import filter_audit, oracle as audit_oracle
 from .fingerprints import edited_fingerprints
+from .lexical_search import lexical_search, oracle as search_oracle
 from .licences import licence_scan, oracle as licence_oracle
 from .lm_scoring import fit_language, lm_scores
 from .ngram_join import near_copies, oracle as near_copies_oracle
@@ -17,6 +19,7 @@ from .pieces import round_trip
 from .pii import digest, personal_data
 from .quality_classifier import fit, quality_scores, train_labels
 from .quality_rules import oracle as quality_oracle, quality_report
+from .simhash import simhash_groups
 from .token_counts import masking_edits, recounted, token_trees
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +73,18 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licence_scan(table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents"), words=3, distance=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -81,8 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_licences": op10_licences,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_simhash": op13_simhash,
 }
 # Each maps a query to DuckDB's SQL for the same rows.
 ORACLES: dict[str, str] = {
     "op5_ngram_join": near_copies_oracle(3, 90), "op8_quality_rules": quality_oracle(), "op10_licences": licence_oracle(),
+    "op11_filter_audit": audit_oracle(), "op12_lexical_search": search_oracle(20),
 }
