@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.aggregates import corr, issues, match_rate, share
 from ..functions.scalar import INF
+from ..learn.gram import fits, products
 from ..operators.layout import attach
 from ..operators.order_stats import exact_quantiles
 from ..plans.core_features import CORE
 from ..plans.registry import Registry
+from ..session import materialize
 from .strategy import equity_curve
 
 
@@ -292,24 +295,25 @@ def metric_progression(history: DataFrame, metrics) -> DataFrame:
 
 
 def walk_forward_scores(table: DataFrame, features, folds: DataFrame, estimator=None) -> DataFrame:
-    """Fit an estimator on the train part of each fold and score the test part.
+    """Fit on the train part of each fold over all symbols and score the test part.
 
-    One fit per fold over all symbols; fitting and scoring are Spark ML jobs.
+    Linear fits come from one pass of sums per fold, their weights are joined to the test rows. Any Spark ML estimator can be given
+    instead; it is then fitted once per fold.
     """
+    features = list(features)
+    ready = materialize(folds.join(table, ["symbol", "ts"]).dropna(subset=[*features, "y_true"]))
+    if estimator is None:
+        cells = products(ready.where("part = 'train'"), F.array(*features, "y_true"), ["fold"])
+        models = fits(cells, list(range(1, len(features) + 1)), len(features) + 1)
+        score = sum((F.col("weights")[k] * F.col(f) for k, f in enumerate(features)), F.col("intercept"))
+        test = attach(ready.where("part = 'test'"), models, ["fold"], "inner")
+        return pattern_metrics(test.select("symbol", "fold", "y_true", score.alias("y_pred")), ["fold"])
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
-    estimator = estimator or LinearRegression(featuresCol="features", labelCol="y_true", predictionCol="y_pred")
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        folds.join(table, ["symbol", "ts"]).dropna(subset=[*features, "y_true"])
-    ).persist()
-    scored = None
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(ready)
     numbers = [r.fold for r in ready.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    scored = []
     for k in numbers:
-        part = ready.where(F.col("fold") == k)
-        model = estimator.fit(part.where("part = 'train'"))
-        test = model.transform(part.where("part = 'test'")).select("symbol", "fold", "y_true", "y_pred")
-        scored = test if scored is None else scored.unionByName(test)
-    return pattern_metrics(scored, ["fold"])
-
-
+        part = vectors.where(F.col("fold") == k)
+        scored.append(estimator.fit(part.where("part = 'train'")).transform(part.where("part = 'test'")).select("symbol", "fold", "y_true", "y_pred"))
+    return pattern_metrics(reduce(DataFrame.unionByName, scored), ["fold"])

@@ -6,11 +6,15 @@ depend on partitioning or on retries, and any engine can repeat it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.aggregates import corr, match_rate
-from ..operators.layout import attach, with_positions
+from ..operators.layout import attach, looked_up, with_positions
 from ..operators.order_stats import average_ranks, exact_quantiles
 from ..plans.registry import Registry
 from ..session import materialize
@@ -33,23 +37,45 @@ def numbered(predictions: DataFrame, columns=("y_true", "y_pred")) -> DataFrame:
     return with_positions(predictions.select("symbol", "ts", *columns), "year")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Few rows that are about to become many, over all tasks."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *by)
+
+
 # -- moving block bootstrap ----------------------------------------------------
-def direction_metric(r, p):
-    return F.avg(F.when(F.signum(r) == F.signum(p), 1.0).otherwise(0.0))
+@dataclass(frozen=True)
+class BlockMetric:
+    """A metric made of sums over rows: terms of one row (return, prediction), and the value from their sums and the row count."""
+
+    terms: Callable[[Column, Column], list[Column]]
+    value: Callable[[list[Column], Column], Column]
+
+    def over(self, r, p) -> Column:
+        """The metric as an aggregate over plain rows."""
+        return self.value([F.sum(t) for t in self.terms(r, p)], F.count(F.lit(1)))
+
 
+def _sharpe(sums, n):
+    mean = sums[0] / n
+    sd = F.sqrt(F.greatest(sums[1] / n - mean * mean, F.lit(0.0)))
+    return F.coalesce(F.try_divide(mean, F.when(sd > 0, sd)) * (252.0**0.5), F.lit(0.0))
 
-def sharpe_metric(r, p):
-    x = F.when(p > 0, r).when(p < 0, -r).otherwise(0.0)
-    sd = F.stddev_pop(x)
-    return F.coalesce(F.try_divide(F.avg(x), F.when(sd > 0, sd)) * (252.0**0.5), F.lit(0.0))
 
+def _traded(r, p):
+    return F.when(p > 0, r).when(p < 0, -r).otherwise(0.0)
 
-def block_draws(table: DataFrame, draws: int = 1000, block: int = 5, seed: int = 42, metric=direction_metric) -> DataFrame:
+
+direction_metric = BlockMetric(lambda r, p: [F.when(F.signum(r) == F.signum(p), 1.0).otherwise(0.0)], lambda sums, n: sums[0] / n)
+sharpe_metric = BlockMetric(lambda r, p: [_traded(r, p), _traded(r, p) * _traded(r, p)], _sharpe)
+
+
+def block_draws(table: DataFrame, draws: int = 1000, block: int = 5, seed: int = 42, metric: BlockMetric = direction_metric) -> DataFrame:
     """Metric of each resample. Returns and predictions draw their blocks independently.
 
-    Blocks are short arrays built by one window; each draw picks them by an
-    equi join on (symbol, start), so a draw never gathers a series, and the
-    metric is a plain aggregate per (symbol, draw).
+    Blocks are short arrays built by one window. Each pick looks its two blocks up by (symbol, start) and adds the metric's terms over
+    them in place: a pick is one row, a draw never gathers a series, and rows are not multiplied by the block length.
     """
     reg = Registry()
 
@@ -58,22 +84,22 @@ def block_draws(table: DataFrame, draws: int = 1000, block: int = 5, seed: int =
 
     reg.add("b", _r=part("y_true"), _p=part("y_pred"))
     blocks = materialize(reg.compute(table, ["_r", "_p"]))
-    sizes = materialize(table.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = table.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
     count = F.col("_n") - block + 1
+    drawn = dealt(sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))), "symbol", "draw")
     picks = (
-        sizes.where(F.col("_n") >= block)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / block) - 1)))
+        drawn.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / block) - 1)))
         .withColumn("_a", draw_hash(seed, F.col("draw"), F.col("_k")) % count)
         .withColumn("_b", draw_hash(seed + 1, F.col("draw"), F.col("_k")) % count)
     )
     left = blocks.select("symbol", F.col("pos").alias("_a"), "_r")
     right = blocks.select("symbol", F.col("pos").alias("_b"), "_p")
-    joined = picks.join(left, ["symbol", "_a"]).join(right, ["symbol", "_b"])
-    taken = F.least(F.lit(block).cast("long"), F.col("_n") - F.col("_k") * block).cast("int")
-    cut = joined.select("symbol", "draw", F.slice("_r", 1, taken).alias("_r"), F.slice("_p", 1, taken).alias("_p"))
-    rows = cut.select("symbol", "draw", F.explode(F.arrays_zip("_r", "_p")).alias("z"))
-    return rows.groupBy("symbol", "draw").agg(metric(F.col("z._r"), F.col("z._p")).alias("value"))
+    joined = looked_up(looked_up(picks, left, ["symbol", "_a"]), right, ["symbol", "_b"])
+    taken = F.least(F.lit(block).cast("long"), F.col("_n") - F.col("_k") * block)
+    rows = [metric.terms(F.col("_r")[k], F.col("_p")[k]) for k in range(block)]
+    sums = [sum((F.when(taken > k, row[t]).otherwise(0.0) for k, row in enumerate(rows)), F.lit(0.0)) for t in range(len(rows[0]))]
+    out = joined.groupBy("symbol", "draw").agg(F.sum(taken).alias("_n"), *[F.sum(x).alias(f"_s{t}") for t, x in enumerate(sums)])
+    return out.select("symbol", "draw", metric.value([F.col(f"_s{t}") for t in range(len(sums))], F.col("_n")).alias("value"))
 
 
 def _null_summary(draws: DataFrame, actual: DataFrame) -> DataFrame:
@@ -88,9 +114,9 @@ def _null_summary(draws: DataFrame, actual: DataFrame) -> DataFrame:
     return out.withColumn("test_statistic", z).withColumn("significant", F.col("p_value") < 0.05)
 
 
-def block_bootstrap(predictions: DataFrame, draws: int = 1000, block: int = 5, seed: int = 42, metric=direction_metric) -> DataFrame:
+def block_bootstrap(predictions: DataFrame, draws: int = 1000, block: int = 5, seed: int = 42, metric: BlockMetric = direction_metric) -> DataFrame:
     table = materialize(numbered(predictions))
-    actual = table.groupBy("symbol").agg(metric(F.col("y_true"), F.col("y_pred")).alias("actual"))
+    actual = table.groupBy("symbol").agg(metric.over(F.col("y_true"), F.col("y_pred")).alias("actual"))
     return _null_summary(block_draws(table, draws, block, seed, metric), actual)
 
 
@@ -113,17 +139,71 @@ def _ranked_by_hash(df: DataFrame, keys, h: Column, name: str) -> DataFrame:
     )
 
 
+ROUNDS = 16
+
+
+def _number_hash():
+    """`draw_hash` for numpy arrays and Python integers; nested, so that it travels with the task."""
+    prime = PRIME
+
+    def number_hash(seed, *parts):
+        h = seed % prime
+        for k, part in enumerate(parts):
+            h = (h * 48271 + part * (69621 + 2 * k) + 12345) % prime
+            h = (h * h + 6789) % prime
+            h = (h * 39373 + 1) % prime
+            h = (h * h + 97) % prime
+        return h
+
+    return number_hash
+
+
+def shuffler(seed: int):
+    """A function (slots, size, draw) -> slots: the shuffle of 0 .. size - 1 that a draw stands for, by arithmetic alone.
+
+    Every round pairs x with (mirror - x) mod size and swaps the two or not by a coin tossed for the pair, which is a bijection for any
+    size; the coins of a round are pairwise independent.
+    """
+    number_hash, prime, rounds = _number_hash(), PRIME, ROUNDS
+
+    def shuffled(x, size, draw):
+        import numpy as np
+
+        for r in range(rounds):
+            mirror, a, b = number_hash(seed + 1, draw, r), number_hash(seed + 2, draw, r) % (prime - 1) + 1, number_hash(seed + 3, draw, r)
+            y = (mirror - x) % size
+            x = np.where((a * (np.maximum(x, y) % prime) + b) % prime * 2 < prime, y, x)
+        return x
+
+    return shuffled
+
+
 def shuffled_pairs(table: DataFrame, draws: int, seed: int, by=("symbol",)) -> DataFrame:
     """Truths of each draw shuffled inside the groups, next to the predictions in place.
 
-    table: symbol, pos, the group columns, y_true and y_pred.
+    table: symbol, pos, the group columns, y_true and y_pred. Rows get a slot in their group once; every draw computes where each
+    truth goes and looks the prediction there up. Drawn rows are neither sorted nor ranked.
     """
     by = list(by)
     sized = attach(table, table.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by)
-    slots = materialize(_ranked_by_hash(sized, by, draw_hash(seed, F.col("pos")), "_slot"))
-    drawn = sized.select(*by, "pos", "_m", "y_true").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    mixed = _ranked_by_hash(drawn, [*by, "draw"], draw_hash(seed + 1, F.col("draw"), F.col("pos")), "_slot")
-    return mixed.select(*by, "draw", "_slot", "y_true").join(slots.select(*by, "_slot", "y_pred"), by + ["_slot"])
+    slots = materialize(_ranked_by_hash(sized, by, draw_hash(seed, F.col("pos")), "_slot").withColumn("_slot", F.col("_slot").cast("long")))
+    shuffled, width = shuffler(seed), len(by)
+
+    def draw(batches):
+        """Every row once per draw, with the slot of the prediction that it meets."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            slot, size = (batch.column(width + k).to_numpy() for k in (0, 1))
+            for k in range(draws):
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:width], pa.array(np.full(batch.num_rows, k, np.int64)), pa.array(shuffled(slot, size, k)), batch.column(width + 2)], names=names)
+
+    few = dealt(slots.select(*by, "_slot", "_m", "y_true"))
+    schema = StructType([*few.schema.fields[:width], StructField("draw", LongType()), few.schema["_slot"], few.schema["y_true"]])
+    names = schema.names
+    return looked_up(few.mapInArrow(draw, schema), slots.select(*by, "_slot", "y_pred"), by + ["_slot"])
 
 
 def volatility_bins(table: DataFrame, bins: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Feature selection with grouped statistics and Spark ML.
+"""Feature selection with grouped statistics, sums of products and Spark ML.
 
 Scores are one row per feature; only those small score lists reach the driver.
 """
@@ -9,11 +9,13 @@ from functools import reduce
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..evaluate.significance import draw_hash
 from ..functions.aggregates import corr
+from ..operators.layout import attach_scalar
+from .gram import elimination_path, filled, fold_errors, fold_products, lasso_path, products
 from .splits import standard_folds
 
 # Words that put a feature name into a category, first match wins.
@@ -68,17 +70,32 @@ def forest_scores(df, features, target, trees: int = 100, depth: int = 10, seed:
 
 
 def lasso_scores(df, features, target, grid=(0.0001, 0.001, 0.01, 0.1), folds: int = 5, seed: int = 42) -> DataFrame:
-    """Absolute coefficients of the penalised fit with the best penalty."""
-    lasso = LinearRegression(labelCol=target, elasticNetParam=1.0, maxIter=50)
-    search = CrossValidator(
-        estimator=lasso, estimatorParamMaps=ParamGridBuilder().addGrid(lasso.regParam, list(grid)).build(),
-        evaluator=RegressionEvaluator(labelCol=target), numFolds=folds, seed=seed)
-    model = search.fit(prepared(df, features, target)).bestModel
-    return _scores(df, features, [abs(v) for v in model.coefficients.toArray()]).where(F.col("score") > 1e-6)
+    """Absolute coefficients of the penalised fit with the best penalty.
+
+    Folds are dealt by a hash of the row position. All folds and penalties come from one pass: see `gram.lasso_path`.
+    """
+    features = list(features)
+    cells = products(df.withColumn("fold", draw_hash(seed, F.col("pos")) % folds), filled(features, target), ["fold"])
+    inputs = list(range(1, len(features) + 1))
+    path = lasso_path(cells, inputs, len(features) + 1, grid)
+    best = path.agg(F.min_by("weights", F.struct("error", "penalty")).alias("w"))
+    named = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("w").alias("score"))
+    return best.select(F.inline(named)).select("feature", F.abs("score").alias("score")).where("score > 1e-6")
+
+
+def subset_errors(df: DataFrame, subsets: dict, target: str, folds: int = 5) -> DataFrame:
+    """(subset, error): mean squared error of the linear fit on each subset of features over the test parts of the time folds.
+
+    One pass over the rows for all subsets and folds.
+    """
+    features = list(dict.fromkeys(f for names in subsets.values() for f in names))
+    cells = fold_products(df, features, target, folds)
+    places = {name: [features.index(f) + 1 for f in names] for name, names in subsets.items()}
+    return fold_errors(cells, places, len(features) + 1).groupBy("subset").agg(F.avg("error").alias("error"))
 
 
 def fold_error(df: DataFrame, features, target: str, estimator, folds: int = 5) -> float:
-    """Mean squared error over the test parts of the time folds."""
+    """Mean squared error of any Spark ML estimator over the test parts of the time folds: one fit per fold."""
     split = standard_folds(df, folds).persist()
     errors = []
     for k in range(folds):
@@ -112,9 +129,25 @@ def elimination_scores(df, features, target, folds: int = 3, trees: int = 50, de
     return _scores(df, features, [gone[f] + (len(features) if f in kept else 0) for f in features])
 
 
+def linear_elimination(df, features, target, folds: int = 3) -> DataFrame:
+    """`elimination_scores` with linear fits: the weakest is the smallest weight in units of its deviation.
+
+    All fits of all rounds and folds are solved from one pass of sums.
+    """
+    features = list(features)
+    cells = fold_products(df, features, target, folds)
+    whole = products(df, filled(features, target))
+    path = elimination_path(cells, whole, list(range(1, len(features) + 1)), len(features) + 1)
+    best = path.agg(F.min_by("place", F.struct("error", "place")).alias("_best"))
+    kept = F.when(F.col("place") >= F.col("_best"), len(features)).otherwise(0)
+    names = F.array(*[F.lit(f) for f in features])
+    return attach_scalar(path, best).select(F.element_at(names, F.col("input")).alias("feature"), (F.col("place") + kept).cast("double").alias("score"))
+
+
 def single_scores(df, features, target, folds: int = 5, estimator=None) -> DataFrame:
-    """Negative fold error of each feature alone."""
-    estimator = estimator or LinearRegression(labelCol=target)
+    """Negative fold error of each feature alone; linear fits unless an estimator is given."""
+    if estimator is None:
+        return subset_errors(df, {f: [f] for f in features}, target, folds).select(F.col("subset").alias("feature"), (-F.col("error")).alias("score"))
     return _scores(df, features, [-fold_error(df, [c], target, estimator, folds) for c in features])
 
 
@@ -127,7 +160,7 @@ def vote(selections: dict[str, DataFrame], k: int) -> DataFrame:
         F.desc("score"), "feature").limit(k)
 
 
-METHODS = {"statistical": f_scores, "rf": forest_scores, "lasso": lasso_scores, "rfe": elimination_scores, "cv": single_scores}
+METHODS = {"statistical": f_scores, "rf": forest_scores, "lasso": lasso_scores, "rfe": elimination_scores, "rfe_linear": linear_elimination, "cv": single_scores}
 
 
 def select(df: DataFrame, features, target: str, k: int = 50, method: str = "ensemble", **options) -> DataFrame:
@@ -154,9 +187,13 @@ def importance_summary(scores: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def compare_methods(df: DataFrame, chosen: dict, target: str, estimator=None, folds: int = 5) -> DataFrame:
-    """Fold error of each method's features, best first (chosen: method -> feature names)."""
-    estimator = estimator or LinearRegression(labelCol=target)
-    rows = [(m, len(names), fold_error(df, names, target, estimator, folds)) for m, names in chosen.items()]
+    """Fold error of each method's features, best first (chosen: method -> feature names); linear fits unless an estimator is given."""
+    rows = [(m, len(names)) for m, names in chosen.items()]
+    if estimator is None:
+        sizes = F.create_map(*[F.lit(v) for row in rows for v in row])
+        errors = subset_errors(df, chosen, target, folds)
+        return errors.select(F.col("subset").alias("method"), sizes[F.col("subset")].alias("n_features"), "error").orderBy("error")
+    rows = [(m, n, fold_error(df, chosen[m], target, estimator, folds)) for m, n in rows]
     return df.sparkSession.createDataFrame(rows, "method string, n_features int, error double").orderBy("error")
 
 

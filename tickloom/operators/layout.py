@@ -76,6 +76,12 @@ def attach(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int =
     return df.join(small, on, how)
 
 
+def looked_up(df: DataFrame, table: DataFrame, on, bound: int = 64 << 20) -> DataFrame:
+    """Inner join with a stored table that has one row per key, without sorting the rows of df: broadcast under the bound,
+    else by hash partitions."""
+    return df.join(F.broadcast(table) if _bytes(table) <= bound else table.hint("shuffle_hash"), on)
+
+
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (a global aggregate) to every row."""
     key = F.lit(1).alias("_one")

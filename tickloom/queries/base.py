@@ -8,12 +8,13 @@ sides, with NaN as NULL.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalar import INF
+from ..session import checkpoint_dir
 
 
 # A little over one half: values that end exactly on a half round up on both sides,
@@ -87,3 +88,8 @@ def register(name: str, columns: str, covers: str, sql: str | None = None):
         return build
 
     return wrap
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"

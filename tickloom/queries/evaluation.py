@@ -12,7 +12,7 @@ from ..plans.pattern_features import GROUPS, pattern_features
 from ..plans.registry import Registry
 from ..signals.ensemble import signal_pairs
 from ..signals.strategies import RsiRules, run_strategies, run_strategy
-from . import sql as q
+from . import fit_sql as fs, sql as q
 from .base import register
 from .features import RET, hourly, weekly
 from .learning import P, fixed_steps, nine
@@ -166,10 +166,14 @@ register("metric_progression", "symbol metric trend | first_value last_value low
             "SELECT symbol, metric, arg_min(v, epoch) AS first_value, arg_max(v, epoch) AS last_value, min(v) AS lowest, max(v) AS highest FROM {prev} GROUP BY 1, 2",
             final="SELECT *, last_value - first_value AS improvement, CASE WHEN last_value > first_value THEN 'increasing' ELSE 'decreasing' END AS trend FROM {prev}"))(
     lambda s, d: me.metric_progression(me.correlation_history(epochs(s, d)), ["correlation", "prediction_variance"]))
-register("walk_forward_scores", f"fold:i | {PM_COLS}", "PERF22 SPL22", None)(
+WALK = ["daily_return", "momentum_2d", "momentum_5d"]
+register("walk_forward_scores", f"fold:i | {PM_COLS}", "PERF22 SPL22",
+         q.stages("weekly", {**RET, "momentum_2d": q.pct("close", 2), "momentum_5d": q.pct("close", 5)}, {"y_true": q.lead("daily_return")}, *fs.folds(5),
+                  "SELECT * FROM {prev} WHERE y_true IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in WALK), *fs.residuals(WALK, "y_true"),
+                  "SELECT *, y_true - y_true_r AS y_pred FROM {prev} WHERE part = 'test'", final=f"SELECT k AS fold, {PM} FROM {{prev}} GROUP BY k"))(
     lambda s, d: me.walk_forward_scores(
-        CORE.compute(weekly(s, d), ["daily_return", "momentum_2d", "momentum_5d"]).join(pred(s, d).select("symbol", "ts", "y_true"), ["symbol", "ts"]),
-        ["daily_return", "momentum_2d", "momentum_5d"], sp.standard_folds(weekly(s, d)).select("symbol", "ts", "fold", "part")))
+        CORE.compute(weekly(s, d), WALK).join(pred(s, d).select("symbol", "ts", "y_true"), ["symbol", "ts"]),
+        WALK, sp.standard_folds(weekly(s, d)).select("symbol", "ts", "fold", "part")))
 
 # -- resampling tests -------------------------------------------------------------------
 def h(seed, *parts):
@@ -215,25 +219,35 @@ BINS = ({f"e{i}": f"quantile_cont(abs(y_true), 0.{2 * i}) OVER (PARTITION BY sym
         {"bin": "len(list_filter(list_distinct([e1, e2, e3, e4]), lambda e: e < abs(y_true)))"})
 
 
-def perm(by, stat):
+PRIME, ROUNDS = 2147483647, 16
+
+
+def perm(by, stat, base):
+    """Steps of the permutation test; base: the number of steps before them."""
     b = "".join(f", {c}" for c in by)
+    keys = ", ".join(f"{h(43, 'draw', r)} AS k{r}, {h(44, 'draw', r)} % {PRIME - 1} + 1 AS a{r}, {h(45, 'draw', r)} AS b{r}" for r in range(ROUNDS))
+    rounds = []
+    for r in range(ROUNDS):
+        rounds.append({"y": f"(((k{r} - x) % m) + m) % m"})
+        rounds.append(f"SELECT * EXCLUDE (y, k{r}, a{r}, b{r}) REPLACE (CASE WHEN (a{r} * (greatest(x, y) % {PRIME}) + b{r}) % {PRIME} * 2 < {PRIME} THEN y ELSE x END AS x) FROM {{prev}}")
     return (
-        f"SELECT symbol, i, y_true, y_pred{b}, row_number() OVER (PARTITION BY symbol{b} ORDER BY {h(42, 'i')}, i) AS slot FROM {{prev}}",
-        f"SELECT r.symbol, r.draw, r.y_true, t.y_pred FROM (SELECT symbol{b}, i, draw, y_true, row_number() OVER (PARTITION BY symbol{b}, draw ORDER BY {h(43, 'draw', 'i')}, i) AS slot "
-        f"FROM {{prev}}, range({DRAWS}) g(draw)) r JOIN {{prev}} t ON t.symbol = r.symbol AND t.slot = r.slot" + "".join(f" AND t.{c} = r.{c}" for c in by),
+        f"SELECT symbol, i, y_true, y_pred{b}, row_number() OVER (PARTITION BY symbol{b} ORDER BY {h(42, 'i')}, i) - 1 AS slot, count(*) OVER (PARTITION BY symbol{b}) AS m FROM {{prev}}",
+        f"SELECT s.symbol{b}, s.y_true, s.m, s.slot AS x, d.* FROM {{prev}} s, (SELECT draw, {keys} FROM range({DRAWS}) g(draw)) d", *rounds,
+        f"SELECT r.symbol, r.draw, r.y_true, t.y_pred FROM {{prev}} r JOIN s{base} t ON t.symbol = r.symbol AND t.slot = r.x" + "".join(f" AND t.{c} = r.{c}" for c in by),
         f"SELECT symbol, draw, {stat} AS v FROM {{prev}} GROUP BY 1, 2")
 
 
+BINNED = len(PRED) + len(BINS)
 register("permutation_conditional", NULL_COLS.replace("draws:i", "draws:i bins_used:i"), "ST2",
-         q.stages("hourly", *PRED, *BINS, *perm(["bin"], "avg((sign(y_true) = sign(y_pred))::INT)"),
+         q.stages("hourly", *PRED, *BINS, *perm(["bin"], "avg((sign(y_true) = sign(y_pred))::INT)", BINNED),
                   final="SELECT z.*, (SELECT count(DISTINCT bin) FROM s5 WHERE s5.symbol = z.symbol) AS bins_used FROM (" + null_sql("avg(hit)") + ") z"))(
     lambda s, d: sg.conditional_permutation(pred(s, d, hourly), DRAWS))
 register("permutation_correlation", NULL_COLS, "ST6",
-         q.stages("hourly", *PRED, *perm([], f"abs({PC})"), final=null_sql(f"abs({PC})")))(lambda s, d: sg.correlation_permutation(pred(s, d, hourly), DRAWS))
+         q.stages("hourly", *PRED, *perm([], f"abs({PC})", len(PRED)), final=null_sql(f"abs({PC})")))(lambda s, d: sg.correlation_permutation(pred(s, d, hourly), DRAWS))
 register("significance_combined", "symbol recommendation | bootstrap_p permutation_p", "ST3 ST17",
          "SELECT a.symbol, a.p_value AS bootstrap_p, b.p_value AS permutation_p, CASE WHEN a.p_value < 0.05 AND b.p_value < 0.05 THEN 'PASS' ELSE 'FAIL' END AS recommendation FROM ("
          + q.stages("hourly", *PRED, *boot("avg(m)"), final=null_sql("avg(hit)")) + ") a JOIN (" +
-         q.stages("hourly", *PRED, *BINS, *perm(["bin"], "avg((sign(y_true) = sign(y_pred))::INT)"), final=null_sql("avg(hit)")) + ") b USING (symbol)")(
+         q.stages("hourly", *PRED, *BINS, *perm(["bin"], "avg((sign(y_true) = sign(y_pred))::INT)", BINNED), final=null_sql("avg(hit)")) + ") b USING (symbol)")(
     lambda s, d: sg.significance(pred(s, d, hourly), DRAWS))
 RANK = {"rt": "rank() OVER (PARTITION BY symbol ORDER BY y_true) + (count(*) OVER (PARTITION BY symbol, y_true) - 1) / 2.0",
         "rp": "rank() OVER (PARTITION BY symbol ORDER BY y_pred) + (count(*) OVER (PARTITION BY symbol, y_pred) - 1) / 2.0"}
@@ -243,7 +257,7 @@ register("rank_correlation", "symbol n_samples:i | pearson spearman", "ST5",
 register("correlation_significance", "symbol n_samples:i | pearson spearman p_value", "ST5",
          "SELECT a.symbol, a.n_samples, a.pearson, a.spearman, b.p_value FROM ("
          + q.stages("hourly", *PRED, RANK, final=f"SELECT symbol, count(*) AS n_samples, {PC} AS pearson, corr(rt, rp) AS spearman FROM {{prev}} GROUP BY symbol") + ") a JOIN ("
-         + q.stages("hourly", *PRED, *perm([], f"abs({PC})"), final=null_sql(f"abs({PC})")) + ") b USING (symbol)")(
+         + q.stages("hourly", *PRED, *perm([], f"abs({PC})", len(PRED)), final=null_sql(f"abs({PC})")) + ") b USING (symbol)")(
     lambda s, d: sg.correlation_tests(pred(s, d, hourly), DRAWS))
 
 # -- series statistics ---------------------------------------------------------------------

@@ -14,11 +14,10 @@ from ..plans.registry import Registry
 from ..signals import risk as rk
 from ..sources.bars import hourly_ticks
 from ..streaming.bars import append_bars, completed_bars, stream_bars
-from . import sql as q
-from .base import register
-from .evaluation import FX, FXS, feats
+from . import fit_sql as fs, sql as q
+from .base import register, scratch
+from .evaluation import FX, FXS, feats, h
 from .features import RET, hourly, weekly
-from .preparation import scratch
 
 EQUITY = 1_000_000.0
 OUT = {"p_act": "least(greatest(0.5 + m5, 0), 1)", "z_h": "daily_return / s20", "p_tail": "least(abs(daily_return), 1)", "sigma": "s20", "price": "close"}
@@ -151,12 +150,56 @@ def table(s, d):
 register("selection_f_test", "feature | score:4", "SPL18 SPL26", q.stages("weekly", SELB, *FSQL, final="SELECT * FROM {prev} ORDER BY score DESC LIMIT 3"))(
     lambda s, d: sel.select(table(s, d), COLS, "daily_return", 3, "statistical"))
 register("selection_forest", "feature | score", "SPL19 SPL26", None)(lambda s, d: sel.top(sel.forest_scores(table(s, d), COLS, "daily_return"), 3))
-register("selection_lasso", "feature | score", "SPL20 SPL26", None)(lambda s, d: sel.top(sel.lasso_scores(table(s, d), COLS, "daily_return"), 3))
+INPUTS = [f"c{i}" for i in range(5)]
+FILLED = {"y": "coalesce(daily_return, 0)", **{f"c{i}": f"coalesce({c}, 0)" for i, c in enumerate(COLS)}}
+PENALTIES = (0.0001, 0.001, 0.01, 0.1)
+NAMED = "[" + ", ".join(f"{{{{'feature': '{c}', 'score': w{i}}}}}" for i, c in enumerate(COLS)) + "]"
+WEIGHTS = {f"w{i}": f"b{i} / d{i}" for i in range(5)}
+MISS = "y - my - " + " - ".join(f"w{i} * (c{i} - m{i})" for i in range(5))
+LASSO = q.stages(
+    "weekly", SELB, {**FILLED, "fold": f"{h(42, 'pos')} % 5"},
+    # set f: all rows but those of fold f; set 5: all rows
+    f"SELECT f, {fs.sums(5)} FROM {{prev}}, range(6) g(f) WHERE fold <> f GROUP BY f",
+    fs.standard(5), f"SELECT *, 31 AS mask, unnest({list(PENALTIES)}::DOUBLE[]) AS lam FROM {{prev}}",
+    "SELECT * FROM (" + fs.descent("{prev}", 5, 300) + ")", WEIGHTS,
+    f"SELECT a.f, a.lam, sqrt(avg(({MISS}) ** 2)) AS e FROM (SELECT *, sy / m AS my, " + ", ".join(f"s{i} / m AS m{i}" for i in range(5))
+    + " FROM {prev} WHERE f < 5) a JOIN s1 ON s1.fold = a.f GROUP BY 1, 2",
+    "SELECT lam, avg(e) AS e FROM {prev} GROUP BY lam",
+    final=f"SELECT feature, abs(score) AS score FROM (SELECT unnest({NAMED}, recursive := true) FROM s6 WHERE f = 5 AND lam = (SELECT arg_min(lam, (e, lam)) FROM {{prev}})) "
+          "WHERE abs(score) > 1e-6 ORDER BY abs(score) DESC, feature LIMIT 3")
+register("selection_lasso", "feature | score", "SPL20 SPL26", LASSO)(lambda s, d: sel.top(sel.lasso_scores(table(s, d), COLS, "daily_return"), 3))
 register("selection_elimination", "feature | score", "SPL21", None)(lambda s, d: sel.elimination_scores(table(s, d), COLS, "daily_return"))
-register("selection_single_feature", "feature | score", "SPL22", None)(lambda s, d: sel.top(sel.single_scores(table(s, d), COLS, "daily_return"), 3))
+ELIMINATION = q.stages(
+    "weekly", SELB, FILLED, *fs.folds(3),
+    # set k < 3: train part of fold k; set 3: all rows
+    f"SELECT k, {fs.sums(5)} FROM (SELECT k, y, {', '.join(INPUTS)} FROM {{prev}} WHERE part = 'train' UNION ALL SELECT 3, y, {', '.join(INPUTS)} FROM s1) GROUP BY k",
+    fs.standard(5), "SELECT *, unnest(range(1, 32)) AS mask, 0.0::DOUBLE AS lam FROM {prev}",
+    "SELECT * FROM (" + fs.descent("{prev}", 5, 500) + ")", WEIGHTS,
+    f"SELECT mask, avg(e) AS e FROM (SELECT a.k, a.mask, avg(({MISS}) ** 2) AS e FROM (SELECT *, sy / m AS my, " + ", ".join(f"s{i} / m AS m{i}" for i in range(5))
+    + " FROM {prev} WHERE k < 3) a JOIN (SELECT * FROM s5 WHERE part = 'test') t ON t.k = a.k GROUP BY 1, 2) GROUP BY mask",
+    "SELECT a.mask, a.e, b.weak FROM {prev} a JOIN (SELECT mask, arg_min(i, v) AS weak FROM (SELECT mask, unnest([" + ", ".join(f"{{{{'i': {i}, 'v': abs(b{i})}}}}" for i in range(5))
+    + "], recursive := true) FROM s10 WHERE k = 3) WHERE (mask >> i) & 1 = 1 GROUP BY mask) b USING (mask)",
+    "SELECT * FROM (WITH RECURSIVE w AS (SELECT 31 AS mask, 1 AS place UNION ALL SELECT (w.mask - (1 << c.weak))::INT, place + 1 FROM w JOIN {prev} c ON c.mask = w.mask WHERE place < 5) "
+    "SELECT c.*, place FROM w JOIN {prev} c ON c.mask = w.mask)",
+    final="SELECT " + str(COLS) + "[weak + 1] AS feature, place + CASE WHEN place >= (SELECT arg_min(place, (e, place)) FROM {prev}) THEN 5 ELSE 0 END AS score FROM {prev}")
+register("selection_elimination_linear", "feature | score", "SPL21", ELIMINATION)(lambda s, d: sel.linear_elimination(table(s, d), COLS, "daily_return"))
+register("selection_single_feature", "feature | score:10", "SPL22",
+         q.stages("weekly", SELB, FILLED, *fs.folds(5), "SELECT k, part, y, unnest([" + ", ".join(f"{{{{'feature': '{c}', 'x': c{i}}}}}" for i, c in enumerate(COLS)) + "], recursive := true) FROM {prev}",
+                  {"b": "regr_slope(y, x) FILTER (WHERE part = 'train') OVER (PARTITION BY feature, k)", "a": "regr_intercept(y, x) FILTER (WHERE part = 'train') OVER (PARTITION BY feature, k)"},
+                  "SELECT feature, k, avg((y - a - b * x) ** 2) AS e FROM {prev} WHERE part = 'test' GROUP BY 1, 2",
+                  final="SELECT feature, -avg(e) AS score FROM {prev} GROUP BY feature ORDER BY score DESC, feature LIMIT 3"))(
+    lambda s, d: sel.top(sel.single_scores(table(s, d), COLS, "daily_return"), 3))
 register("selection_vote", "feature votes:i", "SPL23", None)(
     lambda s, d: sel.select(table(s, d), COLS, "daily_return", 2))
-register("selection_method_comparison", "method n_features:i | error", "SPL24", None)(
+
+
+def compared(name, n):
+    """Mean test error of a least-squares fit on the first n inputs."""
+    return ("SELECT '" + name + f"' AS method, {n} AS n_features, avg(e) AS error FROM (" + q.stages(
+        "weekly", SELB, FILLED, *fs.folds(5), *fs.residuals(INPUTS[:n], "y"), final="SELECT k, avg(y_r ** 2) AS e FROM {prev} WHERE part = 'test' GROUP BY k") + ")")
+
+
+register("selection_method_comparison", "method n_features:i | error:10", "SPL24", f"{compared('first', 2)} UNION ALL {compared('all', 5)}")(
     lambda s, d: sel.compare_methods(table(s, d), {"first": COLS[:2], "all": COLS}, "daily_return"))
 CAT = "CASE feature WHEN 'high_low_pct' THEN 'price' WHEN 'volume_ratio' THEN 'volume' ELSE 'momentum' END"
 register("selection_by_category", "feature category rank:i | score:4", "SPL25 FN13",

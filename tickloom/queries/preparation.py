@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators.layout import attach_scalar
-
 from ..evaluate.strategy import strategy_performance
 from ..evaluate.validate import raw_checks
 from ..functions.scalar import ratio_or
 from ..operators import align as al, clean as cl
 from ..operators.fill import backward_fill, fill_both, forward_fill, interpolate
+from ..operators.layout import attach_scalar
 from ..plans.core_features import CORE
 from ..plans.cross_section import (
     ALL_FEATURES, cross_sectional, market_aggregates, neutral_features, sector_aggregates, with_returns,
 )
-from ..session import checkpoint_dir
 from ..signals.strategies import run_strategy, strategy_returns
 from ..sources import store as st
 from . import sql as q
-from .base import register
+from .base import register, scratch
 from .features import RET, hourly, weekly
 from .signals import RET_STEPS
 
 
-def scratch(s) -> str:
-    return f"{checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
-
-
 # -- sources and sinks ---------------------------------------------------------------
 HALF = "TIMESTAMP '2024-01-16'"
 

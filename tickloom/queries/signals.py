@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..evaluate.strategy import strategy_performance
+from ..learn.splits import sized
+from ..learn.window_models import fit_window_model, landing_windows, load_model, model_scores, save_model
 from ..plans.core_features import CORE
+from ..plans.registry import Registry
 from ..signals.ensemble import (
     EnsembleRules, align_signals, attribution, batch_flow, combine_long, compatibility,
     coordinate, correlated_pairs, default_weights, ensemble_signals, flow_metrics, rebalanced_weights, signal_flow,
@@ -16,8 +19,9 @@ from ..signals.strategies import (
 )
 from ..signals.verification import PatternRules, score_signals, verification_stats, verify_signals, window_scores
 from . import sql as q
-from .base import register
+from .base import register, scratch
 from .features import ATR_STEPS, MACD_STEPS, RET, RSI_STEPS, hourly, weekly
+from .fit_sql import residuals
 
 NAMES = ["rsi_mean_reversion", "macd_momentum"]
 DAMP = "CASE WHEN an / nullif(am, 0) IS NOT NULL THEN 1 - least(greatest(least(greatest(an / nullif(am, 0), 0), 2) - 1, 0), 1) END"
@@ -204,7 +208,6 @@ SCORE_STEPS = (
 
 def _scores(s, d, keep=("close",)):
     reg_cols = ["daily_return", "trend_strength_5d"]
-    from ..plans.registry import Registry
     reg = Registry(parent=CORE)
     reg.add("score", returns_1d=lambda f: f["daily_return"], returns_3d=lambda f: f.pct("close", 3))
     feats = reg.compute(hourly(s, d), ["returns_1d", "returns_3d", *reg_cols], keep=["close"])
@@ -213,6 +216,32 @@ def _scores(s, d, keep=("close",)):
 
 register("pattern_scores", "symbol ts:t | confidence", "SIG22 SEQ15 JN13 PRJ13",
          q.stages("hourly", *SCORE_STEPS, final="SELECT symbol, ts, conf AS confidence FROM {prev}"))(_scores)
+MODEL_COLUMNS, MODEL_ROWS = ["returns_1d", "returns_3d"], 5
+MODEL_INPUTS = [f"w{c}_{k}" for k in range(MODEL_ROWS) for c in ("f1", "f3")]
+# Each row scores once (y 0: what a fit leaves there is minus its prediction) and, in the first 70% of its series, trains once.
+MODEL_STEPS = (
+    {**FEATS, "n": "count(*) OVER (PARTITION BY symbol)"}, {"f1": _b("daily_return"), "f3": _b("returns_3d")},
+    {f"w{c}_{k}": q.lag(c, MODEL_ROWS - k) for k in range(MODEL_ROWS) for c in ("f1", "f3")},
+    "SELECT *, 'train' AS part, daily_return AS y, 1 AS one FROM {prev} WHERE pos >= 5 AND pos < floor(n * 0.7::DOUBLE) AND daily_return IS NOT NULL "
+    "UNION ALL SELECT *, 'test', 0, 1 FROM {prev} WHERE pos >= 5 UNION ALL SELECT *, 'none', NULL, 1 FROM {prev} WHERE pos < 5",
+    *residuals(MODEL_INPUTS, "y", "one"),
+)
+
+
+def _model_scores(s, d):
+    """Fit on the first 70% of every series, store the weights, load the newest version and score all windows."""
+    reg = Registry(parent=CORE)
+    reg.add("score", returns_1d=lambda f: f["daily_return"], returns_3d=lambda f: f.pct("close", 3), target=lambda f: f["daily_return"])
+    feats = reg.compute(hourly(s, d), [*MODEL_COLUMNS, "target"])
+    windows = landing_windows(feats, MODEL_COLUMNS, MODEL_ROWS, keep=["target"])
+    train = sized(windows).where(F.col("pos") < F.floor(F.col("n_rows") * F.lit(0.7)))
+    path = scratch(s)
+    save_model(s, fit_window_model(train, MODEL_COLUMNS, MODEL_ROWS, "target", "next_return"), path, "1")
+    return model_scores(feats, load_model(s, path, "next_return"))
+
+
+register("window_model_scores", "symbol ts:t | confidence:9", "SIG22",
+         q.stages("hourly", *MODEL_STEPS, final="SELECT symbol, ts, CASE WHEN part = 'none' THEN 0 ELSE -y_r END AS confidence FROM {prev} WHERE part <> 'train'"))(_model_scores)
 for _mode, _ids, _pos in (
     ("standalone", "SIG15 SIG18 SIG23", "CASE WHEN conf > 0.6 THEN least((conf - 0.6) / 0.4, 1) WHEN conf < 0.4 THEN -least((0.4 - conf) / 0.4, 1) ELSE 0 END"),
     ("verification", "SIG16 SIG18 SIG23", "CASE WHEN conf < 0.5 THEN 0 ELSE conf END"),
