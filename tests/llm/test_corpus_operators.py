@@ -113,7 +113,36 @@ def test_one_of_each_group_stays(docs):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     want = shingle_components([(i, t) for i, t in rows() if i not in (None, 175)], 5, 80)
     assert sorted(i for i in ids if i not in (None, 175)) == sorted({c for _, c in want.values()})
-    assert ids.count(175) == 1 and ids.count(None) == 1
+    assert ids.count(175) == 2 and ids.count(None) == 1  # two texts under one id are not copies of each other
+
+
+def test_ids_with_several_texts_link_by_text(spark):
+    """Links join texts, not ids: neither groups nor kept rows may mix two texts of one id."""
+    a, b = prose(1, 100).split(" "), prose(2, 100).split(" ")
+    near = lambda w, k: " ".join(w[:k] + ["other"] + w[k + 1:])
+    texts = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a, 0)), (3, near(b, 99)), (9, near(b, 0)), (7, prose(3, 50)), (7, prose(3, 50)), (8, prose(4, 50)), (8, near(prose(4, 50).split(" "), 0))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_copies(df, 5, 80).collect())
+    assert got == [(2, 2), (3, 3), (5, 2), (5, 3), (7, 7), (7, 7), (8, 8), (8, 8), (9, 3)]
+    kept = sorted((r.doc_id, r.text) for r in without_near_copies(df, 5, 80).collect())
+    eights = {t for i, t in texts if i == 8}
+    assert [i for i, _ in kept] == [2, 3, 7, 8] and kept[3][1] in eights
+    # text b has no other near copy than those of id 5 here: it stays
+    few = spark.createDataFrame(texts[:3], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in without_near_copies(few, 5, 80).collect()) == sorted([texts[2], texts[1]])
+
+
+def test_near_copies_of_tables_with_any_columns(spark):
+    """Names of helper columns, in any case, and types that can't be compared."""
+    texts = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z"), (None, "x y z"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    names = ["rows", "row", "component", "SLOT", "__slot", "n", "sig1", "sig2", "id", "kept", "best", "copies", "node", "label", "spans", "__spans", "shingles"]
+    df = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)], F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    kept = without_near_copies(df, 5, 80)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "x y z"), (1, "a b c d e f g"), (3, "x y z"), (4, ""), (4, ""), (5, "")]
+    assert all([r[c] for c in names] == list(range(len(names))) for r in kept.collect())
+    assert redacted(df).columns == df.columns and all([r[c] for c in names] == list(range(len(names))) for r in redacted(df).collect())
 
 
 def test_quality_rules_equal_brute_force(docs):

@@ -186,6 +186,16 @@ def pass_batches(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of the table has them (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 _shipped: set[str] = set()
 
 

@@ -24,9 +24,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, window_hashes, words_of
+from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, unused, window_hashes, words_of
 from .components import components
 
 COUNTER_BITS, BLOCK_BITS, MAP_BITS, RANGES = 20, 10, 26, 16
@@ -100,12 +100,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int, id_c
                 rare = [np.sort(tokens[first[t] : first[t + 1]])[: _prefix(int(sizes[t]), percent)] for t in range(len(sets))]
                 text = np.repeat(np.arange(len(sets)), sizes)
                 ranges = np.bincount(text * RANGES + (all_ >> np.uint64(60)).astype(np.int64), minlength=RANGES * len(sets))
-                marks = []
-                for seed in (1, 2):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(all_ + seeded(seed)))])
-                    marks.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), *marks, _lists([np.asarray(r) for r in ranges.reshape(-1, RANGES)], pa.int32()),
+                    [batch.column(0).slice(a, b - a), *signatures(sets), _lists([np.asarray(r) for r in ranges.reshape(-1, RANGES)], pa.int32()),
                      _lists([r.view(np.int64) for r in rare], pa.int64())],
                     ["id", "n", "sig1", "sig2", "ranges", "tokens"],
                 )
@@ -145,9 +141,27 @@ def _slot(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(1 << MAP_BITS))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """The whole sets of the documents named in ids (and of few others): texts are not shuffled, a bitmap of fixed size picks them."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
+def signatures(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two sums of mixed hashes of each set: equal sets and no others have all three."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    marks = [pa.array(sizes)]
+    for seed in (1, 2):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(all_ + seeded(seed)))])
+        marks.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
+    return marks
+
+
+KEY = ["n", "sig1", "sig2"]
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes (node, id, n, sig1, sig2): texts are not shuffled, a bitmap of fixed size picks the rows of their ids.
+
+    A row counts by its own text's signature, so an id with several texts gives each node its own set.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
 
     def run(batches):
         for batch in batches:
@@ -156,10 +170,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col:
             batch = batch.filter(pa.array(in_bitmap(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for a, b, part in slices(texts_of(batch.column(1))):
                 sets = shingle_sets(part, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *signatures(sets), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", *KEY, "shingles"])
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col], _slot(docs[id_col]).alias("slot")).where("id IS NOT NULL")
-    return in_arrow(narrow, run, StructType(narrow.schema.fields[:1] + StructType.fromDDL("shingles array<long>").fields))
+    found = in_arrow(narrow, run, StructType(narrow.schema.fields[:1] + StructType.fromDDL("n long, sig1 long, sig2 long, shingles array<long>").fields))
+    return found.join(wanted, ["id", *KEY]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _needed(n1: str, n2: str, percent: int) -> str:
@@ -177,90 +193,114 @@ def _positional(percent: int, x: str, y: str) -> str:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that link: suffix filter on the counts in hash ranges, then the overlap of the whole sets."""
-    sides = [nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("ranges").alias(f"r{k}")) for k in "ab"]
+    sides = [nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("ranges").alias(f"r{k}")) for k in "ab"]
     apart = "aggregate(zip_with(ra, rb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
     close = pairs.join(sides[0], "a").join(sides[1], "b").where(f"(na + nb - {apart}) div 2 >= {_needed('na', 'nb', percent)}")
     close = stored(close.select("a", "b").distinct(), "pairs")
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    sets = stored(sets_of(docs, ids, words, id_col, text_col), "sets")
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "id", *KEY), "node")
+    sets = stored(sets_of(docs, wanted, words, id_col, text_col), "sets")
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     met = close.join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
     return met.where((100 + percent) * overlap >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles and component_id, the smallest id that links reach."""
+def placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, n, sig1, sig2 of its set, component, the smallest id that links reach, and label, the number of the component.
+
+    Nodes are different sets, whatever ids their texts have; links and components are of nodes. Two components can have one smallest
+    id, with another text each. Rows without an id or without words have no label.
+    """
     counts = shingle_counts(docs, words, text_col)
     texts = stored(prefixes(docs, counts, words, percent, id_col, text_col), "prefixes")
-    key = ["n", "sig1", "sig2"]
     nodes = stored(
-        texts.where("n > 0 AND id IS NOT NULL").groupBy(*key)
-        .agg(F.min("id").alias("id"), F.first("ranges").alias("ranges"), F.first("tokens").alias("tokens")), "nodes")
-    postings = nodes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+        texts.where("n > 0 AND id IS NOT NULL").groupBy(*KEY)
+        .agg(F.min("id").alias("id"), F.first("ranges").alias("ranges"), F.first("tokens").alias("tokens"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by the file they are written to
+    postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     # the hub of a list stands in the index prefix of its own size: only there a pair can first meet
     hub = f"pos <= n - {_needed('n', 'n', percent)}"
-    place = F.when(F.expr(hub), F.shiftleft(F.col("pos").cast("long"), 44) + F.pmod(F.xxhash64("id"), F.lit(1 << 44)))
+    place = F.when(F.expr(hub), F.shiftleft(F.col("pos").cast("long"), 44) + F.pmod(F.xxhash64("node"), F.lit(1 << 44)))
     lists = postings.groupBy("token").agg(F.count("*").alias("rows"), F.min(place).alias("place")).where("rows > 1 AND place IS NOT NULL")
     shared = stored(postings.join(lists.select("token", "place"), "token"), "lists")
-    hubs = shared.where(place == F.col("place")).select("token", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos")])
-    shared = shared.select("token", "id", "n", "pos").join(hubs, "token")
-    first = shared.where("id <> hub_id").where(_positional(percent, "", "hub_")).select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct()
-    same = nodes.select("id", "n", "ranges")
+    hubs = shared.where(place == F.col("place")).select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos")])
+    shared = shared.select("token", "node", "n", "pos").join(hubs, "token")
+    first = shared.where("node <> hub_node").where(_positional(percent, "", "hub_")).select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct()
+    same = nodes.select("node", "id", *KEY, "ranges")
     label = components(verified(first, same, docs, words, percent, id_col, text_col))
 
     # lists whose texts are still apart: pairs across components only, the rows outside the hub's component on one side
-    placed = shared.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    placed = placed.select("token", "id", "n", "pos", "label", "hub_id")
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                        F.max(F.when(F.expr("id = hub_id"), F.col("label"))).alias("home")).where("low <> high")
-    apart = stored(placed.join(mixed.select("token", "home"), "token"), "apart")
-    x = apart.where("label <> home OR home IS NULL").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "label")])
-    y = apart.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "label", "home")])
+    named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.select("token", "node", "n", "pos", "label", "hub_node")
+    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                       F.max(F.when(F.expr("node = hub_node"), F.col("label"))).alias("home")).where("low <> high")
+    apart = stored(named.join(mixed.select("token", "home"), "token"), "apart")
+    x = apart.where("label <> home OR home IS NULL").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")])
+    y = apart.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "label", "home")])
     second = (
-        x.join(y, "token").where("x_label <> y_label AND (y_label = y_home OR x_id < y_id)").where(_positional(percent, "x_", "y_"))
-        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        x.join(y, "token").where("x_label <> y_label AND (y_label = y_home OR x_node < y_node)").where(_positional(percent, "x_", "y_"))
+        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
     second = stored(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = verified(second, same, docs, words, percent, id_col, text_col)
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
-    whole = nodes.select(*key, F.col("id").alias("node")).join(label, "node", "left").select(*key, F.coalesce("label", "node").alias("component"))
-    rows = texts.select("id", *key).join(whole, key, "left")
-    return rows.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-    )
+    whole = nodes.select("node", "id", *KEY).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = whole.groupBy("label").agg(F.min("id").alias("component"))
+    whole = whole.join(least, "label").select(*KEY, "label", "component")
+    rows = texts.select("id", *KEY).join(whole, KEY, "left")
+    return rows.select("id", *KEY, "label", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles and component_id, the smallest id that links reach."""
+    found = placed(docs, words, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id, with all its columns; rows without id stay.
+    """One document of each group of near copies, the one of the smallest id, with all its columns.
 
-    Rows that repeat the kept id are reduced to one. A bitmap of the dropped ids lets most texts pass without a shuffle;
-    only rows whose bit is set are joined.
+    A row counts by its id and its own text: rows of other texts under a kept or dropped id are judged for themselves, rows of the same
+    set under the kept id are reduced to one (if they differ in other columns, by a hash of those that can be hashed). Rows without
+    id or without words stay. A bitmap of the ids concerned lets most texts pass without a shuffle; only rows whose bit is set are
+    joined. Columns can have any name and type.
     """
-    found = near_copies(docs, words, percent, id_col, text_col).where(F.col(id_col).isNotNull())
-    groups = stored(found.groupBy(F.col(id_col).alias("id")).agg(F.min("component_id").alias("component"), F.count("*").alias("rows")), "groups")
-    touched = groups.where("component <> id OR rows > 1")
+    found = placed(docs, words, percent, id_col, text_col).where("id IS NOT NULL AND n > 0")
+    groups = stored(found.groupBy("id", *KEY).agg(F.min("label").alias("label"), F.count("*").alias("copies")), "groups")
+    best = groups.groupBy("label").agg(F.min(F.struct("id", *KEY)).alias("best"), F.count("*").alias("members"), F.max("copies").alias("copies"))
+    touched = best.where("members > 1 OR copies > 1").select("label", "best")
+    touched = stored(groups.join(touched, "label").select("id", *KEY, (F.struct("id", *KEY) == F.col("best")).alias("kept")), "touched")
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(touched))
-    at = len(docs.columns)
-    marked = docs.select("*", F.coalesce(_slot(docs[id_col]), F.lit(-1)).alias("__slot"))
-
-    def only(wanted: bool):
-        def run(batches):
-            for batch in batches:
-                slots = batch.column(at).to_numpy(zero_copy_only=False)
-                hit = (slots >= 0) & in_bitmap(bits.value, np.maximum(slots, 0))
-                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at]).filter(pa.array(hit == wanted))
-
-        return in_arrow(marked, run, docs.schema)
-
-    keep = groups.where("component = id").select("id", "rows")
-    checked = only(True).join(keep.withColumnRenamed("id", id_col), id_col)
-    single = checked.where("rows = 1").select(*docs.columns)
-    repeated = checked.where("rows > 1").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return only(False).select(*docs.columns).union(single).union(repeated)
+    at, text_at = len(docs.columns), docs.columns.index(text_col)
+    slot, *marks = unused(docs, "slot", *KEY)
+    marked = docs.select("*", F.coalesce(_slot(docs[id_col]), F.lit(-1)).alias(slot))
+
+    def hit(batch):
+        slots = batch.column(at).to_numpy(zero_copy_only=False)
+        return (slots >= 0) & in_bitmap(bits.value, np.maximum(slots, 0))
+
+    def others(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at]).filter(pa.array(~hit(batch)))
+
+    def signed(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(hit(batch)))
+            for a, b, part in slices(texts_of(batch.column(text_at))):
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(a, b - a) for c in batch.columns[:at]], *signatures(shingle_sets(part, words))], names=[*batch.schema.names[:at], *marks])
+
+    longs = StructType.fromDDL("a long, b long, c long").fields
+    checked = in_arrow(marked, signed, StructType([*docs.schema.fields, *[StructField(m, f.dataType) for m, f in zip(marks, longs)]]))
+    # one struct per row, so that no name of the table meets one of the join
+    whole = checked.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), *[F.col(m).alias(k) for m, k in zip(marks, KEY)])
+    judged = whole.join(touched, ["id", *KEY], "left")
+    free = judged.where("kept IS NULL").select("row.*")
+    hashed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    single = judged.where("kept").groupBy("id", *KEY).agg(F.min_by("row", hashed).alias("row")).select("row.*")
+    return in_arrow(marked, others, docs.schema).union(free).union(single)
 
 
 def oracle(words: int, percent: int) -> str:

@@ -19,6 +19,8 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
+
 LOCAL = "A-Za-z0-9._%+-"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 # Countries by the length of their IBAN.
@@ -165,6 +167,7 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
     """The documents with every span replaced by its kind in brackets (overlapping spans by the first kind), and the
     number of characters brought up to date where the table has it."""
     text = docs[text_col]
+    (found,) = unused(docs, "spans")
 
     def step(state: Column, span: Column) -> Column:
         before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
@@ -175,12 +178,12 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
         )
 
     walked = F.aggregate(
-        F.col("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+        F.col(found), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2147483647)),
     )
-    clean = F.when(F.size("__spans") > 0, walked).otherwise(text)
-    out = docs.withColumn("__spans", spans_of(F.coalesce(text, F.lit("")), threshold)).withColumn(text_col, clean)
+    clean = F.when(F.size(found) > 0, walked).otherwise(text)
+    out = docs.withColumn(found, spans_of(F.coalesce(text, F.lit("")), threshold)).withColumn(text_col, clean)
     if size_col in docs.columns:
-        size = F.when(F.size("__spans") > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
+        size = F.when(F.size(found) > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
         out = out.withColumn(size_col, size)
     return out.select(*docs.columns)
