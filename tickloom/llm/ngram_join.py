@@ -156,12 +156,13 @@ def signatures(sets: list[np.ndarray]) -> list[pa.Array]:
 KEY = ["n", "sig1", "sig2"]
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, id, n, sig1, sig2): texts are not shuffled, a bitmap of fixed size picks the rows of their ids.
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, sig1, sig2, shingles) of the rows of the ids (and of few others), repeated rows once; a bitmap of fixed size picks them.
 
-    A row counts by its own text's signature, so an id with several texts gives each node its own set.
+    The signature is of the row's own text, so an id with several texts has a row for each. Sets are dealt by id and signature, and
+    the joins that follow use that partitioning.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
 
     def run(batches):
         for batch in batches:
@@ -175,7 +176,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_co
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col], _slot(docs[id_col]).alias("slot")).where("id IS NOT NULL")
     found = in_arrow(narrow, run, StructType(narrow.schema.fields[:1] + StructType.fromDDL("n long, sig1 long, sig2 long, shingles array<long>").fields))
-    return found.join(wanted, ["id", *KEY]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.groupBy("id", *KEY).agg(F.first("shingles").alias("shingles"))
 
 
 def _needed(n1: str, n2: str, percent: int) -> str:
@@ -193,14 +194,15 @@ def _positional(percent: int, x: str, y: str) -> str:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that link: suffix filter on the counts in hash ranges, then the overlap of the whole sets."""
-    sides = [nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("ranges").alias(f"r{k}")) for k in "ab"]
-    apart = "aggregate(zip_with(ra, rb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
-    close = pairs.join(sides[0], "a").join(sides[1], "b").where(f"(na + nb - {apart}) div 2 >= {_needed('na', 'nb', percent)}")
-    close = stored(close.select("a", "b").distinct(), "pairs")
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "id", *KEY), "node")
-    sets = stored(sets_of(docs, wanted, words, id_col, text_col), "sets")
-    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    met = close.join(left, "a").join(right, "b")
+    ends = ["id", *KEY]
+    sides = [nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in [*ends, "ranges"]]) for k in "ab"]
+    apart = "aggregate(zip_with(ranges_a, ranges_b, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
+    close = pairs.join(sides[0], "a").join(sides[1], "b").where(f"(n_a + n_b - {apart}) div 2 >= {_needed('n_a', 'n_b', percent)}")
+    close = stored(close.select("a", "b", *[f"{c}_{k}" for k in "ab" for c in ends]).distinct(), "pairs")
+    ids = close.select(F.col("id_a").alias("id")).union(close.select("id_b")).distinct()
+    sets = sets_of(docs, ids, words, id_col, text_col)
+    left, right = (sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ends], F.col("shingles").alias(f"s{k}")) for k in "ab")
+    met = close.join(left, [f"{c}_a" for c in ends]).join(right, [f"{c}_b" for c in ends])
     overlap = F.size(F.array_intersect("sa", "sb"))
     return met.where((100 + percent) * overlap >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
 
