@@ -8,9 +8,10 @@ as its bucket, then as itself by its share of the bucket's counts; a word that w
 occurrence.
 
 Training reads every document, and every word position is masked: the positions of a text are dealt over the rounds (over
-`every` of them at most, then again). Each task trains on its own
-documents from the shared weights and sends its weights, in blocks that are added as they stream in; their mean, weighted by
-masked words, is the next round's start. What is gathered so grows with the corpus, what the driver gets does not.
+`every` of them at most, then again). Texts are dealt into shards of about `shard` words by a hash of their words and id, as token numbers, and
+stand in a shard in the order of that hash; a shard starts from the shared weights and takes steps of exactly `batch` positions. So what is
+learnt depends on the corpus alone: not on files, tasks or cores. A shard sends its weights, in blocks that are added as they stream in; their mean,
+weighted by masked words, is the next round's start. What is gathered so grows with the corpus, what the driver gets does not.
 
 A text's score is the sum of the log-probabilities of all its words, each masked in turn. Counts of words outside the vocabulary
 stay in a table, which is joined to the distinct words of each text: no process holds them all. A NULL or empty text has no
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, words_of
+from .common import Texts, in_arrow, mix, seeded, slices, span_hashes, stored, texts_of, weights, words_of
 from .quality_classifier import _KIND
 
 
@@ -39,7 +40,8 @@ class Shape:
     classes: int = 48
     width: int = 32
     every: int = 8  # most rounds that the places of a text are dealt over
-    rounds: int = 2
+    rounds: int = 1
+    shard: int = 1 << 22  # words that one task trains on in turn
     batch: int = 4096
     rate: float = 0.1
 
@@ -139,6 +141,11 @@ def tokens_of(texts: Texts, hashes: np.ndarray, numbers: np.ndarray, shape: Shap
         at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
         known = hashes[at] == words
         token[known] = numbers[at[known]]
+    return token.astype(np.int32), first, around_of(token, first, shape), words
+
+
+def around_of(token: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
+    """The tokens at the places around each token of its text, `shape.tokens` where there is none."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     around = np.full((len(AROUND), len(token)), shape.tokens, np.int32)
     for row, step in zip(around, AROUND):
@@ -146,7 +153,7 @@ def tokens_of(texts: Texts, hashes: np.ndarray, numbers: np.ndarray, shape: Shap
             a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
             same = text[a] == text[b]
             row[a][same] = token[b][same]
-    return token.astype(np.int32), first, around, words
+    return around
 
 
 def start(counts: list[tuple[int, int]], bucket_counts: np.ndarray, shape: Shape) -> Language:
@@ -255,9 +262,9 @@ class Trainer:
 
 
 def masked(words: np.ndarray, first: np.ndarray, shape: Shape, turn: int) -> np.ndarray:
-    """Places to train on in a round: each place of a text has its turn, which a hash of the text shifts."""
+    """Places to train on in a round: each place of a text has its turn, which a hash of the text's words (or tokens) shifts."""
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words, out=total[1:])
+    np.cumsum(words, out=total[1:], dtype=np.uint64)
     shift = mix(total[first[1:]] - total[first[:-1]] + seeded(1))
     sizes, parts = np.diff(first), min(shape.every, shape.rounds)
     place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
@@ -265,34 +272,75 @@ def masked(words: np.ndarray, first: np.ndarray, shape: Shape, turn: int) -> np.
     return np.flatnonzero(own == turn % parts)
 
 
-def train_round(docs: DataFrame, language: Language, turn: int, text_col: str = "text") -> Network:
+def token_texts(docs: DataFrame, language: Language, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, key, tokens) of every text with a word; key is a hash of the words in their order and of the id."""
     shared = docs.sparkSession.sparkContext.broadcast(replace(language, rest=None))
+    kind = np.uint16 if language.shape.tokens < 1 << 16 else np.uint32
 
-    def train(batches):
+    def run(batches):
         lang = shared.value
-        trainer, held, count = Trainer(lang.network, lang.shape), [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for a, b, part in slices(texts_of(batch.column(1))):
+                token, first, _, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
+                sizes = np.diff(first)
+                place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
+                total = np.zeros(len(words) + 1, np.uint64)
+                np.cumsum(words * weights(int(sizes.max(initial=1)))[place], out=total[1:])
+                key = mix((total[first[1:]] - total[first[:-1]]) ^ mix(ids[a:b].astype(np.uint64) + seeded(11)))
+                some = pa.array(sizes > 0)
+                raw = pa.Array.from_buffers(
+                    pa.large_binary(), b - a, [None, pa.py_buffer((first * kind().itemsize).astype(np.int64).tobytes()), pa.py_buffer(token.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key % np.uint64(shards)).astype(np.int32)), pa.array(key.view(np.int64)), raw.cast(pa.binary())], ["shard", "key", "tokens"]).filter(some)
+
+    narrow = docs.select(F.xxhash64(docs[id_col]).alias("id"), docs[text_col])
+    return in_arrow(narrow, run, "shard int, key long, tokens binary")
 
-        def learn():
-            token, around = (np.concatenate(x, axis=-1) for x in zip(*held))
-            for a in range(0, len(token), lang.shape.batch):
-                trainer.learn(token[a : a + lang.shape.batch], around[:, a : a + lang.shape.batch])
+
+def train_round(docs: DataFrame, language: Language, turn: int, shards: int, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    shared = docs.sparkSession.sparkContext.broadcast(replace(language, rest=None))
+    kind = np.uint16 if language.shape.tokens < 1 << 16 else np.uint32
+
+    def train(batches):
+        lang = shared.value
+        shard, trainer, held = None, None, None
+
+        def learn(rest: bool = False):
+            """Steps of exactly `batch` positions; what is left over waits for the shard's next rows."""
+            nonlocal held
+            token, around = held
+            size = lang.shape.batch
+            end = len(token) if rest else len(token) // size * size
+            for a in range(0, end, size):
+                trainer.learn(token[a : min(a + size, end)], around[:, a : min(a + size, end)])
+            held = token[end:], around[:, end:]
+
+        def learnt():
+            learn(rest=True)
+            if trainer.words:
+                flat = np.array_split(trainer.net.flat().astype(np.float64) * trainer.words, BLOCKS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(BLOCKS), pa.int32()), pa.array([float(trainer.words)] * BLOCKS), pa.array([x.astype(np.float32).tobytes() for x in flat])],
+                    ["block", "words", "weights"])
 
         for batch in batches:
-            for _, _, part in slices(texts_of(batch.column(0))):
-                token, first, around, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
-                at = masked(words, first, lang.shape, turn)
-                held.append((token[at], around[:, at]))
-                count += len(at)
-                if count >= 4 * lang.shape.batch:
+            of = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts, [*cuts[1:], len(of)]):
+                if of[lo] != shard:
+                    if trainer is not None:
+                        yield from learnt()
+                    shard, trainer = of[lo], Trainer(lang.network, lang.shape)
+                    held = np.zeros(0, np.int32), np.zeros((len(AROUND), 0), np.int32)
+                rows = [np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in batch.column(2).slice(lo, hi - lo)]
+                for part in _runs(rows, 1 << 18):
+                    token, first = np.concatenate(part), np.concatenate([[0], np.cumsum([len(r) for r in part])])
+                    at = masked(token, first, lang.shape, turn)
+                    held = np.concatenate([held[0], token[at]]), np.concatenate([held[1], around_of(token, first, lang.shape)[:, at]], axis=1)
                     learn()
-                    held, count = [], 0
-        if count:
-            learn()
-        if trainer.words:
-            flat = np.array_split(trainer.net.flat().astype(np.float64) * trainer.words, BLOCKS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([float(trainer.words)] * BLOCKS), pa.array([x.astype(np.float32).tobytes() for x in flat])],
-                ["block", "words", "weights"])
+        if trainer is not None:
+            yield from learnt()
 
     def add(batches):
         sums: dict[int, list] = {}
@@ -306,19 +354,33 @@ def train_round(docs: DataFrame, language: Language, turn: int, text_col: str =
              pa.array([(x / w).astype(np.float32).tobytes() for w, x in sums.values()], pa.binary())], ["block", "words", "weights"])
 
     schema = "block int, words double, weights binary"
-    sent = in_arrow(docs.select(docs[text_col]), train, schema).repartition("block")
+    texts = token_texts(docs, language, shards, id_col, text_col).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    sent = in_arrow(texts, train, schema).repartition("block")
     got = sorted(in_arrow(sent, add, schema).collect(), key=lambda r: r.block)
     if not got:
         return language.network
     return language.network.like(np.concatenate([np.frombuffer(r.weights, np.float32) for r in got]))
 
 
-def fit_language(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> Language:
+def _runs(rows: list[np.ndarray], size: int):
+    """Whole texts in runs of about `size` tokens."""
+    run, held = [], 0
+    for row in rows:
+        run.append(row)
+        held += len(row)
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def fit_language(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id") -> Language:
     """Vocabulary from the counts over all documents, then rounds of training over all documents."""
     counts = stored(word_counts(docs, shape, text_col), "words")
     # the power of two that enough words reach: only words that reach it are sorted, few whatever the number of tasks
     size = F.floor(F.log2(F.col("count").cast("double"))).cast("int")
-    sizes = sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"])
+    sizes = sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words"), F.sum("count").alias("total")).collect(), key=lambda r: -r["size"])
     shape = shape.grown(sum(r.words for r in sizes))
     found, least = 0, 0
     for r in sizes:
@@ -336,8 +398,9 @@ def fit_language(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text"
     for r in rest.groupBy("bucket").agg(F.sum("count").alias("count")).collect():
         buckets[r.bucket] = r["count"]
     language = start(top, buckets, shape)
+    shards = max(1, -(-sum(r.total for r in sizes) // shape.shard))
     for turn in range(shape.rounds):
-        language.network = train_round(docs, language, turn, text_col)
+        language.network = train_round(docs, language, turn, shards, id_col, text_col)
     language.rest = rest
     return language
 
