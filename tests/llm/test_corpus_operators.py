@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import queries as Q
 from tickloom.llm.fingerprints import edited_fingerprints, fingerprints, likeness, sketches
 from tickloom.llm.licences import TEXTS, licence_scan
-from tickloom.llm.lm_scoring import Shape, fit_language, lm_scores, masked, word_counts
+from tickloom.llm.lm_scoring import Network, Shape, Trainer, fit_language, lm_scores, log_probabilities, masked, word_counts
 from tickloom.llm.ngram_join import near_copies, without_near_copies
 from tickloom.llm.packing import packed, plan, sequences, token_pieces, placed
 from tickloom.llm.pieces import PieceCoder, decoded, encoded, round_trip
@@ -448,6 +449,46 @@ def test_language_model_learns_and_sums(spark, docs):
     assert scored[161].log_probability == 0 and scored[160].mean_log_probability is None
 
 
+def test_learning_depends_on_the_corpus_alone(spark):
+    """Equal weights and scores from one file and from many, in another order and cut in other batches."""
+    r = random.Random(5)
+    texts = [(i if i % 9 else None, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 120)))) for i in range(150)]
+    texts += [(1000 + i, "the same text in many copies") for i in range(60)] + [(7, "the same text in many copies")] * 3
+    shape = Shape(words=32, grow=0.0, buckets=8, classes=6, width=8, rounds=2, every=2, batch=64, shard=2000)
+    found = []
+    for order, parts, rows in ((1, 1, "10000"), (2, 9, "7")):
+        shuffled = random.Random(order).sample(texts, len(texts))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        df = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(parts)
+        language = fit_language(df, shape)
+        found.append((language.network.flat(), {(x.doc_id, x.n_words, round(x.log_probability, 3)) for x in lm_scores(df, language).collect()}))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(found[0][0], found[1][0], atol=1e-5)
+    assert not np.allclose(found[0][0], fit_language(df, replace(shape, rounds=0)).network.flat(), atol=1e-2)
+    assert len(found[0][1] ^ found[1][1]) <= 4  # the third digit may fall on either side
+
+
+def test_a_step_follows_the_gradient():
+    """Every weight moves by the rate times its gradient over the root of its square, with gradients by differences."""
+    random_ = np.random.default_rng(3)
+    shape = Shape(words=10, grow=0.0, buckets=2, classes=3, width=4)
+    net = Network(
+        random_.normal(0, 0.5, (4, shape.tokens + 1, 4)), random_.normal(0, 0.5, 4), random_.normal(0, 0.5, (3, 4)), random_.normal(0, 0.5, 3),
+        random_.normal(0, 0.5, (3, shape.members, 4)), random_.normal(0, 0.5, (3, shape.members)))
+    token, around = random_.integers(0, 12, 40), random_.integers(0, 13, (4, 40))
+    trainer = Trainer(net, shape)
+    trainer.learn(token.astype(np.int32), around.astype(np.int32))
+    for mine, moved in zip(net.arrays(), trainer.net.arrays()):
+        for at in [tuple(random_.integers(0, d) for d in mine.shape) for _ in range(25)]:
+            kept, sides = mine[at], []
+            for step in (1e-5, -1e-5):
+                mine[at] = kept + step
+                sides.append(-log_probabilities(net, shape, token, around).mean())
+            mine[at] = kept
+            g = (sides[0] - sides[1]) / 2e-5
+            assert kept - moved[at] == pytest.approx(shape.rate * g / np.sqrt(1e-3 + g * g), abs=1e-4)
+
+
 def test_word_counts_hold_a_word_once(spark):
     df = spark.createDataFrame([(f"The cat {w}",) for w in ("the", "THE", "tHe", "The")], "text string").repartition(4)
     df = df.union(spark.createDataFrame([("the CAT",)], "text string"))
@@ -487,3 +528,31 @@ def test_empty_tables(spark, empty):
         quality_scores(empty, model), lm_scores(empty, fit_language(empty)), recounted(token_trees(empty.withColumn("edits", F.expr("CAST(NULL AS array<struct<start:int,end:int,replacement:string>>)")), Q.WORD_BPE, more=["edits"]), Q.WORD_BPE),
     ):
         assert df.count() == 0
+
+
+LICENCE_FILES = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not LICENCE_FILES.is_dir(), reason="needs the system's licence files")
+def test_licence_files_are_known_in_any_wrapping(spark):
+    """Both digests of every long text are those of its file; its words are known as they stand, one line a paragraph, and at other widths."""
+    import textwrap
+
+    from tickloom.llm.licences import DIGESTS, FOLDED_DIGESTS, LEAST_FOLDED, canonical_text
+
+    names = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "GPL-1.0": "GPL-1", "LGPL-2.0": "LGPL-2", "LGPL-3.0": "LGPL-3", "Artistic-1.0": "Artistic"}
+    rows = []
+    for name, digest in FOLDED_DIGESTS.items():
+        path = LICENCE_FILES / names.get(name, name)
+        if not path.exists():
+            continue
+        text = path.read_text()
+        assert len(text) >= LEAST_FOLDED
+        assert hashlib.sha256(canonical_text(text, notices=True).encode()).hexdigest() == digest
+        assert hashlib.sha256(canonical_text(text).encode()).hexdigest() in DIGESTS[name]
+        paragraphs = re.split(r"\n\s*\n", text)
+        rows += [(name, text), (name, "\n\n".join(" ".join(p.split()) for p in paragraphs)), (name, "\n\n".join(textwrap.fill(" ".join(p.split()), 100) for p in paragraphs)),
+                 (name, " ".join(text.split())), ("", text[: len(text) // 2])]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence or "" for r in licence_scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]

@@ -3,7 +3,7 @@
 A canonical text is in lower case, without copyright lines, with one spelling for equivalent words, and with one space for
 each run of anything but letters and numbers. Whole texts are looked up by the SHA-256 of that; so are the lines of texts
 that mention a licence, against the known one-line notices, in all their spellings. Texts are known with and without a heading
-line; long ones by the digest of the usual file, line breaks and all. The known table is broadcast: its bound is `MOST_KNOWN` rows.
+line; long ones by the digest of the usual file. A second form keeps copyright lines, so that the file is known in any wrapping. The known table is broadcast: its bound is `MOST_KNOWN` rows.
 
 A NULL or empty text is canonically empty and matches nothing. Rows are looked up each for itself; an empty table gives an empty
 table; other columns are not read.
@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MOST_KNOWN = 10_000
+LEAST_FOLDED = 2_000  # characters; the shortest text in FOLDED_DIGESTS has more
 
 _ASIS = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
@@ -118,6 +119,22 @@ DIGESTS = {
         "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
     ),
 }
+# The same files with their copyright notices left in, which makes the form independent of line breaks.
+FOLDED_DIGESTS = {
+    "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
+    "Artistic-1.0": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "61501da4fb94cceda16cd9affa2c77a91451ac2041c3baac644d4090c86855de",
+    "GFDL-1.3": "cdf3d9ad52a468f1e3a38b3cd70b6b38978b4acbb41cceee134bf4e2e6168fe4",
+    "GPL-1.0": "8a9ccb74f73e459deea9ab73828583de1cd66754c9f8f0699cd2117a96b6b58c",
+    "GPL-2.0": "1225d02cd36c293fc65ff6aedbed342e33fbb6ff556bc49cb670a60b6992e8c3",
+    "GPL-3.0": "7d478223d8fcde6480339b8bbaadacf6b93d7007d04a13fbd30f71a80fd981a0",
+    "LGPL-2.0": "9ccbf81e2fd78db81966e466a22ed39318d0a4b4550cd69d1144dcf09722ff10",
+    "LGPL-2.1": "a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15",
+    "LGPL-3.0": "3ce770135de37fc153de7af30789ebf6cf1e9ad54eb9b487647ea8aa9ccae9c2",
+    "MPL-1.1": "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
 # Heading lines that files put before a text; a text is known with each of them and without.
 TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "MIT"),
@@ -180,11 +197,11 @@ COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[
 GAPS = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text. Rarely needed steps stand behind a plain search for their words."""
+def canonical(text: Column, notices: bool = False) -> Column:
+    """The canonical form of a text; with `notices`, copyright lines stay. Rarely needed steps stand behind a plain search for their words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
-    low = F.when(marked, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+    if not notices:
+        low = F.when(_marked(low), F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
     plain = F.trim(F.regexp_replace(low, GAPS, " "))
     same = plain
     for word, usual in SPELLINGS.items():
@@ -192,9 +209,13 @@ def canonical(text: Column) -> Column:
     return F.when(plain.rlike(rf"\b(?:{'|'.join(SPELLINGS)})\b"), same).otherwise(plain)
 
 
-def canonical_text(text: str) -> str:
+def _marked(low: Column) -> Column:
+    return low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
+
+
+def canonical_text(text: str, notices: bool = False) -> str:
     """The same for one text outside of Spark, for the table of known licences and for tests."""
-    low = re.sub(r"(?m)^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$", "", text.lower())
+    low = text.lower() if notices else re.sub(r"(?m)^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$", "", text.lower())
     plain = re.sub(r"[\W_]+", " ", low).strip(" ")
     return re.sub(r"\b[a-z]+\b", lambda m: SPELLINGS.get(m[0], m[0]), plain)
 
@@ -207,7 +228,7 @@ def digests(table: dict[str, str | tuple[str, ...]]) -> dict[str, str]:
 def text_digests(texts: dict[str, str]) -> dict[str, str]:
     """Licence by digest of each text, with and without its heading lines; the texts kept as digests belong to the usual table."""
     out = digests({name: (t, *[f"{title}\n{t}" for title in TITLES.get(name, ())]) for name, t in texts.items()})
-    return out | ({d: name for name, found in DIGESTS.items() for d in found} if texts is TEXTS else {})
+    return out | ({d: name for name, found in DIGESTS.items() for d in found} | {d: name for name, d in FOLDED_DIGESTS.items()} if texts is TEXTS else {})
 
 
 def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
@@ -227,14 +248,22 @@ def licence_scan(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[s
     names = F.from_json(F.lit(json.dumps(digests(notices))), "map<string,string>")
     found = F.transform(F.split(text, "\n"), lambda line: F.element_at(names, F.sha2(canonical(line).cast("binary"), 256)))
     noted = F.when(F.lower(text).rlike("licen[cs]e"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")).otherwise("")
-    rows = docs.select(docs[id_col], F.sha2(canonical(text).cast("binary"), 256).alias("digest"), noted.alias("notices"))
-    return rows.join(F.broadcast(known(spark, texts)), "digest", "left").select(id_col, "digest", "licence", "notices")
+    digest = F.sha2(canonical(text).cast("binary"), 256)
+    # a text that names no copyright is the same in both forms; shorter ones than any known long text need no second look
+    folded = F.when(_marked(F.lower(text)) & (F.length(text) >= LEAST_FOLDED), F.sha2(canonical(text, True).cast("binary"), 256))
+    rows = docs.select(docs[id_col], digest.alias("digest"), folded.alias("folded"), noted.alias("notices"))
+    names = known(spark, texts)
+    rows = rows.join(F.broadcast(names), "digest", "left")
+    rows = rows.join(F.broadcast(names.select(F.col("digest").alias("folded"), F.col("licence").alias("again"))), "folded", "left")
+    return rows.select(id_col, "digest", F.coalesce("licence", "again").alias("licence"), "notices")
 
 
 def oracle(texts: dict[str, str] = TEXTS, notices: dict[str, str | tuple[str, ...]] = NOTICES) -> str:
     """The same in DuckDB's SQL."""
-    def canon(x: str) -> str:
-        x = f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT}', '', 'g'), '{GAPS}', ' ', 'g'))"
+    def canon(x: str, notices: bool = False) -> str:
+        low = f"lower(coalesce({x}, ''))"
+        low = low if notices else f"regexp_replace({low}, '{COPYRIGHT}', '', 'g')"
+        x = f"trim(regexp_replace({low}, '{GAPS}', ' ', 'g'))"
         for word, usual in SPELLINGS.items():
             x = f"regexp_replace({x}, '\\b{word}\\b', '{usual}', 'g')"
         return x
@@ -244,9 +273,9 @@ def oracle(texts: dict[str, str] = TEXTS, notices: dict[str, str | tuple[str, ..
 
     return f"""
 WITH known(digest, licence) AS (VALUES {values(text_digests(texts))}), notice(digest, licence) AS (VALUES {values(digests(notices))}),
-d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({canon('text')}) AS digest FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({canon('text')}) AS digest, sha256({canon('text', True)}) AS folded FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE regexp_matches(lower(text), 'licen[cs]e')),
 found AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines
           JOIN notice ON notice.digest = sha256({canon('line')}) GROUP BY r)
-SELECT doc_id, d.digest, known.licence, coalesce(found.notices, '') AS notices
-FROM d LEFT JOIN known USING (digest) LEFT JOIN found USING (r)"""
+SELECT doc_id, d.digest, coalesce(known.licence, again.licence) AS licence, coalesce(found.notices, '') AS notices
+FROM d LEFT JOIN known ON known.digest = d.digest LEFT JOIN known again ON again.digest = d.folded LEFT JOIN found USING (r)"""
