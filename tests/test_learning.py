@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.evaluate import significance as sg
 from tickloom.learn import sequences as sq, splits as sp
 from tickloom.learn.targets import TargetRules, all_targets, fixed_targets, raw_targets
-from tickloom.plans.garch import GRID, garch_volatility
+from tickloom.plans.garch import GRID, fitter, garch_fits, garch_volatility
 from tickloom.plans.pattern_features import PATTERN, PATTERN_COLUMNS, pattern_matrix
 
 NINE = ["momentum_persistence_7d", "volatility_clustering", "trend_exhaustion", "volume_price_divergence",
@@ -87,29 +87,72 @@ def test_gap_split_marks_short_series(spark):
     assert a["train"] == 960 and a["gap"] == 180 and a["test"] == 60
 
 
-def test_garch_matches_a_loop(spark):
-    a = ohlcv(140)
-    got = pull(garch_volatility(frame(spark, a)), ["garch_volatility"])["garch_volatility"]
-    r = np.log(a["close"] / a["close"].shift(1)).dropna().values
+def path(w, o, al, be):
+    s = [w[:10].var()]
+    for x in w[:-1]:
+        s.append(max(o + al * x * x + be * s[-1], 1e-8))
+    return np.array(s)
+
+
+def loss(w, o, al, be):
+    s = np.maximum(path(w, o, al, be), 1e-8)
+    return 0.5 * np.sum(np.log(s) + w**2 / s)
 
-    def path(w, o, al, be):
-        s = [w[:10].var()]
-        for x in w[:-1]:
-            s.append(max(o + al * x * x + be * s[-1], 1e-8))
-        return np.array(s)
 
+def simulated(n, seed, o, al, be):
+    rng, s, out = np.random.default_rng(seed), o / (1 - al - be), []
+    for _ in range(n):
+        out.append(rng.normal(0, np.sqrt(s)))
+        s = o + al * out[-1] ** 2 + be * s
+    return np.array(out)
+
+
+def test_garch_runs_the_recursion_of_its_refits(spark):
+    a, flat = ohlcv(140), ohlcv(80, "FLAT").assign(open=5.0, high=5.0, low=5.0, close=5.0)
+    bars = frame(spark, a, flat)
+    fits = garch_fits(bars).toPandas()
+    got = pull(garch_volatility(bars), ["garch_volatility"], "A")["garch_volatility"]
+    r = np.log(a["close"] / a["close"].shift(1)).dropna().values
+    mine = fits[fits["symbol"] == "A"].set_index("_anchor")
+    assert sorted(mine.index) == [30, 50, 75, 100, 125]
     want = np.full(len(a), np.nan)
     for i in range(30, len(r)):
         w = r[max(0, i - 99):i + 1]
-        if i == 30 or i % 25 == 0:
-            best = []
-            for al, be in GRID:
-                o = w.var() * (1 - al - be)
-                s = np.maximum(path(w, o, al, be), 1e-8)
-                best.append((0.5 * np.sum(np.log(s) + w**2 / s), al, be, o))
-            _, al, be, o = min(best)
-        want[i + 1] = np.sqrt(path(w, o, al, be)[-1])
+        p = mine.loc[30 if i < 50 else i // 25 * 25]
+        if i in mine.index:
+            assert p["grid_nll"] == pytest.approx(min(loss(w, max(w.var() * (1 - x - y), 1e-8), x, y) for x, y in GRID))
+            assert p["nll"] <= p["grid_nll"]
+            if p["fitted"]:
+                assert p["nll"] == pytest.approx(loss(w, p["omega"], p["alpha"], p["beta"]))
+            else:
+                assert (p["omega"], p["alpha"], p["beta"]) == (pytest.approx(w.var() * 0.05), 0.05, 0.90)
+        want[i + 1] = np.sqrt(path(w, p["omega"], p["alpha"], p["beta"])[-1])
     close_to(got, want, 1e-9)
+    still = fits[fits["symbol"] == "FLAT"]
+    assert not still["fitted"].any() and (still["omega"] == 0).all() and (still["alpha"] == 0.05).all()
+
+
+@pytest.mark.parametrize("o,al,be", [(2e-5, 0.15, 0.7), (1e-6, 0.05, 0.93), (5e-4, 0.4, 0.1), (1e-2, 0.0, 0.0)])
+def test_garch_fits_are_optima(o, al, be):
+    """No small step in any direction raises the likelihood, and the slope left is small; short windows too."""
+    windows = [simulated(n, seed, o, al, be) for seed in range(12) for n in (100, 31)]
+    sizes = np.array([len(w) for w in windows])
+    r = np.zeros((len(windows), 100))
+    for k, w in enumerate(windows):
+        r[k, :len(w)] = w
+    omega, alpha, beta, nll, grid_nll, slope, fitted = fitter()(r, sizes)
+    assert (nll <= grid_nll).all()
+    inside = fitted & (alpha > 1e-3) & (beta > 1e-3)
+    assert (slope[inside] < 0.05).all() and (omega >= 1e-8).all()
+    for k in np.flatnonzero(fitted):
+        w, base = windows[k], nll[k]
+        assert base == pytest.approx(loss(w, omega[k], alpha[k], beta[k]))
+        for i in range(3):
+            for factor in (0.99, 1.01):
+                p = np.array([omega[k], alpha[k], beta[k]])
+                p[i] *= factor
+                if p[1] + p[2] < 1:
+                    assert loss(w, *p) >= base - 1e-3
 
 
 def test_pattern_matrix_has_no_gaps(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.aggregates import corr, issues, kurt, match_rate, share, skew
 from ..functions.scalar import INF, is_inf
+from ..learn.gram import pair_products
 from ..operators.align import date_overlap, missing_symbols
 from ..operators.clean import column_scores
 from ..operators.layout import attach, attach_scalar
@@ -103,14 +104,22 @@ def outlier_counts(df: DataFrame, features, limit: float, by=("symbol",)) -> Dat
 
 
 def pair_correlations(df: DataFrame, features, by=("symbol",)) -> DataFrame:
-    """Correlation of every pair of features; all pairs in one aggregate."""
+    """Correlation of every pair of features over the rows where both are known; NULL where one is flat.
+
+    All pairs come from the products of one pass, whatever their number.
+    """
     features = list(features)
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    wide = df.groupBy(*by).agg(*[corr(a, b, 1e-10).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs
-    ]))
-    return wide.select(*by, rows.alias("p")).select(*by, "p.*")
+    rows, names = pair_products(df, features, by), F.array(*[F.lit(f) for f in features])
+    n = F.when(F.col("n") > 0, F.col("n"))
+    spread = {}
+    for side in "ij":
+        mean, square = F.col(f"s{side}") / n, F.col(f"q{side}") / n
+        var = square - mean * mean
+        spread[side] = F.when((var > 1e-20) & (var > square * 1e-14), F.sqrt(var))
+    shared = F.col("p") / n - F.col("si") / n * (F.col("sj") / n)
+    value = F.greatest(F.least(shared / (spread["i"] * spread["j"]), F.lit(1.0)), F.lit(-1.0))
+    known = spread["i"].isNotNull() & spread["j"].isNotNull()
+    return rows.select(*by, names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(known, value).alias("corr"))
 
 
 def correlated_features(df: DataFrame, features, limit: float = 0.95, by=("symbol",)) -> DataFrame:

@@ -31,6 +31,7 @@ class Frame:
         self._specs: dict = {}
         self.pool: dict[str, tuple[str, Column]] = {}
         self.steps: dict[str, tuple[int, int, int]] = {}  # step, rows back, rows ahead
+        self.ranks: dict[tuple, tuple[str, Column, int]] = {}  # name, value, rows
 
     # -- bookkeeping -----------------------------------------------------
     def __getitem__(self, name: str) -> Column:
@@ -158,15 +159,15 @@ class Frame:
         return F.when(full, F.coalesce(self.corr(value, F.col("pos").cast("double"), n), F.lit(0.0)))
 
     def rank_pct(self, value, n: int) -> Column:
-        """Average-tie rank of the current value in the last n rows, over n."""
-        value = self.x(value)
-        rows = self.over(F.collect_list(value), -(n - 1))
-        last = F.element_at(rows, -1)
-        below = F.size(F.filter(rows, lambda v: v < last))
-        same = F.size(F.filter(rows, lambda v: v == last))
-        return F.when(
-            (F.size(rows) == n) & value.isNotNull(), (below + (same + 1) / 2.0) / float(n)
-        )
+        """Average-tie rank of the current value in the last n rows, over n; NULL unless all n rows have a value.
+
+        Not for use inside a window of the same feature: ranks are worked out after the layer's windows.
+        """
+        self.need(n - 1)
+        key = (str(self.x(value)), n)
+        if key not in self.ranks:
+            self.ranks[key] = (f"_r{len(self.ranks)}_", self.x(value), n)
+        return F.col(self.ranks[key][0])
 
     def mean_abs_dev(self, value, n: int) -> Column:
         rows = self.over(F.collect_list(self.x(value)), -(n - 1))

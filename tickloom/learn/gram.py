@@ -61,6 +61,59 @@ def products(df: DataFrame, vector: Column, by=()) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
 
 
+def pair_products(df: DataFrame, columns, by=()) -> DataFrame:
+    """(by, i, j, n, si, sj, qi, qj, p) for i < j: over rows where both columns are known their count, sums, sums of squares and of products.
+
+    Values are taken from a centre, the mean of each column over all rows, so that close values of large size keep their digits.
+    Tasks multiply masked matrices of their batches; what is shuffled is one row per group and pair.
+    """
+    by, columns, held = list(by), list(columns), HELD_CELLS
+    centres = [c or 0.0 for c in df.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in columns]).first()]  # one number per column
+    rows = df.select(*by, *[F.col(c).cast("double") for c in columns])
+    names = ["n", "si", "sj", "qi", "qj", "p"]
+    fields = [StructField("i", IntegerType()), StructField("j", IntegerType()), *[StructField(c, DoubleType()) for c in names]]
+    schema = StructType([*rows.schema.fields[: len(by)], *fields])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        width, (i, j) = len(columns), np.triu_indices(len(columns), 1)
+        sums, kinds = {}, []
+
+        def cells():
+            out = []
+            for place, kind in enumerate(kinds):
+                out.append(pa.array([k[place] for k in sums for _ in range(len(i))], kind))
+            out += [pa.array(np.tile(x, len(sums)).astype(np.int32)) for x in (i, j)]
+            for matrix, flip in ((0, False), (1, False), (1, True), (2, False), (2, True), (3, False)):
+                out.append(pa.array(np.concatenate([s[matrix][j, i] if flip else s[matrix][i, j] for s in sums.values()])))
+            return pa.RecordBatch.from_arrays(out, names=schema.names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.column_stack([batch.column(len(by) + c).to_numpy(zero_copy_only=False).astype(float) for c in range(width)]) - centres
+            kinds = [batch.column(c).type for c in range(len(by))]
+            places = {}
+            for place, key in enumerate(zip(*[batch.column(c).to_pylist() for c in range(len(by))]) if by else [()] * n):
+                places.setdefault(key, []).append(place)
+            for key, at in places.items():
+                own = x[at]
+                known = (~np.isnan(own)).astype(float)
+                own = np.where(known > 0, own, 0.0)
+                more = [known.T @ known, own.T @ known, (own * own).T @ known, own.T @ own]
+                sums[key] = [a + b for a, b in zip(sums[key], more)] if key in sums else more
+            if 4 * len(sums) * width**2 > held:
+                yield cells()
+                sums = {}
+        if sums:
+            yield cells()
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def filled(features, target: str) -> Column:
     """Features and the target as one array, NULL as 0."""
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*features, target]])

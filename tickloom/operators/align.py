@@ -14,11 +14,11 @@ OHLCV = ["open", "high", "low", "close", "volume"]
 def common_dates(df: DataFrame) -> DataFrame:
     """Times at which every symbol has a row.
 
-    Rows are counted per time with a map-side combine; (symbol, ts) is unique
-    in a bar table, so a count replaces a distinct count.
+    Repeated keys count once: rows are reduced to (symbol, ts) before they are counted per time.
     """
+    keys = df.select("symbol", "ts").distinct()
     symbols = df.select("symbol").distinct().agg(F.count(F.lit(1)).alias("_all"))
-    per_time = df.groupBy("ts").agg(F.count(F.lit(1)).alias("_k"))
+    per_time = keys.groupBy("ts").agg(F.count(F.lit(1)).alias("_k"))
     return per_time.transform(attach_scalar, symbols).where(F.col("_k") == F.col("_all")).select("ts")
 
 
@@ -67,16 +67,33 @@ def missing_symbols(df: DataFrame, required: DataFrame) -> DataFrame:
     return required.join(df.select("symbol").distinct(), "symbol", "left_anti")
 
 
+WORD_DAYS, SPAN_WORDS, OVERLAP_SALTS = 63, 512, 16
+
+
+def date_words(df: DataFrame) -> DataFrame:
+    """(symbol, span, words): the days of a symbol as bits, 63 a word, 512 words (88 years) a row."""
+    day = F.unix_date(F.to_date("ts")).cast("long")
+    word = F.floor(day / WORD_DAYS)
+    bits = df.select("symbol", word.alias("_word"), F.expr(f"shiftleft(1L, int(pmod(unix_date(to_date(ts)), {WORD_DAYS})))").alias("_bit"))
+    words = bits.groupBy("symbol", "_word").agg(F.bit_or("_bit").alias("_bits"))
+    span = words.groupBy("symbol", F.floor(F.col("_word") / SPAN_WORDS).alias("span")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.pmod("_word", F.lit(SPAN_WORDS)), "_bits"))).alias("_m"))
+    return span.select("symbol", "span", F.expr(f"transform(sequence(0L, {SPAN_WORDS - 1}L), k -> coalesce(_m[k], 0L))").alias("words"))
+
+
 def date_overlap(df: DataFrame) -> DataFrame:
-    """Jaccard overlap of the date sets of each pair of symbols.
+    """Jaccard overlap of the date sets of each pair of symbols that share a day.
 
-    Pairs are counted per time, so the work is symbols squared per time (each
-    symbol has one row per time), and the counts combine before the shuffle.
+    Days are bits of words, so a pair costs a few hundred AND operations whatever the number of rows, and the join makes one row per
+    pair of symbols (and 88 years). Pairs are spread over tasks by the first symbol.
     """
-    days = df.select("symbol", F.to_date("ts").alias("day")).distinct()
-    sizes = days.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    a, b = days.withColumnRenamed("symbol", "a"), days.withColumnRenamed("symbol", "b")
-    shared = a.join(b, "day").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    words = date_words(df)
+    count = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w))
+    sizes = words.groupBy("symbol").agg(F.sum(count).alias("n"))
+    a = words.select(F.col("symbol").alias("a"), "span", F.col("words").alias("_wa"), F.pmod(F.xxhash64("symbol"), F.lit(OVERLAP_SALTS)).cast("int").alias("_salt"))
+    b = words.select(F.col("symbol").alias("b"), "span", F.col("words").alias("_wb"), F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_SALTS - 1))).alias("_salt"))
+    both = F.expr("aggregate(zip_with(_wa, _wb, (x, y) -> bit_count(x & y)), 0L, (s, n) -> s + n)")
+    shared = a.join(b, ["span", "_salt"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(both).alias("shared")).where("shared > 0")
     names = sizes.select(F.col("symbol").alias("a"), F.col("n").alias("na"))
     others = sizes.select(F.col("symbol").alias("b"), F.col("n").alias("nb"))
     out = attach(attach(shared, names, ["a"]), others, ["b"])

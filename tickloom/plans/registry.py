@@ -7,6 +7,7 @@ from functools import cached_property
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.frame import Frame
 from ..operators.layout import block_rows, framed
@@ -136,6 +137,8 @@ class Registry:
                 fresh = {f.name: f.build(frame).alias(f.name) for f in plain}
                 for step in frame.pooled():
                     plan = plan.select("*", *step)
+                if frame.ranks:
+                    plan = sliding_ranks(plan, list(frame.ranks.values()))
                 plan = plan.select(*[c for c in alive if c not in fresh], *fresh.values())
             scans: dict[int, dict] = {}
             for f in layer:
@@ -147,6 +150,40 @@ class Registry:
                                          *[c for c in wanted if c not in keep])
 
 
+def sliding_ranks(plan: DataFrame, wanted: list) -> DataFrame:
+    """Add average-tie ranks (name, value, n rows) over n, one pass per block with the last n values in order.
+
+    A row enters and leaves the ordered ring once; the partitioning of the blocks is the one the windows use.
+    """
+    out = plan.select("*", *[value.cast("double").alias(name) for name, value, _ in wanted])
+    sizes = {name: n for name, _, n in wanted}
+
+    def run(block):
+        import bisect
+
+        import numpy as np
+        import pyarrow as pa
+
+        block = block.sort_by("pos")
+        for name, n in sizes.items():
+            at = block.schema.get_field_index(name)
+            values = block.column(at).to_numpy(zero_copy_only=False)
+            ranks, ring = np.full(len(values), np.nan), []
+            for i, v in enumerate(values):
+                if i >= n and values[i - n] == values[i - n]:
+                    del ring[bisect.bisect_left(ring, values[i - n])]
+                if v == v:
+                    bisect.insort(ring, v)
+                    if len(ring) == n:
+                        low, high = bisect.bisect_left(ring, v), bisect.bisect_right(ring, v)
+                        ranks[i] = (low + (high - low + 1) / 2) / n
+            block = block.set_column(at, name, pa.array(ranks, mask=np.isnan(ranks)))
+        return block
+
+    schema = StructType([StructField(f.name, f.dataType, True) for f in out.schema])
+    return out.groupBy("symbol", "blk").applyInArrow(run, schema)
+
+
 FOLD = {"sum": F.sum, "product": F.product, "max": F.max}
 MERGE = {
     "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),

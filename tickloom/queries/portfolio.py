@@ -9,7 +9,7 @@ from ..learn import selection as sel
 from ..learn.scaling import fit_scale
 from ..plans.core_features import CORE
 from ..plans.earlier_features import EARLIER
-from ..plans.garch import garch_volatility
+from ..plans.garch import garch_fits, garch_volatility
 from ..plans.registry import Registry
 from ..signals import risk as rk
 from ..sources.bars import hourly_ticks
@@ -238,6 +238,18 @@ register("user_window_function", "symbol ts:t | range_share", "UDF4",
 register("garch_volatility", "symbol ts:t | garch_volatility", "VOL3 VOL4", None)(lambda s, d: garch_volatility(hourly(s, d)))
 
 
+def _fit_facts(s, d):
+    """What any engine can say of the fits: how many there are, and that none is worse than its grid point or has a slope left inside the bounds."""
+    inside = F.col("fitted") & (F.col("alpha") > 1e-3) & (F.col("beta") > 1e-3)
+    return garch_fits(hourly(s, d)).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("refits"), F.count_if(F.col("nll") > F.col("grid_nll")).alias("below_grid"), F.count_if(inside & (F.col("slope") > 0.05)).alias("slopes_left"),
+        F.count_if(F.col("alpha") + F.col("beta") >= 0.999).alias("outside"), F.count_if(F.col("omega") <= 0).alias("no_variance"))
+
+
+register("garch_fit_facts", "symbol refits:i below_grid:i slopes_left:i outside:i no_variance:i", "VOL3 VOL4",
+         q.stages("hourly", final="SELECT symbol, count(*) FILTER (WHERE pos - 1 = 30 OR (pos - 1 >= 50 AND (pos - 1) % 25 = 0)) AS refits, 0 AS below_grid, 0 AS slopes_left, 0 AS outside, 0 AS no_variance FROM {prev} GROUP BY symbol"))(_fit_facts)
+
+
 def _streamed(s, d):
     """Drive the event table through the stream once, and complete the bars that are still open when it ends."""
     folder = scratch(s)

@@ -15,7 +15,7 @@ from ..plans.cross_section import (
     ALL_FEATURES, cross_sectional, market_aggregates, neutral_features, sector_aggregates, with_returns,
 )
 from ..signals.strategies import run_strategy, strategy_returns
-from ..sources import store as st
+from ..sources import chunks as ch, store as st
 from . import sql as q
 from .base import register, scratch
 from .features import RET, hourly, weekly
@@ -30,10 +30,9 @@ def _incremental(s, d):
     """Store the first half, then load everything: only unseen keys are added."""
     path = scratch(s)
     bars = hourly(s, d).drop("pos")
-    st.append_new(bars.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")), path)
-    st.append_new(bars, path)
-    st.append_new(bars, path)
-    return s.read.parquet(path)
+    for part in (bars.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")), bars, bars):
+        ch.append_chunks(part, path)
+    return s.read.parquet(f"{path}/data")
 
 
 register("load_incremental", "symbol ts:t | open high low close volume", "SRC3 SRC7", q.stages("hourly"))(_incremental)
@@ -122,17 +121,32 @@ register("weekly_rewrite", "symbol ts:t week:t | close volume", "SRC14",
 
 
 def _load_job(s, d):
-    """Two runs of the load job; the second adds nothing."""
-    path = scratch(s)
-    st.load_prices(hourly(s, d).drop("pos"), path, "first")
-    st.load_prices(hourly(s, d).drop("pos"), path, "second")
-    size = lambda t: s.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias(t))
+    """Three runs of the load job: the first half of the bars, all bars, and again; the last adds nothing."""
+    path, bars = scratch(s), hourly(s, d).drop("pos")
+    ch.load_prices(bars.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")), path, "first")
+    ch.load_prices(bars, path, "second")
+    ch.load_prices(bars, path, "third")
+    size = lambda t: s.read.parquet(f"{path}/{t}/data" if t in ("prices", "returns") else f"{path}/{t}").agg(F.count(F.lit(1)).alias(t))
     runs = s.read.parquet(f"{path}/runs").where("status = 'success'").agg(F.count(F.lit(1)).alias("runs"))
     return size("prices").transform(attach_scalar, size("returns")).transform(attach_scalar, size("tickers")).transform(attach_scalar, runs)
 
 
 register("load_job", "prices:i returns:i tickers:i runs:i", "SRC3 SRC4 SRC6 SRC15",
-         q.stages("hourly", RET, final="SELECT count(*) AS prices, count(daily_return) AS returns, count(DISTINCT symbol) AS tickers, 2 AS runs FROM {prev}"))(_load_job)
+         q.stages("hourly", RET, final="SELECT count(*) AS prices, count(daily_return) AS returns, count(DISTINCT symbol) AS tickers, 3 AS runs FROM {prev}"))(_load_job)
+
+
+def _loaded_returns(s, d):
+    """Returns that loads linked piece by piece, the last piece late: as if all bars had come at once."""
+    path, bars = scratch(s), hourly(s, d).drop("pos")
+    part = F.pmod(F.weekofyear("ts"), F.lit(3))
+    for k in (0, 2, 1):
+        ch.load_prices(bars.where(part == k), path, str(k))
+    return s.read.parquet(f"{path}/returns/data")
+
+
+register("load_returns_pieces", "symbol ts:t linked", "SRC6 SRC15",
+         q.stages("hourly", RET, final="SELECT symbol, ts, true AS linked FROM {prev} WHERE daily_return IS NOT NULL"))(
+    lambda s, d: _loaded_returns(s, d).withColumn("linked", F.col("price_id").isNotNull()))
 register("returns_range", "symbol ts:t pct | daily_return", "SRC16 SRC18 SRC19",
          q.stages("hourly", RET, final="SELECT symbol, ts, printf('%.2f%%', daily_return * 100) AS pct, daily_return FROM {prev} "
                   "WHERE symbol = 'click' AND daily_return IS NOT NULL AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"))(

@@ -115,18 +115,36 @@ def correlation_table(bars: DataFrame) -> DataFrame:
 
 
 # -- portfolio volatility ----------------------------------------------------------
+def correlation_rows(correlations: DataFrame) -> DataFrame:
+    """(symbol, idx, row): symbols in order, and their correlations with the symbol of every place; 0 where there is none."""
+    names = correlations.agg(F.sort_array(F.collect_set("a")).alias("_names"))  # one row: the symbols
+    places = names.select(F.posexplode("_names").alias("idx", "symbol"))
+    cells = correlations.join(F.broadcast(places.select(F.col("symbol").alias("b"), "idx")), "b").where(F.col("corr").isNotNull())
+    rows = cells.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("idx", "corr"))).alias("_cells"), F.max("idx").alias("_last"))
+    # places without a value are filled by walking the sorted cells once
+    dense = F.aggregate("_cells", F.array().cast("array<double>"), lambda out, c: F.concat(out, F.array_repeat(F.lit(0.0), c.idx - F.size(out)), F.array(c["corr"])))
+    return places.join(rows.select(F.col("a").alias("symbol"), dense.alias("row")), "symbol", "left")
+
+
 def portfolio_volatility(positions: DataFrame, correlations: DataFrame, vols: DataFrame, by=("ts",)) -> DataFrame:
-    """sqrt(w' D C D w) per portfolio; sum of |w| vol when fewer than two symbols are in the table."""
+    """sqrt(w' D C D w) per portfolio; sum of |w| vol when fewer than two symbols are in the table.
+
+    A sparse quadratic form: the nonzero weights of a portfolio stand in one list, each held symbol meets its row of
+    correlations once and adds the products with the held symbols after it, which count twice. Rows are held symbols, not pairs.
+    """
     by = list(by)
-    known = correlations.select(F.col("a").alias("symbol")).distinct().withColumn("_in", F.lit(1))
-    table = attach(attach(positions.select(*by, "symbol", "f"), vols, ["symbol"]), known, ["symbol"])
+    table = attach(positions.select(*by, "symbol", "f"), vols, ["symbol"])
+    table = attach(table, correlation_rows(correlations), ["symbol"])
     table = table.withColumn("_w", F.col("f") * F.coalesce("vol", F.lit(DEFAULT_VOLATILITY)))
-    left = table.where("_in = 1").select(*by, F.col("symbol").alias("a"), F.col("_w").alias("_wa"))
-    right = table.where("_in = 1").select(*by, F.col("symbol").alias("b"), F.col("_w").alias("_wb"))
-    pairs = left.join(correlations, "a").join(right, [*by, "b"])
-    spread = pairs.groupBy(*by).agg(F.sum(F.col("_wa") * F.col("_wb") * F.col("corr")).alias("_v"))
-    base = table.groupBy(*by).agg(F.sum(F.abs("_w")).alias("_simple"), F.count("_in").alias("_k"))
-    out = base.join(spread, by, "left")
+    known = F.col("idx").isNotNull()
+    item = F.when(known & (F.col("_w") != 0), F.struct("idx", F.col("_w").alias("w")))
+    base = table.groupBy(*by).agg(
+        F.sum(F.abs("_w")).alias("_simple"), F.count("idx").alias("_k"), F.collect_list(item).alias("_held"))
+    held = table.where(known & (F.col("_w") != 0)).select(*by, "idx", "_w", "row").join(base.select(*by, "_held"), by)
+    later = F.aggregate(
+        F.filter("_held", lambda h: h.idx > F.col("idx")), F.lit(0.0), lambda s, h: s + h.w * F.coalesce(F.get("row", h.idx), F.lit(0.0)))
+    spread = held.groupBy(*by).agg(F.sum(F.col("_w") * (F.col("_w") + 2.0 * later)).alias("_v"))
+    out = base.drop("_held").join(spread, by, "left")
     vol = F.when(F.col("_k") < 2, F.col("_simple")).otherwise(F.sqrt(F.greatest(F.coalesce("_v", F.lit(0.0)), F.lit(0.0))))
     return out.select(*by, vol.alias("portfolio_vol"))
 

@@ -53,7 +53,7 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys=("symbol", "ts")) -> D
 def append_new(incoming: DataFrame, path: str, keys=("symbol", "ts"), partition: str | None = None) -> int:
     """Append the rows that are not stored; a second run adds nothing. Returns the rows added."""
     spark = incoming.sparkSession
-    found = _exists(spark, path)
+    found = exists(spark, path)
     fresh = new_rows(incoming, spark.read.parquet(path), keys) if found else new_rows(incoming, incoming.limit(0), keys)
     fresh = fresh.persist()
     try:
@@ -66,7 +66,7 @@ def append_new(incoming: DataFrame, path: str, keys=("symbol", "ts"), partition:
         fresh.unpersist()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -175,20 +175,6 @@ def log_run(spark: SparkSession, path: str, run_id: str, status: str, log: str)
     row.write.mode("append").parquet(path)
 
 
-def load_prices(bars: DataFrame, folder: str, run_id: str) -> dict[str, int]:
-    """The load job: new bars, new tickers and new returns are appended, and the run is logged."""
-    spark = bars.sparkSession
-    added = {"prices": append_new(bars, f"{folder}/prices"),
-             "tickers": append_new(bars.select("symbol").distinct(), f"{folder}/tickers", ("symbol",))}
-    from ..operators.layout import with_positions
-
-    stored = with_positions(spark.read.parquet(f"{folder}/prices").drop("pos"), "year")
-    linked = link_returns(returns_table(stored).drop("pos"), stored)
-    added["returns"] = append_new(linked, f"{folder}/returns")
-    log_run(spark, f"{folder}/runs", run_id, "success", str(added))
-    return added
-
-
 def returns_range(returns: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
     """Returns of one symbol between two US-style dates (MM-DD-YYYY)."""
     day = F.to_date("ts")
