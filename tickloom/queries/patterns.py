@@ -151,32 +151,36 @@ def wma(x, n):
     return f"({terms}) / {total}"
 
 
+AVERAGES = (
+    {"raw": f"2 * ({wma('close', 10)}) - ({wma('close', 20)})", "sma_5": q.mean("close", 5), "sma_20": q.mean("close", 20), "cv": "close * volume"},
+    {"vwap_20": q.guard(q.total("cv", 20), q.total("volume", 20))},
+    {"hull_20": wma("raw", 4), "ma_convergence": "abs(sma_5 - sma_20) / close", "ma_slope_5": f"(sma_5 - {q.lag('sma_5', 5)}) / {q.lag('sma_5', 5)}",
+     "ma_slope_20": f"(sma_20 - {q.lag('sma_20', 5)}) / {q.lag('sma_20', 5)}", "h1_range_normalized": "(high - low) / close",
+     "price_efficiency": "abs(close - vwap_20) / close"})
+RSI_OBV = (
+    {"delta": f"close - {q.lag('close')}"},
+    {"g": "CASE WHEN delta > 0 THEN delta END", "l": "CASE WHEN delta < 0 THEN -delta END",
+     "sv": "CASE WHEN pos = 0 THEN volume ELSE coalesce(sign(delta), 0) * volume END"},
+    {"rsi_simple_14": f"100 - 100 / (1 + ({q.mean('g', 14)}) / (({q.mean('l', 14)}) + 1e-10))",
+     "rsi_simple_21": f"100 - 100 / (1 + ({q.mean('g', 21)}) / (({q.mean('l', 21)}) + 1e-10))", "obv_seeded": f"sum(sv) OVER {q.RUN}"})
+MOMENTUM_VOLATILITY = (
+    {**RET, **VOL_STEPS[0], **{f"m{n}": q.pct("close", n) for n in (5, 10, 20)}, "t5": q.slope("close", 5)},
+    {"volatility_5d": VOL_STEPS[1]["volatility_5d"], "volatility_20d": VOL_STEPS[1]["volatility_20d"], "s5": q.std("daily_return", 5), "sg": "sign(m5)"},
+    {"momentum_strength_1e8": "m5 / (s5 + 1e-8)", "momentum_persistence_sum": f"({q.total('sg', 10)}) / 10",
+     "momentum_oscillator_1e8": q.guard("m10 - m20", "m10 + m20", "1e-8"), "volatility_ratio_1e8": "volatility_5d / (volatility_20d + 1e-8)",
+     "trend_persistence": q.std("t5", 10), "low_vol_factor": f"volatility_20d / ({q.mean('volatility_20d', 60)})"})
+PROXIES = (
+    {**RET, **VOL_STEPS[0], "m5": q.pct("close", 5), "m20": q.pct("close", 20)},
+    {"v5": VOL_STEPS[1]["volatility_5d"], "v20": VOL_STEPS[1]["volatility_20d"], "r5": q.mean("daily_return", 5)},
+    {"sentiment_score": "tanh(r5 / v5)", "news_flow": q.clip("abs(daily_return) / v20", 0, 3), "search_volume": "(abs(daily_return) + v5) / 2",
+     "analyst_revisions": q.mean("m20", 10), "seasonal_yield": "sin(pos * 2 * pi() / 252) * 0.1"},
+    {"social_sentiment": "(m5 + sentiment_score) / 2"})
 simple("earlier_averages", "hourly", EARLIER, "PRC11 PRC14 PRC15 WIN16",
-       "hull_20 ma_convergence ma_slope_5 ma_slope_20 h1_range_normalized price_efficiency",
-       {"raw": f"2 * ({wma('close', 10)}) - ({wma('close', 20)})", "sma_5": q.mean("close", 5), "sma_20": q.mean("close", 20),
-        "cv": "close * volume"},
-       {"vwap_20": q.guard(q.total("cv", 20), q.total("volume", 20))},
-       {"hull_20": wma("raw", 4), "ma_convergence": "abs(sma_5 - sma_20) / close",
-        "ma_slope_5": f"(sma_5 - {q.lag('sma_5', 5)}) / {q.lag('sma_5', 5)}",
-        "ma_slope_20": f"(sma_20 - {q.lag('sma_20', 5)}) / {q.lag('sma_20', 5)}",
-        "h1_range_normalized": "(high - low) / close", "price_efficiency": "abs(close - vwap_20) / close"})
-simple("earlier_rsi_obv", "hourly", EARLIER, "TEC2 VLM6", "rsi_simple_14:4 rsi_simple_21:4 obv_seeded",
-       {"delta": f"close - {q.lag('close')}"},
-       {"g": "CASE WHEN delta > 0 THEN delta END", "l": "CASE WHEN delta < 0 THEN -delta END",
-        "sv": "CASE WHEN pos = 0 THEN volume ELSE coalesce(sign(delta), 0) * volume END"},
-       {"rsi_simple_14": f"100 - 100 / (1 + ({q.mean('g', 14)}) / (({q.mean('l', 14)}) + 1e-10))",
-        "rsi_simple_21": f"100 - 100 / (1 + ({q.mean('g', 21)}) / (({q.mean('l', 21)}) + 1e-10))",
-        "obv_seeded": f"sum(sv) OVER {q.RUN}"})
+       "hull_20 ma_convergence ma_slope_5 ma_slope_20 h1_range_normalized price_efficiency", *AVERAGES)
+simple("earlier_rsi_obv", "hourly", EARLIER, "TEC2 VLM6", "rsi_simple_14:4 rsi_simple_21:4 obv_seeded", *RSI_OBV)
 simple("earlier_momentum_volatility", "weekly", EARLIER, "MOM10 MOM11 VOL10 VOL11",
        "momentum_strength_1e8:4 momentum_persistence_sum momentum_oscillator_1e8:3 volatility_ratio_1e8 "
-       "trend_persistence:4 low_vol_factor",
-       {**RET, **VOL_STEPS[0], **{f"m{n}": q.pct("close", n) for n in (5, 10, 20)}, "t5": q.slope("close", 5)},
-       {"volatility_5d": VOL_STEPS[1]["volatility_5d"], "volatility_20d": VOL_STEPS[1]["volatility_20d"],
-        "s5": q.std("daily_return", 5), "sg": "sign(m5)"},
-       {"momentum_strength_1e8": "m5 / (s5 + 1e-8)", "momentum_persistence_sum": f"({q.total('sg', 10)}) / 10",
-        "momentum_oscillator_1e8": q.guard("m10 - m20", "m10 + m20", "1e-8"),
-        "volatility_ratio_1e8": "volatility_5d / (volatility_20d + 1e-8)", "trend_persistence": q.std("t5", 10),
-        "low_vol_factor": f"volatility_20d / ({q.mean('volatility_20d', 60)})"})
+       "trend_persistence:4 low_vol_factor", *MOMENTUM_VOLATILITY)
 BASKET = ("SELECT *, avg(daily_return) OVER (PARTITION BY ts) AS market_return, "
           "CASE WHEN count(daily_return) OVER (PARTITION BY ts) - (daily_return IS NOT NULL)::INT > 0 THEN "
           "(sum(daily_return) OVER (PARTITION BY ts) - coalesce(daily_return, 0)) / "
@@ -195,13 +199,7 @@ register("basket_relative", "symbol ts:t | basket_correlation basket_strength ba
     lambda s, d: EARLIER.compute(with_basket(weekly(s, d)), ["basket_correlation", "basket_strength", "basket_beta",
                                                              "idiosyncratic_vol"]))
 simple("alternative_proxies", "weekly", EARLIER, "MKT20 MKT21",
-       "sentiment_score news_flow social_sentiment search_volume analyst_revisions seasonal_yield",
-       {**RET, **VOL_STEPS[0], "m5": q.pct("close", 5), "m20": q.pct("close", 20)},
-       {"v5": VOL_STEPS[1]["volatility_5d"], "v20": VOL_STEPS[1]["volatility_20d"], "r5": q.mean("daily_return", 5)},
-       {"sentiment_score": "tanh(r5 / v5)", "news_flow": q.clip("abs(daily_return) / v20", 0, 3),
-        "search_volume": "(abs(daily_return) + v5) / 2", "analyst_revisions": q.mean("m20", 10),
-        "seasonal_yield": "sin(pos * 2 * pi() / 252) * 0.1"},
-       {"social_sentiment": "(m5 + sentiment_score) / 2"})
+       "sentiment_score news_flow social_sentiment search_volume analyst_revisions seasonal_yield", *PROXIES)
 
 
 def tcorr(x, n):

@@ -14,10 +14,11 @@ from ..plans.registry import Registry
 from ..signals import risk as rk
 from ..sources.bars import hourly_ticks
 from ..streaming.bars import append_bars, completed_bars, stream_bars
-from . import fit_sql as fs, sql as q
+from . import fit_sql as fs, patterns as pt, sql as q
 from .base import register, scratch
 from .evaluation import FX, FXS, feats, h
 from .features import RET, hourly, weekly
+from .learning import _norm
 
 EQUITY = 1_000_000.0
 OUT = {"p_act": "least(greatest(0.5 + m5, 0), 1)", "z_h": "daily_return / s20", "p_tail": "least(abs(daily_return), 1)", "sigma": "s20", "price": "close"}
@@ -212,8 +213,32 @@ register("feature_summary", "symbol sample_size:i numeric_features:i missing_cel
          q.stages("weekly", FXS, final="SELECT symbol, count(*) AS sample_size, 4 AS numeric_features, sum((daily_return IS NULL)::INT + (momentum_5d IS NULL)::INT + (momentum_10d IS NULL)::INT) AS missing_cells, 1 AS returns_features, "
                   "min(ts) AS first_ts, max(ts) AS last_ts FROM {prev} GROUP BY symbol"))(
     lambda s, d: sel.feature_summary(feats(s, d), {"returns": ["daily_return", "weekly_return"]}))
-FLOWCOLS = ["sma_20", "rsi_14", "momentum_5d", "volatility_20d", "volume_ratio", "market_stress", "day_of_week", "hull_20", "news_flow"]
-register("earlier_feature_flow", "symbol ts:t | " + " ".join(FLOWCOLS), "SPL29 UDF1", None)(
+# The earlier flow: all its features, each scaled by its own median and quartiles per symbol; a feature with ten known values or fewer is left.
+FLOW = {
+    "sma_20": 4, "momentum_5d": 4, "volatility_20d": 4, "hull_20": 4, "ma_convergence": 4, "ma_slope_5": 4, "ma_slope_20": 4, "h1_range_normalized": 4, "price_efficiency": 4,
+    "rsi_simple_14": 3, "rsi_simple_21": 3, "obv_seeded": 4, "momentum_strength_1e8": 3, "momentum_persistence_sum": 4, "momentum_oscillator_1e8": 1, "volatility_ratio_1e8": 4,
+    "trend_persistence": 3, "low_vol_factor": 4, "sentiment_score": 4, "news_flow": 4, "social_sentiment": 4, "search_volume": 4, "analyst_revisions": 4, "seasonal_yield": 4,
+}
+
+
+def _merged(*chains):
+    """Steps of several chains side by side; equal names are equal terms."""
+    steps, seen = [], set()
+    for k in range(max(map(len, chains))):
+        step = {}
+        for chain in chains:
+            if k < len(chain):
+                step.update({n: e for n, e in chain[k].items() if n not in seen})
+        seen |= set(step)
+        steps.append(step)
+    return steps
+
+
+FLOWCOLS = list(FLOW)
+register("earlier_feature_flow", "symbol ts:t | " + " ".join(f"{c}:{n}" for c, n in FLOW.items()), "SPL29 UDF1",
+         q.stages("weekly", *_merged(pt.AVERAGES, pt.RSI_OBV, pt.MOMENTUM_VOLATILITY, pt.PROXIES), {"momentum_5d": "m5"},
+                  {f"z_{c}": f"coalesce({c}, 0)" for c in FLOWCOLS}, {f"k_{c}": f"count({c}) OVER (PARTITION BY symbol)" for c in FLOWCOLS},
+                  final="SELECT symbol, ts, " + ", ".join(f"CASE WHEN k_{c} > 10 THEN {_norm(f'z_{c}', 'robust')} ELSE {c} END AS {c}" for c in FLOWCOLS) + " FROM {prev}"))(
     lambda s, d: EARLIER.compute(weekly(s, d), FLOWCOLS).transform(lambda t: fit_scale(t, FLOWCOLS, "robust")))
 register("feature_matrix_columns", "feature n:i", "PRJ20 UDF1",
          q.stages("weekly", FXS, final="SELECT 'daily_return' AS feature, count(daily_return) AS n FROM {prev} UNION ALL SELECT 'momentum_5d', count(momentum_5d) FROM {prev} UNION ALL SELECT 'momentum_10d', count(momentum_10d) FROM {prev}"))(
