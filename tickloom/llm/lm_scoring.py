@@ -185,35 +185,50 @@ def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
     return x
 
 
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at its chosen column; x is used up."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), chosen]
+    """Logarithm of the softmax of each column at its chosen row; x is used up."""
+    x -= x.max(0)
+    own = x[chosen, np.arange(len(chosen))]
     np.exp(x, out=x)
-    return own - np.log(x.sum(1))
+    return own - np.log(x.sum(0))
+
+
+def _in_classes(token: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the tokens by class, and where each class starts in it."""
+    group = token % shape.classes
+    turn = np.argsort(group.astype(np.uint16) if shape.classes < 1 << 16 else group, kind="stable")
+    return turn, np.searchsorted(group[turn], np.arange(shape.classes + 1))
+
+
+def _word_logits(net: Network, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """One column a row of h, which stands in the order of the classes: the outputs of the members of its class."""
+    out = np.empty((net.word_bias.shape[1], len(h)), h.dtype)
+    for c in np.flatnonzero(np.diff(cut)):
+        at = slice(cut[c], cut[c + 1])
+        np.matmul(net.word_out[c], h[at].T, out=out[:, at])
+        out[:, at] += net.word_bias[c][:, None]
+    return out
 
 
 def log_probabilities(net: Network, shape: Shape, token: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of each token given the words around it."""
     out = np.zeros(len(token))
-    for a in range(0, len(token), 1 << 15):
-        t = token[a : a + (1 << 15)]
-        h = _hidden(net, around[:, a : a + (1 << 15)])
-        group, member = t % shape.classes, t // shape.classes
-        own = _log_share(h @ net.class_out.T + net.class_bias, group).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(shape.classes + 1))
-        for c in range(shape.classes):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at):
-                own[at] += _log_share(h[at] @ net.word_out[c].T + net.word_bias[c], member[at])
-        out[a : a + len(t)] = own
+    for a in range(0, len(token), 1 << 14):
+        t = token[a : a + (1 << 14)]
+        turn, cut = _in_classes(t, shape)
+        t = t[turn]
+        h = _hidden(net, around[:, a : a + (1 << 14)][:, turn])
+        own = _log_share(net.class_out @ h.T + net.class_bias[:, None], t % shape.classes).astype(np.float64)
+        own += _log_share(_word_logits(net, h, cut), t // shape.classes)
+        out[a : a + len(t)][turn] = own
     return out
 
 
@@ -231,26 +246,30 @@ class Trainer:
         self.net.arrays()[k][at] -= self.shape.rate * gradient / np.sqrt(seen)
 
     def learn(self, token: np.ndarray, around: np.ndarray) -> None:
+        """One step. Words stand in the order of their classes, so that a class is a range; outputs have one column a word."""
         net, shape, n = self.net, self.shape, len(token)
-        h = _hidden(net, around)
+        turn, cut = _in_classes(token, shape)
+        token, place = token[turn], np.arange(n)
+        around = around[:, turn].astype(np.uint16 if shape.tokens < 1 << 16 else np.int32)
         group, member = token % shape.classes, token // shape.classes
-        p = np.exp(_log_softmax(h @ net.class_out.T + net.class_bias))
-        p[np.arange(n), group] -= 1
-        back = p @ net.class_out
-        class_step = (p.T @ h, p.sum(0))
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(shape.classes + 1))
-        for c in range(shape.classes):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at) == 0:
-                continue
-            q = np.exp(_log_softmax(h[at] @ net.word_out[c].T + net.word_bias[c]))
-            q[np.arange(len(at)), member[at]] -= 1
-            back[at] += q @ net.word_out[c]
-            self._step(4, q.T @ h[at] / n, c)
-            self._step(5, q.sum(0) / n, c)
-        self._step(2, class_step[0] / n)
-        self._step(3, class_step[1] / n)
+        h = _hidden(net, around)
+        p = _softmax(net.class_out @ h.T + net.class_bias[:, None])
+        p[group, place] -= 1
+        here = np.flatnonzero(np.diff(cut))
+        q = _softmax(_word_logits(net, h, cut))
+        q[member, place] -= 1
+        back = p.T @ net.class_out
+        word_step = np.empty((len(here), shape.members, shape.width), h.dtype)
+        for i, c in enumerate(here):
+            at = slice(cut[c], cut[c + 1])
+            back[at] += q[:, at].T @ net.word_out[c]
+            np.matmul(q[:, at], h[at], out=word_step[i])
+        word_step /= n
+        all_or_some = slice(None) if len(here) == shape.classes else here
+        self._step(4, word_step, all_or_some)
+        self._step(5, np.add.reduceat(q, cut[here], axis=1).T / n, all_or_some)
+        self._step(2, p @ h / n)
+        self._step(3, p.sum(1) / n)
         back *= (1 - h * h) / n
         self._step(1, back.sum(0))
         for k in range(len(AROUND)):
