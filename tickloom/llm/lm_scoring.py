@@ -60,6 +60,8 @@ class Shape:
 
 AROUND = (-2, -1, 1, 2)
 BLOCKS = 64
+TILE = 1024
+SLICE = 1 << 17  # bytes of text at a time
 # a capital letter is of the kind of its small one: words count in lower case, and so does their bucket
 _FORM = _KIND.copy()
 _FORM[65:91] = _KIND[97:123]
@@ -109,7 +111,7 @@ def word_counts(docs: DataFrame, shape: Shape, text_col: str = "text") -> DataFr
     def run(batches):
         for batch in batches:
             words, forms = [], []
-            for _, _, part in slices(texts_of(batch.column(0))):
+            for _, _, part in slices(texts_of(batch.column(0)), SLICE):
                 h, f = _hashed(part, shape)[:2]
                 words.append(h)
                 forms.append(f)
@@ -218,17 +220,24 @@ def _word_logits(net: Network, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tiles(cut: np.ndarray):
+    """Ranges of whole classes with about TILE words, few enough for a core's own cache, and where each class starts in them."""
+    lo, n = 0, int(cut[-1])
+    while lo < n:
+        hi = int(cut[np.searchsorted(cut, min(n, lo + TILE))])
+        yield lo, hi, np.clip(cut - lo, 0, hi - lo)
+        lo = hi
+
+
 def log_probabilities(net: Network, shape: Shape, token: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of each token given the words around it."""
     out = np.zeros(len(token))
-    for a in range(0, len(token), 1 << 14):
-        t = token[a : a + (1 << 14)]
-        turn, cut = _in_classes(t, shape)
-        t = t[turn]
-        h = _hidden(net, around[:, a : a + (1 << 14)][:, turn])
+    turn, cut = _in_classes(token, shape)
+    for lo, hi, part in _tiles(cut):
+        at = turn[lo:hi]
+        t, h = token[at], _hidden(net, around[:, at])
         own = _log_share(net.class_out @ h.T + net.class_bias[:, None], t % shape.classes).astype(np.float64)
-        own += _log_share(_word_logits(net, h, cut), t // shape.classes)
-        out[a : a + len(t)][turn] = own
+        out[at] = own + _log_share(_word_logits(net, h, part), t // shape.classes)
     return out
 
 
@@ -249,29 +258,34 @@ class Trainer:
         """One step. Words stand in the order of their classes, so that a class is a range; outputs have one column a word."""
         net, shape, n = self.net, self.shape, len(token)
         turn, cut = _in_classes(token, shape)
-        token, place = token[turn], np.arange(n)
-        around = around[:, turn].astype(np.uint16 if shape.tokens < 1 << 16 else np.int32)
+        token, around = token[turn], around[:, turn].astype(np.uint16 if shape.tokens < 1 << 16 else np.int32)
         group, member = token % shape.classes, token // shape.classes
-        h = _hidden(net, around)
-        p = _softmax(net.class_out @ h.T + net.class_bias[:, None])
-        p[group, place] -= 1
-        here = np.flatnonzero(np.diff(cut))
-        q = _softmax(_word_logits(net, h, cut))
-        q[member, place] -= 1
-        back = p.T @ net.class_out
-        word_step = np.empty((len(here), shape.members, shape.width), h.dtype)
-        for i, c in enumerate(here):
-            at = slice(cut[c], cut[c + 1])
-            back[at] += q[:, at].T @ net.word_out[c]
-            np.matmul(q[:, at], h[at], out=word_step[i])
-        word_step /= n
-        all_or_some = slice(None) if len(here) == shape.classes else here
-        self._step(4, word_step, all_or_some)
-        self._step(5, np.add.reduceat(q, cut[here], axis=1).T / n, all_or_some)
-        self._step(2, p @ h / n)
-        self._step(3, p.sum(1) / n)
-        back *= (1 - h * h) / n
-        self._step(1, back.sum(0))
+        gradient = [np.zeros_like(a) for a in net.arrays()[1:]]
+        hidden, class_out, class_bias, word_out, word_bias = gradient
+        back = np.empty((n, shape.width), net.near.dtype)
+        for lo, hi, part in _tiles(cut):
+            at, place = slice(lo, hi), np.arange(hi - lo)
+            h = _hidden(net, around[:, at])
+            p = _softmax(net.class_out @ h.T + net.class_bias[:, None])
+            p[group[at], place] -= 1
+            class_out += p @ h
+            class_bias += p.sum(1)
+            q = _softmax(_word_logits(net, h, part))
+            q[member[at], place] -= 1
+            own = back[at]
+            np.matmul(p.T, net.class_out, out=own)
+            for c in np.flatnonzero(np.diff(part)):
+                of = slice(part[c], part[c + 1])
+                own[of] += q[:, of].T @ net.word_out[c]
+                np.matmul(q[:, of], h[of], out=word_out[c])
+                word_bias[c] = q[:, of].sum(1)
+            own *= 1 - h * h
+        back /= n
+        back.sum(0, out=hidden)
+        for k, step in enumerate(gradient[1:], 2):
+            step /= n
+            self._step(k, step)
+        self._step(1, hidden)
         for k in range(len(AROUND)):
             turn = np.argsort(around[k], kind="stable")
             rows = around[k][turn]
@@ -300,7 +314,7 @@ def token_texts(docs: DataFrame, language: Language, shards: int, id_col: str =
         lang = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, b, part in slices(texts_of(batch.column(1))):
+            for a, b, part in slices(texts_of(batch.column(1)), SLICE):
                 token, first, _, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
                 sizes = np.diff(first)
                 place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
@@ -444,7 +458,7 @@ def lm_scores(docs: DataFrame, language: Language, id_col: str = "doc_id", text_
         lang = shared.value
         never = np.round(np.log(0.5 / (lang.totals + 0.5)) * UNIT).astype(np.int64)
         for batch in batches:
-            for a, b, part in slices(texts_of(batch.column(2))):
+            for a, b, part in slices(texts_of(batch.column(2)), SLICE):
                 row, n = batch.column(0).slice(a, b - a), b - a
                 token, first, around, words = tokens_of(part, lang.hashes, lang.numbers, lang.shape)
                 total = np.concatenate([[0.0], np.cumsum(log_probabilities(lang.network, lang.shape, token, around))])
