@@ -2,11 +2,12 @@
 
 import pandas as pd
 import pytest
-from helpers import ohlcv
+from helpers import frame, ohlcv
+from pyspark.sql import functions as F
 
 from tickloom.operators.clean import nan_to_null
 from tickloom.plans.registry import Registry
-from tickloom.signals.ensemble import EnsembleRules, apply_filters, combine, default_weights, signal_flow
+from tickloom.signals.ensemble import EnsembleRules, apply_filters, batch_flow, combine, default_weights, signal_flow
 from tickloom.signals.strategies import MacdRules, PARTS, RsiRules, macd_strategy, rsi_strategy
 from tickloom.signals.verification import PatternRules, score_signals, verify_signals
 
@@ -88,3 +89,14 @@ def test_flow_drops_symbols_that_are_too_short(spark):
 
     out = signal_flow(frame(spark, ohlcv(200, "LONG"), ohlcv(20, "SHORT"))).toPandas()
     assert set(out["symbol"]) == {"LONG"} and len(out) == 200
+
+
+def test_datasets_keep_their_names(spark):
+    """Names and symbols with the key's own separator, or without a letter, come back; each dataset gives the flow's own rows."""
+    names = ["a", "a/b", "1/a", "", "é/"]
+    bars = frame(spark, ohlcv(150, "B/C"), ohlcv(150, "7", 3))
+    alone = {(r.symbol, r.ts, r.position, r.confidence) for r in signal_flow(bars).collect()}
+    got = batch_flow(bars.withColumn("dataset", F.explode(F.array(*map(F.lit, names))))).collect()
+    assert alone and {r.dataset for r in got} == set(names) and len(got) == len(names) * len(alone)
+    for name in names:
+        assert {(r.symbol, r.ts, r.position, r.confidence) for r in got if r.dataset == name} == alone

@@ -12,6 +12,7 @@ from tickloom.plans.market_features import MACRO
 from tickloom.plans.registry import Registry
 from tickloom.signals import risk as rk
 from tickloom.sources import chunks as ch
+from tickloom.sources.bars import stored_bars
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,14 @@ def test_portfolio_volatility_equals_a_quadratic_form(spark):
         if len(known) >= 2:
             want = np.sqrt(max(sum(w[a] * w[b] * value.get((a, b), 0.0) for a in known for b in known), 0))
         close_to(got[t], want)
+
+
+def test_bars_follow_a_changed_table(spark, tmp_path):
+    """Stored bars are built once for a table, and anew when its files change."""
+    ticks = spark.sql("SELECT id AS event_id, 'a' AS event_type, timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, id) AS ts, CAST(id + 1 AS DOUBLE) AS value FROM range(120)")
+    ticks.write.parquet(str(tmp_path / "events.parquet"))
+    first = stored_bars(spark, str(tmp_path), "hourly")
+    assert stored_bars(spark, str(tmp_path), "hourly") is first and first.agg(F.max("close")).first()[0] == 120
+    ticks.withColumn("value", F.col("value") * 2).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    second = stored_bars(spark, str(tmp_path), "hourly")
+    assert second is not first and second.count() == 2 and second.agg(F.max("close")).first()[0] == 240

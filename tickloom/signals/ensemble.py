@@ -255,8 +255,14 @@ def signal_flow(bars: DataFrame, rule_sets=(RsiRules(), MacdRules()), rules: Ens
 
 
 def batch_flow(datasets: DataFrame, **options) -> DataFrame:
-    """The flow over many datasets at once: (dataset, symbol) becomes the series key."""
-    keyed = datasets.withColumn("symbol", F.concat_ws("/", "dataset", "symbol"))
-    out = signal_flow(keyed, **options)
-    parts = F.split("symbol", "/", 2)
-    return out.withColumn("dataset", parts[0]).withColumn("symbol", parts[1])
+    """The flow over many datasets at once: (dataset, symbol) becomes the series key.
+
+    The key begins with the length of the dataset's name, so any text can be a name; a NULL name is the empty one.
+    """
+    name = F.coalesce(F.col("dataset").cast("string"), F.lit(""))
+    out = signal_flow(datasets.withColumn("symbol", F.concat(F.length(name), F.lit("/"), name, "symbol")), **options)
+    size = F.substring_index("symbol", "/", 1)
+    start = F.length(size) + 2
+    return out.withColumns({
+        "dataset": F.substr("symbol", start, size.cast("int")), "symbol": F.substr("symbol", start + size.cast("int")),
+    })

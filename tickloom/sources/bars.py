@@ -83,19 +83,29 @@ def weekly_bars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple, DataFrame] = {}
+TABLES = {"hourly": ("events",), "weekly": ("lineitem", "supplier", "nation", "region")}
+_STORED: dict[tuple, tuple] = {}
+
+
+def data_version(spark: SparkSession, folder: str, names) -> tuple:
+    """Path, length and time of change of every file of the tables, from the listing alone."""
+    context = spark.sparkContext
+    found = []
+    for name in names:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(found))
 
 
 def stored_bars(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Bars with row positions, built once per session and kept in the checkpoint
+    """Bars with row positions, built once per session and version of the data, and kept in the checkpoint
     folder. Analytics read this table the way they would read a loaded price
     table, so ticks are scanned once however many features follow."""
     key = (spark.sparkContext.applicationId, folder, kind)
-    if key not in _STORED:
-        if kind == "hourly":
-            bars = materialize(hourly_bars(spark, folder))
-            _STORED[key] = stored(with_positions(bars, "month"), "symbol", "ts")
-        else:
-            bars = materialize(weekly_bars(spark, folder))
-            _STORED[key] = stored(with_positions(bars, "year"), "symbol", "ts")
-    return _STORED[key]
+    version = data_version(spark, folder, TABLES[kind])
+    if key not in _STORED or _STORED[key][0] != version:
+        build, span = (hourly_bars, "month") if kind == "hourly" else (weekly_bars, "year")
+        bars = materialize(build(spark, folder))
+        _STORED[key] = version, stored(with_positions(bars, span), "symbol", "ts")
+    return _STORED[key][1]
