@@ -556,3 +556,29 @@ def test_licence_files_are_known_in_any_wrapping(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.licence or "" for r in licence_scan(df).collect()}
     assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
+def test_workers_give_memory_back_after_a_task(spark):
+    """A task frees 256 MB below one array that stays: its worker does not hold them when the next task starts."""
+    from tickloom.llm.common import in_arrow
+
+    def held(batches):
+        import sys
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for batch in batches:
+            mb = int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+            if batch.column(0)[0].as_py():  # the second turn takes its arrays from the heap, where the first freed one of their size
+                arrays = [np.ones(1 << 17)]
+                arrays.clear()
+                arrays = [np.ones(1 << 17) for _ in range(256)]
+                sys.stays = arrays.pop()
+                del arrays
+            yield pa.RecordBatch.from_arrays([pa.array([mb])], ["mb"])
+
+    fill, look = (spark.range(1).coalesce(1).select(F.lit(x).alias("fill")) for x in (True, False))
+    before = in_arrow(fill, held, "mb double").collect()[0].mb
+    after = in_arrow(look, held, "mb double").collect()[0].mb
+    assert after < before + 100

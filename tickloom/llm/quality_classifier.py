@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLDEN, Texts, in_arrow, mix, pass_batches, seeded, ship, slices, span_hashes, texts_of, words_of
+from .common import GOLDEN, Texts, give_back, in_arrow, mix, pass_batches, seeded, ship, slices, span_hashes, texts_of, words_of
 
 
 @dataclass(frozen=True)
@@ -145,8 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         w, bias = follow_leader(seen, settings)
         return pa.table({"n": [len(seen)], "bias": [bias], "weights": pa.array([w.tobytes()], pa.binary())})
 
+    def task(table: pa.Table) -> pa.Table:
+        try:
+            return train(table)
+        finally:
+            give_back()
+
     ship(docs.sparkSession)
-    got = rows.groupBy("shard").applyInArrow(train, "n long, bias double, weights binary").collect()
+    got = rows.groupBy("shard").applyInArrow(task, "n long, bias double, weights binary").collect()
     if not got:
         return None
     share = np.array([r.n for r in got], float)
