@@ -27,7 +27,7 @@ from .common import in_arrow, stored
 from .tokens import word_tokenizer
 
 CLASSES, MOST = 32, 4
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id",
@@ -53,12 +53,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int
         encoder = word_tokenizer(tokenizer)
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts, a, size = batch.column(1), 0, 0
-            sizes = [len(t) for t in texts.fill_null("").to_pylist()] if batch.num_rows else []
+            texts, a, size = batch.column(1).fill_null("").to_numpy(zero_copy_only=False).tolist() if batch.num_rows else [], 0, 0
+            sizes = list(map(len, texts))
             for b, n in enumerate(sizes, 1):
                 size += n
                 if size >= BATCH_CHARS or b == len(sizes):
-                    out = rows(range(a, b), texts.slice(a, b - a).fill_null("").to_pylist(), encoder)
+                    out = rows(range(a, b), texts[a:b], encoder)
                     columns = [batch.column(0).take(pa.array(out["doc"])).cast(kind), pa.array(out["piece"], pa.int32()),
                                *[pa.array(out[k], pa.int64()) for k in ("start", "length", "crc")]]
                     names = [id_col, "piece", "start", "length", "ids_crc32"]
